@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    out = common.fresh_path(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -30,6 +38,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in names), F.col("__distance").alias("robust_distance"))
 
 
+def op4_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import htmltext
+
+    out = htmltext.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("__text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -53,8 +68,56 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classlm, labelled
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = labelled.fold(F.col("doc_id"), 7) == 2
+    common.bounded_batches(spark)
+    model, counts = classlm.fit(docs.where(~held_out))
+    out = classlm.score(docs, model, counts)
+    return out.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("__n_tokens").alias("n_tokens"),
+        F.col("__n_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("__base_score").alias("base_score"),
+        F.col("__score").alias("score"),
+    )
+
+
+#: A public vocabulary with scores; the folder is a parameter.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    from . import tokencount
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokencount.count(docs, tokencount.load_vocabulary(f"{tokenizers}/piece_bpe_32k.model"))
+    return out.select("doc_id", F.col("__n_tokens").alias("n_tokens"), F.col("__n_unknown").alias("n_unknown"))
+
+
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import compression, labelled
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = compression.classify(docs, common.table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 5) != 0)
+    return out.select("doc_id", (labelled.fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import labelled, toxicity
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.classify(docs, common.table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 4) != 2)
+    return out.select("doc_id", (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op5_decontamination, op6_mixing)}
+    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
