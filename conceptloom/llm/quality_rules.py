@@ -152,7 +152,6 @@ def judge(stats: DataFrame, model: tuple[DataFrame, DataFrame], lang_col: str =
 
 
 def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs and the columns of statistics() and judge(). Statistics are worked out once, for narrow rows, to fit the model."""
-    stats = statistics(docs, text_col)
-    model = fit(stats.select(lang_col, source_col, *(c for c in stats.columns if c.startswith("__"))), lang_col, source_col)
-    return judge(stats, model, lang_col, source_col)
+    """docs and the columns of statistics() and judge(). Drop the text before if it is not needed after: rows are written once."""
+    stats = common.materialize(statistics(docs, text_col), "statistics")
+    return judge(stats, fit(stats, lang_col, source_col), lang_col, source_col)
