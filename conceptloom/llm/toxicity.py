@@ -8,6 +8,7 @@ scores as one of another, and no term gains weight from the company it keeps.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from . import common, labelled
 
 #: Labelled texts of each class at most, and their characters.
-PER_CLASS, MAX_CHARS = 3000, 16_000_000
+PER_CLASS, MAX_CHARS = 3000, 8_000_000
 #: Beginnings of a word that are features, beside the word; the log-likelihood ratio that a feature's texts must show.
 PREFIXES, LEAST_RATIO = (3, 4, 5, 6, 7, 8), 25.0
 #: Weights of the absolute size of weights and of the squared change under swaps; steps.
 SPARSE, FAIR, STEPS = 5e-5, 2.0, 2000
+#: Counters by hash that pick out candidates, before features are counted by name.
+BUCKETS = 1 << 21
 #: Sets of identity terms; terms of a set can stand for each other.
 IDENTITY_TERMS = (
     ("woman", "man", "girl", "boy", "frau", "mann", "femme", "homme", "mujer", "hombre"),
@@ -82,6 +85,10 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in sorted(text_features(words)))
 
 
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
 def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     cols = [np.fromiter((index[f] for f in sorted(s) if f in index), np.int64) for s in sets]
     return np.concatenate([np.zeros(0, np.int64), *cols]), np.concatenate([np.zeros(0, np.int64), *(np.full(len(c), i) for i, c in enumerate(cols))])
@@ -95,23 +102,37 @@ def fit(s: labelled.Sample, terms=IDENTITY_TERMS, sparse: float = SPARSE, fair:
     share = (s.totals[1] + 0.5) / (sum(s.totals.values()) + 1)
     if len(set(s.labels)) < 2:
         return Model({}, float(np.log(share / (1 - share))))
-    words = [text_words(t) for t in s.texts]
     y = np.array(s.labels, float)
     w = np.array(s.weights())
     w /= w.sum()
-    met = [Counter(), Counter()]
-    for ws, label in zip(words, s.labels, strict=True):
-        met[label].update(text_features(ws))
     n = [s.labels.count(0), s.labels.count(1)]
-    names = sorted(f for f in met[1].keys() | met[0].keys() if ratio(met[0][f], met[1][f], *n) >= LEAST_RATIO)
-    index = {f: i for i, f in enumerate(names)}
-    col, row = _rows([text_features(ws) for ws in words], index)
-    # differences under swaps: of texts, and of each pair of neighbouring terms alone
-    plus, minus = [], []
-    for ws in words:
+    # first by hash, in counters of a fixed size; then by name, only what may pass: memory doesn't grow with the words
+    hashed = np.zeros((2, 3, BUCKETS), np.int32)
+    for t, label in zip(s.texts, s.labels, strict=True):
+        ids, c = np.unique(np.fromiter((_bucket(f) for x in text_words(t) for f in parts(x)), np.int64), return_counts=True)
+        for k in range(3):
+            hashed[label, k, ids[c > k]] += 1
+    may = np.zeros((3, BUCKETS), bool)
+    for k in range(3):
+        pairs_met = np.stack([hashed[0, k], hashed[1, k]])
+        some = np.flatnonzero(pairs_met.sum(0) >= 3)
+        kinds, of = np.unique(pairs_met[:, some], axis=1, return_inverse=True)
+        good = np.array([ratio(int(c0), int(c1), *n) >= LEAST_RATIO for c0, c1 in kinds.T], bool)
+        may[k, some] = good[of.ravel()] if len(good) else False
+    del hashed
+    met, sets, plus, minus = [Counter(), Counter()], [], [], []
+    any_ = may.any(0)
+    for t, label in zip(s.texts, s.labels, strict=True):
+        ws = text_words(t)
+        sets.append(levels(Counter(f for x in ws for f in parts(x) if any_[_bucket(f)])))
+        met[label].update(sets[-1])
         for other in swaps(ws, terms):
             plus.append(text_features(ws - other))
             minus.append(text_features(other - ws))
+    names = sorted(f for f in met[1].keys() | met[0].keys() if ratio(met[0][f], met[1][f], *n) >= LEAST_RATIO)
+    index = {f: i for i, f in enumerate(names)}
+    col, row = _rows(sets, index)
+    # differences under swaps: of texts, and of each pair of neighbouring terms alone
     for group in terms:
         for k, term in enumerate(group):
             plus.append(text_features({term}))
