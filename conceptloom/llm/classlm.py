@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -67,19 +68,28 @@ class Types:
         return out, at + np.arange(len(at)), rare
 
 
-def batches(df: DataFrame, work, schema: str, split_bytes: int = 8 << 20) -> DataFrame:
-    """df.mapInArrow(work) over pieces of bounded bytes."""
+def batches(df: DataFrame, work, schema: str, piece_bytes: int = 24 << 20) -> DataFrame:
+    """df.mapInArrow(work) over a partition's batches, gathered to pieces of about piece_bytes: what is counted together leaves as one row."""
 
     def each(it):
+        held, size = [], 0
         for b in it:
-            n = max(1, -(-b.nbytes // split_bytes))
-            step = max(1, -(-b.num_rows // n))
-            for i in range(0, b.num_rows, step):
-                yield from work(b.slice(i, step))
+            held.append(b)
+            size += b.nbytes
+            if size >= piece_bytes:
+                yield from work(gather(held))
+                held, size = [], 0
+        if held:
+            yield from work(gather(held))
 
     return df.mapInArrow(each, schema)
 
 
+def gather(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    names = held[0].schema.names
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k).cast(pa.large_string()) for b in held]) for k in range(len(names))], names)
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all texts of train(text); the end of a text is the empty word. Each batch is counted before the shuffle."""
 
@@ -108,12 +118,10 @@ def bigram_counts(train: DataFrame, types: Types) -> DataFrame:
 def contexts(bigrams: DataFrame, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of classes after and before each type: two tables of (types, classes), bounded by the model's size."""
 
-    @F.pandas_udf("int")
-    def of(x):
-        return x.map(dict(enumerate(cls.tolist()))).astype("int32")
-
-    right = bigrams.groupBy(F.col("a").alias("t"), of("b").alias("k")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
-    left = bigrams.groupBy(F.col("b").alias("t"), of("a").alias("k")).agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
+    # one row a type: bounded by the model, so it is broadcast
+    of = F.broadcast(bigrams.sparkSession.createDataFrame(pd.DataFrame({"k": cls.astype("int32"), "of": np.arange(len(cls))})))
+    right = bigrams.join(of, bigrams["b"] == of["of"]).groupBy(F.col("a").alias("t"), "k").agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
+    left = bigrams.join(of, bigrams["a"] == of["of"]).groupBy(F.col("b").alias("t"), "k").agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
     got = right.unionByName(left).toArrow()
     table = np.zeros((2, len(cls), classes))
     table[got["side"].to_numpy(), got["t"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
