@@ -26,18 +26,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEAD = frozenset("title style script meta link base noscript template".split())
 #: Elements that end an open p; elements that end an open one of the same kind.
 ENDS_P = BLOCKS - {"br", "html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Costs, in nats, that an element around a block adds for keeping (below 0: for dropping) the block.
-ELEMENT_COST = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -5.0, "fieldset": -4.0, "address": -3.0, "article": 6.0, "main": 4.0}
+ELEMENT_COST = {"nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -6.0, "fieldset": -4.0, "address": -3.0, "article": 6.0, "main": 4.0}
 #: Words of class, id and role that mark what is not the article, and what is.
 NOT_ARTICLE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|comment-?\w*|respond|replies|reply|disqus|discussion|feedback|reviews?|share|sharing|social|related|recommend\w*|widget|tags?|meta|byline|copyright|legal|disclaimer|search|skip|complementary|contentinfo|form|aside|teaser|trending|popular|more|outbrain|taboola)(?:$|[^a-z])"
 )
 ARTICLE = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text|hentry|articlebody)(?:$|[^a-z])")
 #: Costs of such words, of a link's share of a block, of length, of sentence marks, of headings; and the edges' capacity.
-MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, SMOOTH = -9.0, 3.0, -4.0, 0.5, 0.6, 0.5, -1.2, 1.2
+MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, SMOOTH = -12.0, 3.0, -4.0, 0.5, 0.6, 0.5, -1.2, 1.2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -76,6 +77,17 @@ def tree_distance(a: Node, b: Node) -> int:
     return n
 
 
+def _named(names: str, inside: bool) -> float:
+    """Cost of an element's names. Of names for and against, as layouts have, none counts; an article may have a header."""
+    against = yes = False
+    for name in names.split():
+        if NOT_ARTICLE.search(name) and not (inside and re.search(r"header|masthead", name)):
+            against = True
+        elif ARTICLE.search(name):
+            yes = True
+    return 0.0 if against and yes else MARK_NOT if against else MARK_YES if yes else 0.0
+
+
 def _enter(tag: str, attributes: str, up: Node) -> Node:
     inside = up.inside or tag in ("article", "main")
     cost = ELEMENT_COST.get(tag, 0.0)
@@ -85,10 +97,7 @@ def _enter(tag: str, attributes: str, up: Node) -> Node:
     if attributes:
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower().replace("_", "-")
         if names and tag not in ("html", "body", "article", "main"):
-            if NOT_ARTICLE.search(names):
-                cost += MARK_NOT
-            elif ARTICLE.search(names):
-                cost += MARK_YES
+            cost += _named(names, up.inside)
         silent = silent or bool(HIDDEN.search(attributes))
     return Node(tag, up, up.depth + 1, cost, silent, inside)
 
@@ -144,6 +153,12 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 in_link = False
             continue
+        if tag not in HEAD and not node.silent or tag in BLOCKS or tag == "body":
+            k = node
+            while k is not root and k.tag != "head":
+                k = k.up
+            if k is not root:
+                node = k.up  # the head ends where the body starts, tags or not
         if tag in ENDS_P:
             k = node
             while k is not root and k.tag not in BLOCKS:
@@ -174,9 +189,11 @@ def blocks(page: str) -> list[Block]:
 def unary(b: Block) -> float:
     """What dropping the block costs more than keeping it: over 0 for likely content."""
     cost = BIAS + LINKS * b.linked + LENGTH * min(6.0, len(b.text) ** 0.5 / 3) + SENTENCE * min(2, sum(b.text.count(c) for c in ".!?;:")) + HEADING * b.heading
-    k = b.node
+    k, marked = b.node, False
     while k is not None:
-        cost += k.cost
+        if k.cost < 0 or not marked:  # what is marked off within an article gains nothing from it
+            cost += k.cost
+        marked = marked or k.cost <= ELEMENT_COST["header"]
         k = k.up
     return cost
 
