@@ -22,8 +22,11 @@ def windowed_recall(stream: DataFrame, time: str, window: str = "5 minutes", del
     return d.groupBy(F.window(time, window), "semantic_group").agg(F.count("*").alias("n"), F.count_if(F.col("gold_concept_code") == F.col("pred_concept_code")).alias("n_correct"))
 
 
-def running_memory(stream: DataFrame) -> DataFrame:
-    """Each target with its document's targets so far. State is one string a document, dropped an hour after its last row."""
+def running_memory(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Each target with its document's targets so far. State is one string a document, dropped keep_ms after its last row.
+
+    Without keep_ms state stays; with it the query keeps running batches to look for timeouts, also when no rows come.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,7 +39,8 @@ def running_memory(stream: DataFrame) -> DataFrame:
             memory += r.target
             out.append((key[0], int(r.mention_order), r.target, memory))
         state.update((memory,))
-        state.setTimeoutDuration(3_600_000)
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=["doc_id", "mention_order", "target", "memory"])
 
-    return stream.groupBy("doc_id").applyInPandasWithState(update, MEMORY, "memory string", "append", "ProcessingTimeTimeout")
+    return stream.groupBy("doc_id").applyInPandasWithState(update, MEMORY, "memory string", "append", "ProcessingTimeTimeout" if keep_ms else "NoTimeout")

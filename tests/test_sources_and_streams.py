@@ -41,9 +41,9 @@ def test_pages_and_escapes(spark, tmp_path):
 
 def run(spark, df, folder, schema, name, mode="append"):
     df_stream = spark.readStream.schema(schema).parquet(folder)
-    q = df(df_stream).writeStream.outputMode(mode).format("memory").queryName(name).start()
+    q = df(df_stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
     finally:
         q.stop()
     return spark.table(name).collect()
