@@ -68,7 +68,7 @@ class Types:
         return out, at + np.arange(len(at)), rare
 
 
-def batches(df: DataFrame, work, schema: str, piece_bytes: int = 24 << 20) -> DataFrame:
+def batches(df: DataFrame, work, schema: str, piece_bytes: int = 6 << 20) -> DataFrame:
     """df.mapInArrow(work) over a partition's batches, gathered to pieces of about piece_bytes: what is counted together leaves as one row."""
 
     def each(it):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of Arrow data sent to Python at once; very long documents then come in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
