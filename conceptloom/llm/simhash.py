@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, minhash
 
 CUTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -167,15 +167,25 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate class: a row of the smallest id, null ids last.
 
-    The row is picked by a grouped minimum over narrow rows, so that a class is never gathered; texts are written once
-    and shuffled once. Only one of wholly equal rows stays. Columns keep their names and values.
+    Classes are the components of pairs whose five-word shingles have a Jaccard similarity of 0.8 or more (see minhash),
+    not those of op2's fingerprints. The row is picked by a grouped minimum over narrow rows, so that a class is never
+    gathered; texts are written once and shuffled once. Only one of wholly equal rows stays. Columns keep their names
+    and values.
     """
+    common.bounded_batches(docs.sparkSession)
     row = F.struct(*(docs[c] for c in docs.columns)).alias("__row")
-    given = with_fingerprints(docs, text_col)
-    given = common.materialize(given.select("__fp", F.monotonically_increasing_id().alias("__rid"), row), "ranked")
-    slim = given.select("__fp", F.struct(F.col(f"__row.{id_col}").isNull().alias("a"), F.col(f"__row.{id_col}").alias("b"), F.col("__rid").alias("c")).alias("o"))
-    fps = common.materialize(slim.groupBy(F.col("__fp").alias("fp")).agg(F.min("o").alias("o"), F.min("o.b").alias("first")), "fps")
-    best = fps.join(components(fps.select("fp", "first")).select("fp", "root"), "fp").groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.c").alias("__rid"))
+    given = common.materialize(docs.select(minhash.sketch(docs[text_col]).alias("__s"), F.monotonically_increasing_id().alias("__rid"), row), "ranked")
+    order = F.struct(F.col(f"__row.{id_col}").isNull().alias("a"), F.col(f"__row.{id_col}").alias("b"), F.col("__rid").alias("c")).alias("o")
+    slim = given.select("__s.digest", "__s.n", "__s.keys", order)
+    nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    pairs = minhash.candidates(nodes)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+    texts = given.select("__rid", F.col(f"__row.{text_col}").alias("t")).join(nodes.join(asked, "digest").select("digest", F.col("o.c").alias("__rid")), "__rid")
+    sets = common.materialize(texts.select("digest", minhash.members(F.col("t")).alias("members")), "sets")
+    linked = common.materialize(minhash.verified(pairs, sets), "links")
+    cc = connected(linked)
+    of = nodes.join(cc, nodes["digest"] == cc["node"], "left").select("o", F.coalesce("component", "digest").alias("root"))
+    best = of.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.c").alias("__rid"))
     return given.join(best, "__rid", "left_semi").select("__row.*")
 
 
