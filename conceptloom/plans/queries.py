@@ -167,21 +167,20 @@ def semantic_relation_recalls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_doc(spark: SparkSession, d: str) -> DataFrame:
-    top = A.predictions(spark, d).where("rank = 1 and cast(doc_id as bigint) < 3000")
+    top = A.predictions(spark, d).where("rank = 1")
     return top.select("doc_id", "semantic_group", metrics.correct().cast("int").alias("num"), F.lit(1).alias("den"))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    per = _per_doc(spark, d)
-    return metrics.bootstrap_ci(per, metrics.poisson_weights(per, 200))
+    return metrics.poisson_bootstrap_ci(_per_doc(spark, d))
 
 
 @query()
 def paired_bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
-    runs = [A.predictions(spark, d, a=a).where("rank = 1 and cast(doc_id as bigint) < 3000") for a in (7, 11)]
-    pairs = metrics.paired(runs[0], A.predictions(spark, d, c=8).where("rank = 1 and cast(doc_id as bigint) < 3000"))
-    return metrics.paired_bootstrap(pairs, metrics.poisson_weights(pairs, 200))
+    runs = [A.predictions(spark, d, a=a).where("rank = 1") for a in (7, 11)]
+    pairs = metrics.paired(runs[0], A.predictions(spark, d, c=8).where("rank = 1"))
+    return metrics.paired_bootstrap(pairs)
 
 
 @query(
