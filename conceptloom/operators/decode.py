@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 END = "</s>"
+MEMORY_BONUS = 0.01
 #: scorer(prompt, mention, candidates, memory) -> (candidate, score) pairs, best first.
 Scorer = Callable[[str, str, list[str], str], list[tuple[str, float]]]
 
@@ -54,42 +57,108 @@ def parse_predictions(outputs: DataFrame, names: DataFrame, multiple: bool = Fal
 
 
 def similarity_scorer(prompt: str, mention: str, candidates: list[str], memory: str) -> list[tuple[str, float]]:
-    """A scorer without a model: string similarity, names already in memory a little better."""
+    """A scorer without a model: string similarity, names already in memory a little better; names without any are left out."""
     m = mention.lower()
-    scored = [(c, difflib.SequenceMatcher(None, m, c.lower()).ratio() + (0.01 if f"}} {c}" in memory else 0.0)) for c in candidates]
+    ratios = ((c, difflib.SequenceMatcher(None, m, c.lower()).ratio()) for c in candidates)
+    scored = [(c, r + (MEMORY_BONUS if f"}} {c}" in memory else 0.0)) for c, r in ratios if r > 0]
     return sorted(scored, key=lambda x: (-x[1], x[0]))
 
 
-def decode_with_memory(mentions: DataFrame, names: DataFrame, scorer: Scorer = similarity_scorer, beams: int = 5, context_format: str = "hybrid_short", candidates: int = 50) -> DataFrame:
+class NearestNames:
+    """The best of similarity_scorer over all names of a group, without scoring those that their letters rule out.
+
+    Letters in common bound the similarity from above; names are scored from the highest bound on, until no bound left can
+    reach the best found. Memory adds at most MEMORY_BONUS, so a short list a mention serves for any memory; it is kept.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names, self.kept = names, {}
+        low = [n.lower() for n in names]
+        self.letters = {c: k for k, c in enumerate(sorted(set("".join(low))))}
+        self.counts = np.zeros((len(names), len(self.letters)), np.int32)
+        for k, n in enumerate(low):
+            for c in n:
+                self.counts[k, self.letters[c]] += 1
+        self.sizes = np.array([len(n) for n in low])
+
+    def _bounds(self, m: str) -> tuple[np.ndarray, np.ndarray]:
+        common = np.zeros(len(self.names), np.int64)
+        for c in set(m) & self.letters.keys():
+            common += np.minimum(self.counts[:, self.letters[c]], m.count(c))
+        bound = 2.0 * common / np.maximum(1, self.sizes + len(m))
+        if not m:
+            bound[self.sizes == 0] = 1.0  # two empty texts are alike
+        order = np.argsort(-bound, kind="stable")
+        return order, bound[order]
+
+    def _short(self, m: str, beams: int) -> list[tuple[str, float]]:
+        """The names that can be among the best for some memory, with their similarity."""
+        order, bound = self._bounds(m)
+        top: list[float] = []
+        found = []
+        for k in range(len(order)):
+            if bound[k] <= 0 or len(top) == beams and bound[k] + MEMORY_BONUS < -top[-1] - 1e-9:
+                break
+            name = self.names[order[k]]
+            ratio = difflib.SequenceMatcher(None, m, name.lower()).ratio()
+            if ratio > 0:
+                found.append((name, ratio))
+                bisect.insort(top, -ratio)
+                del top[beams:]
+        least = -top[-1] - MEMORY_BONUS - 1e-9 if len(top) == beams else 0.0
+        return [x for x in found if x[1] >= least]
+
+    def best(self, mention: str, memory: str, beams: int) -> list[tuple[str, float]]:
+        key = (mention.lower(), beams)
+        if key not in self.kept:
+            if len(self.kept) >= 10_000:
+                self.kept.clear()
+            self.kept[key] = self._short(*key)
+        scored = [(name, r + (MEMORY_BONUS if f"}} {name}" in memory else 0.0)) for name, r in self.kept[key]]
+        return sorted(scored, key=lambda x: (-x[1], x[0]))[:beams]
+
+
+#: Of the last broadcast dictionary in a Python worker: that dictionary, and the index of each group.
+_LAST: list = [None, {}]
+
+
+def _nearest(groups: dict, group: str) -> NearestNames:
+    if _LAST[0] is not groups:
+        _LAST[:] = groups, {}
+    if group not in _LAST[1]:
+        _LAST[1][group] = NearestNames(list(groups.get(group, {})))
+    return _LAST[1][group]
+
+
+def decode_with_memory(mentions: DataFrame, names: DataFrame, scorer: Scorer = similarity_scorer, beams: int = 5, context_format: str = "hybrid_short") -> DataFrame:
     """Ranked predictions of mentions(doc_id, mention_id, mention_order, mention, semantic_group, source).
 
     A document's mentions are decoded in order, each with what was predicted before it; documents are independent. The
-    candidates of a mention, the nearest names of its group by a shared beginning, are joined before, so a document's task
-    holds its own mentions only. Mentions without candidates get NO_CODE.
+    candidates of a mention are all names of its group, as over the group's whole trie; the names are broadcast. Mentions
+    for which the scorer finds nothing get NO_CODE.
     """
-    n = names.select(F.col("grp").alias("semantic_group"), F.lower(F.substring("entity", 1, 2)).alias("__k"), "entity", "code")
-    d = mentions.withColumn("__k", F.lower(F.substring("mention", 1, 2)))
-    near = d.select("semantic_group", "__k", "mention").distinct().join(n, ["semantic_group", "__k"])
-    near = near.groupBy("semantic_group", "mention").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.levenshtein("mention", "entity").alias("d"), "entity", "code"))), 1, candidates).alias("__near"))
-    d = d.drop("__k").join(near, ["semantic_group", "mention"], "left").withColumn("__near", F.to_json("__near"))
+    groups: dict[str, dict[str, str]] = {}
+    for r in names.where("entity is not null").groupBy("grp", "entity").agg(F.min("code").alias("code")).orderBy("grp", "entity").toLocalIterator():
+        groups.setdefault(r["grp"], {})[r["entity"]] = r["code"]
+    known = mentions.sparkSession.sparkContext.broadcast(groups)
+    fast = scorer is similarity_scorer
     schema = "doc_id string, mention_id string, mention string, semantic_group string, prompt string, pred_concept_name string, pred_concept_code string, score double, rank int"
 
     def document(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         memory, out = "", []
         for r in pdf.sort_values(["mention_order", "mention_id"]).itertuples(index=False):
-            near = json.loads(r[pdf.columns.get_loc("__near")] or "[]")
-            of = {}
-            for x in near:
-                of.setdefault(x["entity"], x["code"])
+            of = known.value.get(r.semantic_group, {})
             opening = f"[{r.mention}]{{{r.semantic_group}}}"
             prompt = f"### Context\n{(r.source or '').rstrip()}\n\n### Previous Normalizations\n{memory.rstrip() or 'None'}\n\n### Prediction\n{opening}"
-            ranked = scorer(prompt, r.mention, list(of), memory)[:beams] or [("NO_PREDICTION", 0.0)]
+            if fast:
+                ranked = _nearest(known.value, r.semantic_group).best(r.mention, memory, beams)
+            else:
+                ranked = scorer(prompt, r.mention, list(of), memory)[:beams]
+            ranked = ranked or [("NO_PREDICTION", 0.0)]
             for k, (name, score) in enumerate(ranked, 1):
-                out.append((str(r.doc_id), r.mention_id, r.mention, r.semantic_group, prompt, name, of.get(name, "NO_CODE"), float(score), k))
+                out.append((str(r.doc_id), r.mention_id, r.mention, r.semantic_group, prompt, name, of.get(name) or "NO_CODE", float(score), k))
             if context_format != "short":
                 memory += f"{opening} {ranked[0][0]}\n"
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return d.groupBy("doc_id").applyInPandas(document, schema)
+    return mentions.groupBy("doc_id").applyInPandas(document, schema)
