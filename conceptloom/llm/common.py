@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 #: One or more characters that end a word: ASCII white space only.
@@ -49,11 +57,42 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Lists that recorded() fills.
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Adds the paths of all tables that are written meanwhile to paths."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.pop()
+
+
+def sweep(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Deletes the tables at paths, but for those that reader still reads, and takes them off the list."""
+    read = reader.inputFiles() if reader is not None else []
+    for path in list(paths):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            delete(spark, path)
+            paths.remove(path)
+
+
+def written(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> str:
+    """Writes df as Parquet to a fresh path of the shared folder, and returns it."""
+    path = fresh_path(df.sparkSession, label)
+    for paths in _RECORDS:
+        paths.append(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here, so a lost executor costs a reread only."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
+    path = written(df, label)
     out = spark.read.schema(df.schema).parquet(path)
     out._conceptloom_path = path
     return out
@@ -65,6 +104,83 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+#: Two columns that say where a row stands: a hash of its file, and its number there. Rows of a file that are looked up together.
+ADDRESS, CHUNK_BITS = ("__f", "__r"), 18
+
+
+def addressed(docs: DataFrame, label: str = "rows") -> tuple[DataFrame, list[Column]]:
+    """docs as a plain scan of Parquet files, and its address columns. What is no such scan yet is written once.
+
+    Addresses are read from the files' metadata, so they are the same whenever and wherever a row is read again.
+    """
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if plain:
+        with contextlib.suppress(AnalysisException):
+            return docs, _address(docs)
+    docs = materialize(docs, label)
+    return docs, _address(docs)
+
+
+def _address(docs: DataFrame) -> list[Column]:
+    m = docs.metadataColumn("_metadata")
+    found = [F.xxhash64(m["file_path"]).alias(ADDRESS[0]), m["row_index"].alias(ADDRESS[1])]
+    docs.select(*found).schema  # noqa: B018 - raises where there is no such metadata
+    return found
+
+
+def attach(docs: DataFrame, table: DataFrame, label: str) -> DataFrame:
+    """Rows of docs whose address stands in table, with the table's other columns; docs is of addressed().
+
+    A join without a shuffle of docs: the table, of one narrow row an address at most, is written in pieces by file and
+    run of rows, and every task looks up the pieces of the rows it scans in the shared folder.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs, address = addressed(docs)
+    values = [f for f in table.schema.fields if f.name not in ADDRESS]
+    schema = StructType([*docs.schema.fields, *values])
+    pieces = table.withColumn("__c", F.shiftright(ADDRESS[1], CHUNK_BITS)).repartition(ADDRESS[0], "__c")
+    path = written(pieces, label, (ADDRESS[0], "__c"))
+
+    def look_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        held: dict[tuple[int, int], tuple[np.ndarray, pa.Table] | None] = {}
+
+        def piece(key: tuple[int, int]):
+            if key not in held:
+                while len(held) > 3:
+                    del held[next(iter(held))]
+                infos = fs.get_file_info(pafs.FileSelector(f"{root}/{ADDRESS[0]}={key[0]}/__c={key[1]}", allow_not_found=True))
+                read = [pq.ParquetFile(fs.open_input_file(x.path)).read() for x in infos if x.path.endswith(".parquet")]
+                t = pa.concat_tables(read).sort_by(ADDRESS[1]).combine_chunks() if read else None
+                held[key] = None if t is None else (t[ADDRESS[1]].to_numpy(), t.drop_columns([ADDRESS[1]]))
+            return held[key]
+
+        for b in it:
+            n = b.num_columns - 2
+            files, rows = b.column(n).to_numpy(), b.column(n + 1).to_numpy()
+            keys = np.stack([files, rows >> CHUNK_BITS])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(rows) else []
+            for a, z in zip(starts, [*starts[1:], len(rows)], strict=True):
+                if (found := piece((int(keys[0, a]), int(keys[1, a])))) is None:
+                    continue
+                known, t = found
+                at = np.minimum(np.searchsorted(known, rows[a:z]), len(known) - 1)
+                hit = np.flatnonzero(known[at] == rows[a:z])
+                if len(hit):
+                    mine = b.slice(a, z - a).take(pa.array(hit))
+                    more = t.take(pa.array(at[hit])).combine_chunks()
+                    columns = [mine.column(k) for k in range(n)] + [_whole(more[f.name]) for f in values]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*(docs[c] for c in docs.columns), *address).mapInArrow(look_up, schema)
+
+
+def _whole(c: pa.ChunkedArray) -> pa.Array:
+    c = c.combine_chunks()
+    return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node of edges(u, v), u <> v.
 

@@ -19,7 +19,8 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,13 +84,15 @@ def records(stream: io.BufferedIOBase, chunk: int = 1 << 20) -> Iterator[tuple[d
 
 def _cell(full: list[tuple[int, int, int]], widths: list[int], each: int):
     """The number of the grid cell an id falls in, or -1 between the ranges."""
-    low, high, wide = (np.array(x, np.int64) for x in ([f[0] for f in full], [f[1] - 1 for f in full], widths))
+    low, high = (np.array(x, np.int64) for x in ([f[0] for f in full], [f[1] - 1 for f in full]))
+    wide = np.array(widths, np.uint64)
 
-    @F.pandas_udf("long")
-    def cell(i: pd.Series) -> pd.Series:
-        v = i.to_numpy("int64")
+    @F.arrow_udf("long")
+    def cell(i: pa.Array) -> pa.Array:
+        v = i.to_numpy(zero_copy_only=False).astype(np.int64)
         k = np.searchsorted(low, v, side="right") - 1
-        return pd.Series(np.where(v <= high[k], k * each + (v - low[k]) // wide[k], -1))
+        past = (v.view(np.uint64) - low[k].view(np.uint64)) // wide[k]  # wraps rightly for ranges beyond 2^63
+        return pa.array(np.where(v <= high[k], k * each + past.astype(np.int64), -1), pa.int64())
 
     return cell
 
@@ -131,38 +134,45 @@ def range_bounds(ids: DataFrame, rows: int = SHARD_ROWS, grid: int = GRID) -> li
 def write(pages: DataFrame, out: str, min_payload: int = 0, shard_rows: int = SHARD_ROWS, file_bytes: int = FILE_BYTES, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes pages as WARC files under out, a URI that all executors reach, and returns the manifest's rows.
 
-    A null html is an empty payload, a null url an empty target; repeated rows and ids are records of their own; an empty
-    table gives a manifest without files. out/manifest has the files, and exists only once all of them are in place.
+    A null html is an empty payload, a null url an empty target that is not the empty url; repeated rows and ids are
+    records of their own, ids are whole 64-bit numbers, and an empty table gives a manifest without files. out/manifest
+    has the files, and exists only once all of them are in place. Other columns of pages, of whatever names, are not read.
     """
     spark = pages.sparkSession
     common.bounded_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit(""))
     id_, url = F.col(id_col).cast("long"), F.col(url_col).cast("string")
     d = pages.select(id_.alias("id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"))
-    # the response of each payload: the largest id (null below all), of equal ids the least url
-    order = F.struct(F.col("id").isNull().alias("a"), (-F.col("id").cast("decimal(20,0)")).alias("b"), F.coalesce("url", F.lit("")).alias("c"), F.col("id").alias("id"))
+    # the response of each payload: the largest id (null below all), of equal ids the null url, then the least
+    order = F.struct(F.col("id").isNull().alias("a"), (-F.col("id").cast("decimal(20,0)")).alias("b"), F.col("url").isNotNull().alias("c"), "url", "id")
     slim = common.materialize(d.select("id", "url", "sha", F.octet_length("html").alias("bytes")), "payloads")
     first = slim.where(F.col("bytes") >= min_payload).groupBy("sha").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
-    first = common.materialize(first.select("sha", F.col("o.id").alias("refers"), F.col("o.c").alias("refers_url")), "responses")
+    first = common.materialize(first.select("sha", F.col("o.id").alias("refers"), F.col("o.url").alias("refers_url"), F.lit(True).alias("shared")), "responses")
     bounds = range_bounds(slim.select("id"), shard_rows)
     shards = len(bounds) + 1
+    edges = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def shard(i: pd.Series) -> pd.Series:
-        known = i.notna().to_numpy()
-        to = np.searchsorted(np.array(bounds, np.int64), i.fillna(0).to_numpy("int64"), side="right")
-        return pd.Series(np.where(known, to, 0).astype("int32"))
+    @F.arrow_udf("int")
+    def shard(i: pa.Array) -> pa.Array:
+        known = pc.is_valid(i).to_numpy(zero_copy_only=False)
+        to = np.searchsorted(edges, pc.fill_null(i, 0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(np.where(known, to, 0).astype(np.int32))
 
     # ids without number and ids met very often are spread over pieces of their shard by the payload's hash
     heavy = slim.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard_rows)
     heavy = common.materialize(heavy.select(F.col("id").alias("heavy"), F.ceil(F.col("n") / F.lit(shard_rows)).alias("pieces")), "heavy")
-    d = d.join(F.broadcast(heavy) if heavy.count() < 1000 else heavy, d["id"].eqNullSafe(heavy["heavy"]), "left")
+    many, pieces = heavy.agg(F.count("*"), F.coalesce(F.max("pieces"), F.lit(0))).head()
+    # few ids can be so heavy; their table is broadcast while it has under 1000 rows, and joined by a shuffle beyond
+    d = d.join(F.broadcast(heavy) if many < 1000 else heavy, d["id"].eqNullSafe(heavy["heavy"]), "left")
     piece = F.coalesce(F.pmod(F.xxhash64("sha", "url"), F.col("pieces")), F.lit(0)).cast("int")
-    d = d.join(first, "sha", "left").select("id", "url", "html", "sha", "refers", "refers_url", F.col("refers_url").isNotNull().alias("shared"), shard("id").alias("shard"), piece.alias("piece"))
-    d = d.repartition(max(1, shards), "shard", "piece").sortWithinPartitions("shard", "piece", F.col("id").asc_nulls_first(), F.coalesce("url", F.lit("")), "sha")
+    d = d.join(first, "sha", "left").select("id", "url", "html", "sha", "refers", "refers_url", F.coalesce("shared", F.lit(False)).alias("shared"), shard("id").alias("shard"), piece.alias("piece"))
+    # a shard is a task: shard numbers are partition numbers, and the pieces of a crowded shard go to the next ones
+    tasks = int(max(1, shards, pieces))
+    d = d.repartitionById(tasks, F.pmod(F.col("shard") + F.col("piece"), F.lit(tasks)).cast("int"))
+    d = d.sortWithinPartitions("shard", "piece", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "sha")
     attempt_root = f"{out}/_temporary"
 
-    def save(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
         _, temp = pafs.FileSystem.from_uri(attempt_root)
         temp = f"{temp}/{uuid.uuid4().hex}"
@@ -170,33 +180,29 @@ def write(pages: DataFrame, out: str, min_payload: int = 0, shard_rows: int = SH
         open_file = name = None
         size = count = number = 0
         sha = hashlib.sha256()
-        at, before, same, done, told = None, None, 0, {}, []
+        at, before, same, told = None, None, 0, []
 
         def close():
             nonlocal open_file, number
             open_file.close()
             fs.move(f"{temp}/{name}", f"{root}/{name}")
-            done.update(file=name, bytes=size, records=count, sha256=sha.hexdigest())
-            told.append(dict(done))
+            told.append({"file": name, "bytes": size, "records": count, "sha256": sha.hexdigest()})
             open_file, number = None, number + 1
 
-        for pdf in it:
-            for r in pdf.itertuples(index=False):
-                i = None if pd.isna(r.id) else int(r.id)
-                if (r.shard, r.piece) != at:
+        for b in it:
+            columns = (b.column(k).to_pylist() for k in range(b.num_columns))
+            for i, url, page, digest_, refers, refers_url, shared, k, p in zip(*columns, strict=True):
+                if (k, p) != at:
                     if open_file:
                         close()
-                    at, number = (r.shard, r.piece), 0
-                same = same + 1 if (i, r.url, r.sha) == before else 0
-                before = (i, r.url, r.sha)
-                u = r.url or ""
-                name_of = lambda page, link, k=0: f"urn:page:{'' if page is None else page}:{hashlib.sha256((link + r.sha).encode()).hexdigest()[:16]}{f':{k}' if k else ''}"  # noqa: B023, E731
-                refers = None if pd.isna(r.refers) else int(r.refers)
-                response = not r.shared or ((i, u) == (refers, r.refers_url) and not same)
-                row = {"kind": "response" if response else "revisit", "urn": name_of(i, u, same), "url": r.url, "id": i, "refers": None if response else refers, "refers_urn": name_of(refers, r.refers_url or "")}
-                data = record(row, (r.html or "").encode("utf-8", "surrogatepass"), date)
+                    at, number = (k, p), 0
+                same = same + 1 if (i, url, digest_) == before else 0
+                before = (i, url, digest_)
+                response = not shared or ((i, url) == (refers, refers_url) and not same)
+                row = {"kind": "response" if response else "revisit", "urn": _urn(i, url, digest_, same), "url": url, "id": i, "refers": None if response else refers, "refers_urn": _urn(refers, refers_url, digest_)}
+                data = record(row, page.encode("utf-8", "surrogatepass"), date)
                 if open_file is None:
-                    name, size, count, sha = f"part-{r.shard:06d}-{r.piece:04d}-{number:05d}.warc.gz", 0, 0, hashlib.sha256()
+                    name, size, count, sha = f"part-{k:06d}-{p:04d}-{number:05d}.warc.gz", 0, 0, hashlib.sha256()
                     open_file = fs.open_output_stream(f"{temp}/{name}", compression=None)
                 open_file.write(data)
                 sha.update(data)
@@ -204,31 +210,41 @@ def write(pages: DataFrame, out: str, min_payload: int = 0, shard_rows: int = SH
                 if size >= file_bytes:
                     close()
             if told:
-                yield pd.DataFrame(told)
-                told = []
+                yield pa.RecordBatch.from_pylist(told, MANIFEST)
+                told.clear()
         if open_file:
             close()
         if told:
-            yield pd.DataFrame(told)
+            yield pa.RecordBatch.from_pylist(told, MANIFEST)
 
-    manifest = d.mapInPandas(save, "file string, bytes long, records long, sha256 string")
+    manifest = d.mapInArrow(save, FILES)
     manifest.write.json(f"{out}/manifest")
     common.delete(spark, attempt_root)
-    return spark.read.schema("file string, bytes long, records long, sha256 string").json(f"{out}/manifest")
+    return spark.read.schema(FILES).json(f"{out}/manifest")
+
+
+FILES = "file string, bytes long, records long, sha256 string"
+MANIFEST = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
+RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def _urn(page: int | None, url: str | None, sha: str, times: int = 0) -> str:
+    """The name of a record: of its id, its url (a null one is not the empty one), its payload and how often these were met before."""
+    link = hashlib.sha256((("" if url is None else f"={url}") + sha).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return f"urn:page:{'' if page is None else page}:{link}{f':{times}' if times else ''}"
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
     """A row for each record of the files of out's manifest: the record's headers and its payload (null for revisits)."""
     common.bounded_batches(spark)
-    files = spark.read.schema("file string, bytes long, records long, sha256 string").json(f"{out}/manifest")
+    files = spark.read.schema(FILES).json(f"{out}/manifest")
     files = files.select("file", "records").repartition(max(1, spark.sparkContext.defaultParallelism, files.count()), "file")
-    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
-    def load(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
         number = lambda x: int(x) if x else None
-        for pdf in it:
-            for name, expected in zip(pdf["file"], pdf["records"], strict=True):
+        for b in it:
+            for name, expected in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, size, met = [], 0, 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for h, block in records(f):
@@ -241,19 +257,18 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                         rows.append((number(h["X-Page-ID"]), h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), number(h.get("X-Refers-To-Page-ID")), payload))
                         size += len(block)
                         if size > common.BATCH_BYTES or len(rows) >= 2000:
-                            yield _frame(rows)
+                            yield _batch(rows)
                             rows, size = [], 0
                 if met != expected:
                     raise ValueError(f"{name} has {met} records; the manifest says {expected}")
                 if rows:
-                    yield _frame(rows)
+                    yield _batch(rows)
 
-    return files.mapInPandas(load, schema)
+    return files.mapInArrow(load, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-    return df.astype({"page_id": "Int64", "refers_to": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORDS, strict=True)], schema=RECORDS)
 
 
 def summary(manifest: DataFrame) -> str:

@@ -77,3 +77,29 @@ def test_range_bounds_split_crowded_ranges(spark):
     edges = [-(2**63), *bounds, 2**63]
     counts = [sum(a <= i < b for i in ids) for a, b in zip(edges, edges[1:], strict=False)]
     assert max(counts) <= 100 and sum(counts) == len(ids)
+
+
+def test_ids_beyond_doubles_and_null_beside_empty_urls(spark):
+    big = 2**53
+    rows = [(big + 1, "a", "<p>x</p>"), (big + 3, "b", "<p>x</p>"), (None, "c", "<p>x</p>"), (2**63 - 1, "d", "<p>y</p>"), (-(2**63), "e", "<p>y</p>")]
+    rows += [(5, None, "<p>z</p>"), (5, "", "<p>z</p>"), (None, None, "<p>w</p>"), (None, "", "<p>w</p>"), (6, "u", "<p>v</p>"), (6, "u", "<p>v</p>")]
+    src = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    out = common.fresh_path(spark, "w")
+    warc.write(src, out, shard_rows=2)
+    got = warc.read(spark, out).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(i) for i, _, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["payload_digest"], []).append(r)
+    for html, top, n in (("<p>x</p>", big + 3, 3), ("<p>y</p>", 2**63 - 1, 2), ("<p>z</p>", 5, 2), ("<p>w</p>", None, 2), ("<p>v</p>", 6, 2)):
+        own = by[warc.digest(html.encode())]
+        response = [r for r in own if r["record_type"] == "response"]
+        assert len(own) == n and [r["page_id"] for r in response] == [top]
+        assert all(r["refers_to"] == top for r in own if r["record_type"] == "revisit")
+
+
+def test_a_shard_is_a_task(spark):
+    src = spark.range(2000).selectExpr("id AS page_id", "'u' AS url", "concat('<p>', id, '</p>') AS html")
+    out = common.fresh_path(spark, "w")
+    shards = {r["file"].split("-")[1]: r["records"] for r in warc.write(src, out, shard_rows=100).collect()}
+    assert len(shards) >= 20 and max(shards.values()) <= 100
