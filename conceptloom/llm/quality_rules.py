@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,14 +19,14 @@ WINDOW = 5
 VECTOR = ("v0", "v1", "v2", "v3")
 #: Share of a group's documents that each concentration step keeps, and the number of steps.
 CORE, STEPS = 0.75, 4
-#: Groups with fewer documents share one estimate.
-LEAST_GROUP = 200
-#: Squared robust distances over this are outliers, in units in which CORE of a normal sample is as for chi-square with 4 degrees of freedom.
-CUT = 60.0
-#: Fixed value: the 0.75 quantile of chi-square with 4 degrees of freedom.
-CHI_CORE = 5.385
+#: Documents that a group's language counts as in the group's own estimate, and all languages in the language's.
+PRIOR = 30.0
+#: Quantiles of chi-square with 4 degrees of freedom, 0.75 and 1 - 1e-9.
+CHI_CORE, CUT = 5.385, 47.60
 #: Least spread of each statistic: keeps a group of like documents from rejecting small differences.
-FLOOR = (0.12, 0.06, 0.10, 0.12)
+FLOOR = (0.12, 0.06, 0.10, 0.08)
+#: Estimates of up to this many groups are broadcast to the rows that are judged; more meet them in a shuffled join.
+BROADCAST_GROUPS = 20_000
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -73,7 +73,13 @@ def vector(d: DataFrame) -> DataFrame:
     )
 
 
-def _distance(d: DataFrame) -> Column:
+P = range(len(VECTOR))
+CROSS = [(i, j) for i in P for j in range(i + 1)]
+GROUP = ["__l", "__s"]
+RUN = [*GROUP, "__start"]
+
+
+def _distance() -> Column:
     """Squared distance of the vector to m0.. under the Cholesky factor l00.. of the covariance."""
     y: list[Column] = []
     for i, v in enumerate(VECTOR):
@@ -81,73 +87,98 @@ def _distance(d: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, (x * x for x in y))
 
 
-def _estimate(d: DataFrame, where: Column, by: list[str]) -> DataFrame:
-    """Means and Cholesky factors of the rows where holds, by group."""
-    p = range(len(VECTOR))
+def _sums(where: Column) -> list[Column]:
+    """Number, sums and sums of products of the vectors of rows where holds."""
     on = F.when(where, F.lit(1.0))
-    sums = [F.sum(on).alias("n"), *(F.sum(on * F.col(VECTOR[i])).alias(f"s{i}") for i in p), *(F.sum(on * F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i in p for j in p if j <= i)]
-    e = d.groupBy(*by).agg(*sums)
-    e = e.select(*by, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p), *(F.col(f"q{i}{j}") for i in p for j in p if j <= i))
-    for i in p:
-        for j in range(i + 1):
-            cov = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            rest = cov - reduce(lambda a, b: a + b, (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + F.lit(FLOOR[i] ** 2)) if i == j else rest / F.col(f"l{j}{j}"))
-    return e.select(*by, *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in range(i + 1)))
-
-
-def _core(d: DataFrame, by: list[str]) -> DataFrame:
-    """(group, cut, scale): the squared distance under which CORE of the group lies, from counts on a fixed grid of 32 steps a doubling."""
+    return [F.coalesce(F.sum(on * x), F.lit(0.0)).alias(n) for n, x in [("n", F.lit(1.0)), *((f"s{i}", F.col(VECTOR[i])) for i in P), *((f"q{i}{j}", F.col(VECTOR[i]) * F.col(VECTOR[j])) for i, j in CROSS)]]
+
+
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Means and Cholesky factors of each group and start, from _sums by RUN: one small row a group.
+
+    A group's moments are averaged with PRIOR documents of its language's, and those with PRIOR documents of all: the
+    fewer documents a group has, the more it follows its language, and no size is a threshold.
+    """
+    names = ["n", *(f"s{i}" for i in P), *(f"q{i}{j}" for i, j in CROSS)]
+    d = sums  # windows over one row a group and start
+    for of, keys in (("lang", ["__l", "__start"]), ("all", ["__start"])):
+        w = Window.partitionBy(*keys)
+        d = d.select("*", *(F.sum(c).over(w).alias(f"{of}_{c}") for c in names))
+    n = {k: F.col(f"{k}n") for k in ("", "lang_", "all_")}
+
+    def moment(c: str) -> Column:
+        every = F.coalesce(F.try_divide(F.col(f"all_{c}"), n["all_"]), F.lit(0.0))
+        lang = (F.col(f"lang_{c}") + PRIOR * every) / (n["lang_"] + PRIOR)
+        return (F.col(c) + PRIOR * lang) / (n[""] + PRIOR)
+
+    d = d.select(*RUN, *(moment(f"s{i}").alias(f"m{i}") for i in P), *(moment(f"q{i}{j}").alias(f"e{i}{j}") for i, j in CROSS))
+    for i, j in CROSS:
+        rest = F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") - reduce(lambda a, b: a + b, (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0)) + F.lit(FLOOR[i] ** 2)) if i == j else rest / F.col(f"l{j}{j}"))
+    return d.select(*RUN, *(f"m{i}" for i in P), *(f"l{i}{j}" for i, j in CROSS))
+
+
+def _core(far: DataFrame) -> DataFrame:
+    """(group, start, cut): the squared distance under which CORE of the group lies, from counts on a fixed grid of 32 steps a doubling."""
     grid = F.floor(F.log2(F.greatest(F.col("dist"), F.lit(1e-6))) * 32)
-    counts = d.groupBy(*by, grid.alias("g")).agg(F.count("*").alias("c"))
-    got = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("g", "c"))).alias("h"), F.sum("c").alias("all"))  # at most 32 * log2(range) entries
+    counts = far.groupBy(*RUN, grid.alias("g")).agg(F.count("*").alias("c"))
+    got = counts.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("g", "c"))).alias("h"), F.sum("c").alias("all"))  # at most 32 * log2(range) entries
     at = F.expr(f"aggregate(h, struct(0L AS c, cast(null as bigint) AS g), (a, x) -> struct(a.c + x.c AS c, if(a.g is null and a.c + x.c >= {CORE} * all, x.g, a.g) AS g)).g")
-    return got.select(*by, at.alias("g")).select(*by, F.pow(F.lit(2.0), (F.col("g") + 1) / 32.0).alias("cut"))
+    return got.select(*RUN, F.pow(F.lit(2.0), (at + 1) / 32.0).alias("cut"))
 
 
-GROUP = ["__lang", "__source"]
+def _keyed(d: DataFrame, lang_col: str, source_col: str) -> list[Column]:
+    return [F.coalesce(d[c].cast("string"), F.lit("\x00")).alias(k) for c, k in zip((lang_col, source_col), GROUP, strict=True)]
 
 
-def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Groups (one row each, with their counts) and estimates of rows of statistics() that passed the base rules.
+def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """An estimate for each language and source, one row each, of the rows of statistics() that passed the base rules.
 
-    Each concentration step takes the CORE share of a group nearest to its estimate and estimates anew; the first starts
-    from medians and absolute deviations, by approximate percentiles of bounded size.
+    Minimum covariance determinant: from two starts (medians with quartile spreads; means with the covariance of all
+    rows) each concentration step takes the CORE share of a group nearest to its estimate and estimates anew; the start
+    whose covariance has the least determinant stays. All groups and starts go together, in grouped sums of narrow rows.
+    An empty table gives no estimates; null languages and sources are groups of their own.
     """
-    d = vector(stats.where(~F.col("__base_failed"))).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")).alias("l"), F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")).alias("s"), *VECTOR)
-    d = common.materialize(d, "vectors")
-    size = d.groupBy("l", "s").agg(F.count("*").alias("c"))
-    own = F.col("c") >= LEAST_GROUP
-    groups = common.materialize(size.select("l", "s", F.when(own, F.col("l")).otherwise("\x01").alias("__lang"), F.when(own, F.col("s")).otherwise("\x01").alias("__source")), "groups")
-    d = common.materialize(d.join(groups, ["l", "s"]).select(*GROUP, *VECTOR), "vectors")
+    d = vector(stats.where(~F.col("__base_failed")))
+    d = common.materialize(d.select(*_keyed(d, lang_col, source_col), *VECTOR), "vectors")
     med = d.groupBy(*GROUP).agg(*(F.percentile_approx(v, [0.25, 0.5, 0.75], 2000).alias(f"p{i}") for i, v in enumerate(VECTOR)))
-    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(len(VECTOR)) for j in range(i)]
-    est = med.select(*GROUP, *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(len(VECTOR))), *zero, *(F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + F.lit(FLOOR[i] ** 2)).alias(f"l{i}{i}") for i in range(len(VECTOR))))
-    est = common.materialize(est, "estimate")
+    spread = lambda i: F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + F.lit(FLOOR[i] ** 2))
+    first = med.select(*GROUP, F.lit(0).alias("__start"), *(F.col(f"p{i}")[1].alias(f"m{i}") for i in P), *((spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in CROSS))
+    whole = _estimate(d.groupBy(*GROUP).agg(*_sums(F.lit(True))).withColumn("__start", F.lit(1)))
+    est = common.materialize(first.unionByName(whole), "estimate")
     for step in range(STEPS + 1):
-        far = d.join(est, GROUP)
-        far = far.select(*GROUP, *VECTOR, _distance(far).alias("dist"))
-        cut = common.materialize(_core(far, GROUP), "core")
+        far = _beside(d, est).select(*RUN, *VECTOR, _distance().alias("dist"))
+        cut = common.materialize(_core(far), "core")
         if step == STEPS:
             break
-        near = far.join(cut, GROUP)
-        est = common.materialize(_estimate(near, F.col("dist") <= F.col("cut"), GROUP), "estimate")
-    est = est.join(cut, GROUP).select(*est.columns, F.greatest(F.col("cut") / F.lit(CHI_CORE), F.lit(1.0)).alias("scale"))
-    return groups, common.materialize(est, "estimate")
+        near = far.join(_small(cut), RUN)
+        est = common.materialize(_estimate(near.groupBy(*RUN).agg(*_sums(F.col("dist") <= F.col("cut")))), "estimate")
+    logdet = reduce(lambda a, b: a + b, (F.log(f"l{i}{i}") for i in P))
+    est = est.join(cut, RUN).withColumn("scale", F.greatest(F.col("cut") / F.lit(CHI_CORE), F.lit(1.0)))
+    values = [c for c in est.columns if c not in RUN]
+    best = est.groupBy(*GROUP).agg(F.min_by(F.struct(*values), F.struct(logdet, "__start")).alias("x"))
+    return common.materialize(best.select(*GROUP, "x.*"), "estimate")
+
+
+def _small(groups: DataFrame) -> DataFrame:
+    """A table of one row a group (or two), to be broadcast if it has few enough rows."""
+    return F.broadcast(groups) if groups.limit(2 * BROADCAST_GROUPS + 1).count() <= 2 * BROADCAST_GROUPS else groups
+
+
+def _beside(d: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
+    return d.join(_small(est), GROUP, how)
 
 
-def judge(stats: DataFrame, model: tuple[DataFrame, DataFrame], lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(stats: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """stats with __distance (null where the base rules failed) and __kept.
 
-    Group tables have one row a language and source; Spark broadcasts them if they are below its size threshold, and
-    splits skewed groups otherwise. A language or source the model has not seen uses the shared estimate, if any.
+    The estimates are broadcast, so that rows stay where they are, unless there are more than BROADCAST_GROUPS. Rows of a
+    language or source that the model has not met have no distance, and the base rules alone decide.
     """
-    groups, est = model
-    key = groups.join(est, GROUP).select(F.col("l").alias("__l"), F.col("s").alias("__s"), *(c for c in est.columns if c not in GROUP))
     cols = stats.columns
-    d = vector(stats.select(F.struct(*(stats[c] for c in cols)).alias("__row"), F.coalesce(stats[lang_col].cast("string"), F.lit("\x00")).alias("__l"), F.coalesce(stats[source_col].cast("string"), F.lit("\x00")).alias("__s"), "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words"))
-    d = d.join(key, ["__l", "__s"], "left")
-    far = F.when(~F.col("__row.__base_failed"), _distance(d) / F.col("scale"))
+    d = vector(stats.select(F.struct(*(stats[c] for c in cols)).alias("__row"), *_keyed(stats, lang_col, source_col), "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words"))
+    d = _beside(d, model, "left")
+    far = F.when(~F.col("__row.__base_failed"), _distance() / F.col("scale"))
     return d.select("__row.*", far.alias("__distance")).select("*", (~F.col("__base_failed") & (F.coalesce(F.col("__distance"), F.lit(0.0)) <= CUT)).alias("__kept"))
 
 

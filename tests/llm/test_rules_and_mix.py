@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from conceptloom.llm import common, mixing
@@ -43,8 +44,73 @@ def test_rules_on_awkward_rows(spark, awkward):
 
 
 def test_native_plan(spark, awkward):
-    text = q.statistics(awkward)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in text and "Arrow" not in text
+    stats = q.statistics(awkward)
+    kept = common.materialize(stats, "statistics")
+    for df in (stats, q.judge(kept, q.fit(kept))):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text
+
+
+def shrunk(sums):
+    """Means and regularised Cholesky factors of each group from {group: (n, s, q)}, by PRIOR documents of the level above."""
+    every = [sum(x[k] for x in sums.values()) for k in range(3)]
+    every = [every[1] / every[0], every[2] / every[0]] if every[0] else [np.zeros(4), np.zeros((4, 4))]
+    out = {}
+    for g, (n, s, c) in sums.items():
+        lang = [sum(x[k] for h, x in sums.items() if h[0] == g[0]) for k in range(3)]
+        m, e = (((lang[k + 1] + q.PRIOR * every[k]) / (lang[0] + q.PRIOR)) for k in range(2))
+        m, e = (s + q.PRIOR * m) / (n + q.PRIOR), (c + q.PRIOR * e) / (n + q.PRIOR)
+        cov, low = e - np.outer(m, m), np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, 0) + q.FLOOR[i] ** 2) if i == j else rest / low[j, j]
+        out[g] = m, low
+    return out
+
+
+def brute_distances(rows):
+    """{number of a row: distance} of rows(group, vector) by the method, written with NumPy."""
+    groups = {}
+    for k, (g, v) in enumerate(rows):
+        groups.setdefault(g, []).append((k, v))
+    x = {g: np.array([v for _, v in r]) for g, r in groups.items()}
+    sums = lambda on: {g: (on[g].sum(), (v[on[g]]).sum(0), v[on[g]].T @ v[on[g]]) for g, v in x.items()}
+    far = lambda est: {g: (np.linalg.solve(est[g][1], (v - est[g][0]).T) ** 2).sum(0) for g, v in x.items()}
+
+    def cut(d):
+        cells = np.sort(np.floor(np.log2(np.maximum(d, 1e-6)) * 32))
+        return 2 ** ((cells[int(np.ceil(q.CORE * len(cells))) - 1] + 1) / 32)
+
+    at = lambda v, p: np.sort(v, 0)[max(0, int(np.ceil(p * len(v))) - 1)]
+    first = {g: (at(v, 0.5), np.diag(np.sqrt(((at(v, 0.75) - at(v, 0.25)) / 1.349) ** 2 + np.array(q.FLOOR) ** 2))) for g, v in x.items()}
+    runs = []
+    for est in (first, shrunk(sums({g: np.ones(len(v), bool) for g, v in x.items()}))):
+        for _ in range(q.STEPS):
+            d = far(est)
+            est = shrunk(sums({g: d[g] <= cut(d[g]) for g in x}))
+        d = far(est)
+        runs.append({g: (np.log(np.diag(est[g][1])).sum(), d[g] / max(cut(d[g]) / q.CHI_CORE, 1)) for g in x})
+    return {k: d for g, r in groups.items() for (k, _), d in zip(r, min((run[g] for run in runs), key=lambda y: y[0])[1], strict=True)}
+
+
+def test_kept_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(700):
+        lang, source = ("en", "de", None)[k % 3], ("a", "b", "c", None)[min(3, k % 17)]
+        w = ["w" * int(r.integers(2, 9)) + str(r.integers(0, 10**6)) + ("%#" * int(r.integers(1, 5)) if k % 20 == 0 else "") for _ in range(int(r.integers(12, 90)))]
+        rows.append((k, " ".join(w) + ("\nsame line\nsame line" if k % 9 == 0 else ""), lang, source))
+    out = q.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    fair = [x for x in out if not x["__base_failed"]]
+    share = lambda a, b: np.sqrt(a / b)
+    vec = [((x["lang"], x["source"]), [np.log(x["__word_chars"] / x["__n_words"]), share(x["__n_symbols"], x["__n_words"]), share(x["__n_dup_lines"], np.sqrt(x["__n_words"])), share(x["__n_repeat_words"], x["__n_words"])]) for x in fair]
+    want = brute_distances(vec)
+    for k, x in enumerate(fair):
+        assert x["__distance"] == pytest.approx(want[k], rel=1e-6, abs=1e-9)
+        assert x["__kept"] == (want[k] <= q.CUT)
+    assert any(not x["__kept"] for x in fair) and sum(x["__kept"] for x in fair) > 600
+    assert not any(x["__kept"] for x in out if x["__base_failed"])
 
 
 def fill(sizes, weights, mix=1.5, cap=2.0):
