@@ -113,14 +113,17 @@ def addressed(docs: DataFrame, label: str = "rows") -> tuple[DataFrame, list[Col
 
     Addresses are read from the files' metadata, so they are the same whenever and wherever a row is read again.
     """
-    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    if plain:
+    if _plain(docs):
         with contextlib.suppress(AnalysisException):
             return docs, _address(docs)
     docs = materialize(docs, label)
     return docs, _address(docs)
 
 
+def _plain(docs: DataFrame) -> bool:
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def _address(docs: DataFrame) -> list[Column]:
     m = docs.metadataColumn("_metadata")
     found = [F.xxhash64(m["file_path"]).alias(ADDRESS[0]), m["row_index"].alias(ADDRESS[1])]
@@ -128,17 +131,20 @@ def _address(docs: DataFrame) -> list[Column]:
     return found
 
 
-def attach(docs: DataFrame, table: DataFrame, label: str) -> DataFrame:
-    """Rows of docs whose address stands in table, with the table's other columns; docs is of addressed().
+def attach(docs: DataFrame, table: DataFrame, label: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of docs (or some of its columns) whose address stands in table, with the table's other columns; docs is the scan that addressed() gave.
 
     A join without a shuffle of docs: the table, of one narrow row an address at most, is written in pieces by file and
     run of rows, and every task looks up the pieces of the rows it scans in the shared folder.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs, address = addressed(docs)
+    if not _plain(docs):
+        raise ValueError("attach() looks rows up in a plain scan, as addressed() gives it")
+    address = _address(docs)
+    docs = docs.select(*(docs[c] for c in columns or docs.columns), *address)
     values = [f for f in table.schema.fields if f.name not in ADDRESS]
-    schema = StructType([*docs.schema.fields, *values])
+    schema = StructType([*docs.schema.fields[:-2], *values])
     pieces = table.withColumn("__c", F.shiftright(ADDRESS[1], CHUNK_BITS)).repartition(ADDRESS[0], "__c")
     path = written(pieces, label, (ADDRESS[0], "__c"))
 
@@ -173,7 +179,7 @@ def attach(docs: DataFrame, table: DataFrame, label: str) -> DataFrame:
                     columns = [mine.column(k) for k in range(n)] + [_whole(more[f.name]) for f in values]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*(docs[c] for c in docs.columns), *address).mapInArrow(look_up, schema)
+    return docs.mapInArrow(look_up, schema)
 
 
 def _whole(c: pa.ChunkedArray) -> pa.Array:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,34 +100,55 @@ def landing(pi: list[float], size: list[float], seed: object) -> list[float]:
 def _fly(df: DataFrame, by: list[str], last: bool) -> DataFrame:
     names = df.columns
     schema = df.schema
+    # large documents first, so that those left for the landing are small
+    order = [("__size", "descending"), *((c, "ascending") for c in ("__tie", "__id", *common.ADDRESS) if c in names)]
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large documents first, so that those left for the landing are small
-        pdf = pdf.sort_values(["__size", "__tie", "__id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        size = pdf["__size"].tolist()
-        seed = (str(pdf["__tie"].iloc[0]), len(pdf))
-        pi = flight(pdf["__pi"].tolist(), size, seed)
-        pdf["__pi"] = landing(pi, size, seed) if last else pi
-        return pdf[names]
+    def block(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=order))
+        size = t["__size"].to_pylist()
+        seed = (str(t["__tie"][0].as_py()), len(size))
+        pi = flight(t["__pi"].to_pylist(), size, seed)
+        pi = landing(pi, size, seed) if last else pi
+        return t.set_column(t.schema.get_field_index("__pi"), "__pi", pa.array(pi, pa.float64())).select(names)
 
-    return df.groupBy(*by).applyInPandas(block, schema)
+    return df.groupBy(*by).applyInArrow(block, schema)
 
 
-def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK, **targets) -> DataFrame:
+def _salted(d: DataFrame, many: int) -> DataFrame:
+    """d, a table of materialize(), with __salt: 0, and for rows met more than many times a number by their place in d's files.
+
+    Equal rows are alike, so it does not matter which of them gets which number, only that no block gets them all.
+    """
+    hot = common.materialize(d.groupBy("__tie").agg(F.count("*").alias("m")).where(F.col("m") > many).select(F.col("__tie").alias("__hot"), F.ceil(F.col("m") / F.lit(many)).alias("m")), "hot")
+    n = hot.count()
+    if not n:
+        return d.withColumn("__salt", F.lit(0).cast("long"))
+    row = d.metadataColumn("_metadata")["row_index"]
+    d = d.select("*", row.alias("__row"))
+    # up to 10,000 hot values are broadcast; more are joined by a shuffle
+    d = d.join(F.broadcast(hot) if n <= 10_000 else hot, d["__tie"] == hot["__hot"], "left")
+    return d.withColumn("__salt", F.coalesce(F.pmod("__row", "m"), F.lit(0)).cast("long")).drop("__row", "__hot", "m")
+
+
+def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK, address: list[Column] | None = None, **targets) -> DataFrame:
     """A row for each row of docs: (id_col, source, size, source_size, target, copies, taken).
 
     size is the words of the text (null: 0); copies is 0 to the cap; taken is size * copies. Only ids, sizes, sources and
     hashes are written and shuffled. Rows are dealt to blocks and drawn by hashes of their values, so reruns agree; rows
-    equal in all of id, source and text are alike and may trade places. A source without words has target 0 and copies 0.
+    equal in all of id, source and text are alike and may trade places. A source without words has target 0 and copies 0;
+    an empty table gives no rows; columns other than these three are not read, whatever their names. With address
+    (see common.addressed) rows carry it too.
     """
     size = F.size(common.words(F.col(text_col))) if size is None else size
     tie = F.xxhash64(F.col(id_col), F.coalesce(F.col(source_col), F.lit("")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    d = common.materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), tie.alias("__tie")), "sizes")
+    where = list(common.ADDRESS) if address else []
+    d = common.materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), tie.alias("__tie"), *(address or [])), "sizes")
+    d = _salted(d, block // 4)
     t = common.materialize(source_targets(d, **targets), "targets")
     d = d.join(t, d["source"].eqNullSafe(t["source"])).select(d["*"], "source_size", "n", "target")
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     d = d.withColumn("__whole", F.floor(ratio + F.lit(EPS))).withColumn("__pi", F.greatest(F.lit(0.0), ratio - F.col("__whole")))
-    d = d.select("*", F.col("size").cast("double").alias("__size"), F.ceil(F.col("n") / F.lit(block)).alias("__blocks"), F.pmod(F.xxhash64("__tie", "size"), F.ceil(F.col("n") / F.lit(block))).alias("__block"))
+    d = d.select("*", F.col("size").cast("double").alias("__size"), F.ceil(F.col("n") / F.lit(block)).alias("__blocks"), F.pmod(F.xxhash64("__tie", "size", "__salt"), F.ceil(F.col("n") / F.lit(block))).alias("__block"))
     level, parts = d, []
     blocks = t.agg(F.max(F.ceil(F.col("n") / F.lit(block)))).head()[0] or 0
     while True:
@@ -138,26 +160,26 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
             break
         # two of a block are left at most, so block // 4 blocks come together again
         fewer = F.ceil(F.col("__blocks") * F.lit(4) / F.lit(block))
-        level = flown.where(~settled).withColumn("__blocks", fewer).withColumn("__block", F.pmod(F.xxhash64("__tie", "size", F.lit(1)), F.col("__blocks")))
+        level = flown.where(~settled).withColumn("__blocks", fewer).withColumn("__block", F.pmod(F.xxhash64("__tie", "size", "__salt", F.lit(1)), F.col("__blocks")))
         level = level.select(flown.columns)
         blocks = -(-blocks * 4 // block)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     copies = (F.col("__whole") + F.col("__pi")).cast("long")
-    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "__tie")
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *where)
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """docs as the mix takes them: a row for each copy, with its number from 1 in a last column copy.
 
-    Decisions come back by the hash that dealt the rows, ranked among rows equal in id, source and text only.
+    Each row of docs is told its own copies by its address, so repeated rows need no group of their own, and texts are
+    not shuffled. Columns keep their names and values; an input column named copy raises, as the result has one. An
+    empty table gives no rows.
     """
-    cols = docs.columns
-    tie = F.xxhash64(F.col(id_col), F.coalesce(F.col(source_col), F.lit("")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    plan = mix(docs, None, id_col, source_col, text_col, **how).groupBy("__tie").agg(F.array_sort(F.collect_list("copies")).alias("__each"))
-    row = docs.select(F.struct(*(docs[c] for c in cols)).alias("__row"), tie.alias("__tie"))
-    one = row.join(plan.where(F.size("__each") == 1), "__tie").select("__row", F.col("__each")[0].alias("__copies"))
-    many = row.join(plan.where(F.size("__each") > 1), "__tie").withColumn("k", F.row_number().over(Window.partitionBy("__tie").orderBy("__tie"))).select("__row", F.element_at("__each", F.col("k")).alias("__copies"))
-    out = one.unionByName(many).where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
-    return out.select("__row.*", "copy") if "copy" not in cols else out.select(*(F.col(f"__row.{c}").alias(c) for c in cols if c != "copy"), "copy")
+    if "copy" in docs.columns:
+        raise ValueError("rename the column copy: the result has one of that name")
+    docs, address = common.addressed(docs, "mixed")
+    plan = mix(docs, None, id_col, source_col, text_col, address=address, **how)
+    taken = common.attach(docs, plan.where("copies > 0").select(*common.ADDRESS, F.col("copies").cast("int").alias("__copies")), "copies")
+    return taken.select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))

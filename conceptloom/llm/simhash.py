@@ -169,24 +169,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Classes are the components of pairs whose five-word shingles have a Jaccard similarity of 0.8 or more (see minhash),
     not those of op2's fingerprints. The row is picked by a grouped minimum over narrow rows, so that a class is never
-    gathered; texts are written once and shuffled once. Only one of wholly equal rows stays. Columns keep their names
-    and values.
+    gathered; texts are scanned where they are and never shuffled. Only one of wholly equal rows stays; texts without a
+    word are one class; an empty table stays empty. Columns keep their names and values.
     """
     common.bounded_batches(docs.sparkSession)
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("__row")
-    given = common.materialize(docs.select(minhash.sketch(docs[text_col]).alias("__s"), F.monotonically_increasing_id().alias("__rid"), row), "ranked")
-    order = F.struct(F.col(f"__row.{id_col}").isNull().alias("a"), F.col(f"__row.{id_col}").alias("b"), F.col("__rid").alias("c")).alias("o")
-    slim = given.select("__s.digest", "__s.n", "__s.keys", order)
+    docs, address = common.addressed(docs)
+    slim = docs.select(minhash.sketch(docs[text_col]).alias("__s"), docs[id_col].alias("id"), *address)
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), *common.ADDRESS).alias("o")
+    slim = common.materialize(slim.select("__s.digest", "__s.n", "__s.keys", order), "sketches")
     nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    pairs = minhash.candidates(nodes)
+    pairs = minhash.candidates(nodes.select("digest", "n", "keys"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-    texts = given.select("__rid", F.col(f"__row.{text_col}").alias("t")).join(nodes.join(asked, "digest").select("digest", F.col("o.c").alias("__rid")), "__rid")
-    sets = common.materialize(texts.select("digest", minhash.members(F.col("t")).alias("members")), "sets")
+    where = nodes.join(asked, "digest").select("digest", *(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
+    texts = common.attach(docs, where.select(*common.ADDRESS, F.col("digest").alias("__digest")), "asked", [text_col])
+    sets = common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
     linked = common.materialize(minhash.verified(pairs, sets), "links")
     cc = connected(linked)
     of = nodes.join(cc, nodes["digest"] == cc["node"], "left").select("o", F.coalesce("component", "digest").alias("root"))
-    best = of.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.c").alias("__rid"))
-    return given.join(best, "__rid", "left_semi").select("__row.*")
+    best = of.groupBy("root").agg(F.min("o").alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
+    return common.attach(docs, best, "kept")
 
 
 def hex_fingerprint(fp: Column) -> Column:

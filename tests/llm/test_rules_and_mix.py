@@ -171,11 +171,48 @@ def test_mix(spark):
 
 def test_mix_awkward(spark, awkward):
     assert mixing.mix(awkward).count() == awkward.count()
-    assert mixing.take(awkward).columns == awkward.columns
-    assert mixing.mix(awkward.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="copy"):
+        mixing.take(awkward)
+    plain = awkward.drop("copy")
+    taken = mixing.take(plain)
+    assert taken.columns == [*plain.columns, "copy"]
+    own = Counter(r for r in (tuple(x) for x in plain.collect()))
+    got = Counter(tuple(x)[:-1] for x in taken.collect())
+    assert got.keys() <= own.keys() and all(got[r] <= 2 * own[r] for r in got)
+    planned = sum(r["copies"] for r in mixing.mix(plain).collect())
+    assert sum(got.values()) == planned
+    assert mixing.mix(awkward.limit(0)).count() == 0 and mixing.take(plain.limit(0)).count() == 0
+
+
+def test_ids_beyond_doubles_beside_null(spark):
+    rows = [(2**53 + 1 + 2 * i, "a b c", "s") for i in range(50)] + [(None, "a b", "s")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+
+
+def test_attach(spark):
+    docs, address = common.addressed(spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, repeat('x', int(id % 50))) AS text", "id AS __r_"))
+    again, same = common.addressed(docs)
+    assert again is docs
+    table = docs.select("id", *address).where("id % 3 = 1").withColumnRenamed("id", "__id")
+    got = common.attach(docs, table, "t").collect()
+    assert sorted(r["id"] for r in got) == [i for i in range(5000) if i % 3 == 1]
+    assert all(r["id"] == r["__id"] == r["__r_"] and r["text"] == (None if r["id"] % 7 == 0 else "x" * (r["id"] % 50)) for r in got)
+    assert common.attach(docs, table.limit(0), "t").count() == 0
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[201] == 200
+
+
+def test_one_row_met_very_often(spark):
+    rows = [(1, "a b c d", "s")] * 300 + [(i, "a b " * (i % 9), "t") for i in range(2, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, block=16).collect()
+    by = {}
+    for r in out:
+        t = by.setdefault(r["source"], [0, r["target"]])
+        t[0] += r["taken"]
+    assert len(out) == len(rows) and all(abs(a - b) <= 16 for a, b in by.values())
