@@ -1,15 +1,15 @@
 """Toxicity: a sparse logistic classifier of words and word beginnings, regularised by counterfactuals.
 
-Labelled texts in which identity terms occur are repeated with each term swapped for another of its set, and the squared
-change of the score is penalised, as is the change for each pair of terms alone. A neutral mention of one group then
-scores as one of another, and no term gains weight from the company it keeps.
+Each sentence of a labelled text that mentions an identity term is repeated with the term swapped for every other term of
+its set in the same language, and neutral template sentences are made with every term and with a word for a person. The
+squared change of the score from one to the other is penalised, so no term gains weight from the company it keeps, and a
+neutral mention of a group scores as a mention of anyone.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,24 +22,32 @@ from . import common, labelled
 #: Labelled texts of each class at most, and their characters.
 PER_CLASS, MAX_CHARS = 3000, 8_000_000
 #: Beginnings of a word that are features, beside the word; the log-likelihood ratio that a feature's texts must show.
-PREFIXES, LEAST_RATIO = (3, 4, 5, 6, 7, 8), 25.0
+PREFIXES, LEAST_RATIO = (3, 4, 5, 6, 7, 8), 12.0
 #: Weights of the absolute size of weights and of the squared change under swaps; steps.
-SPARSE, FAIR, STEPS = 5e-5, 2.0, 2000
-#: Counters by hash that pick out candidates, before features are counted by name.
-BUCKETS = 1 << 21
-#: Sets of identity terms; terms of a set can stand for each other.
+SPARSE, FAIR, STEPS = 5e-5, 2.0, 1200
+#: Sets of identity terms by language; terms of a set in one language can stand for each other.
 IDENTITY_TERMS = (
-    ("woman", "man", "girl", "boy", "frau", "mann", "femme", "homme", "mujer", "hombre"),
-    ("women", "men", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "chrétien", "musulman", "juif", "cristiano", "musulmán", "judío", "christ", "moslem", "jude"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender", "schwul", "lesbisch", "lesbienne", "lesbiana"),
-    ("black", "white", "asian", "african", "european", "american", "latino", "arab", "noir", "blanc", "negro", "blanco", "schwarz", "weiß"),
-    ("german", "french", "spanish", "english", "turkish", "polish", "russian", "chinese", "mexican", "deutsch", "französisch", "allemand", "français", "alemán", "francés"),
-    ("blind", "deaf", "disabled", "autistic", "aveugle", "sourd", "ciego", "sordo", "taub"),
-    ("old", "young", "elderly", "alt", "jung", "vieux", "jeune", "viejo", "joven"),
+    {"en": ("woman", "man", "girl", "boy"), "de": ("frau", "mann", "mädchen", "junge"), "fr": ("femme", "homme", "fille", "garçon"), "es": ("mujer", "hombre", "chica", "chico")},
+    {"en": ("women", "men", "girls", "boys"), "de": ("frauen", "männer"), "fr": ("femmes", "hommes"), "es": ("mujeres", "hombres")},
+    {"en": ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), "de": ("christ", "moslem", "jude", "hindu", "buddhist"), "fr": ("chrétien", "musulman", "juif", "hindou", "bouddhiste"), "es": ("cristiano", "musulmán", "judío", "budista")},
+    {"en": ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), "de": ("christen", "moslems", "juden"), "fr": ("chrétiens", "musulmans", "juifs"), "es": ("cristianos", "musulmanes", "judíos")},
+    {"en": ("gay", "lesbian", "straight", "bisexual", "transgender"), "de": ("schwul", "lesbisch", "bisexuell"), "fr": ("gay", "lesbienne", "bisexuel"), "es": ("gay", "lesbiana", "bisexual")},
+    {"en": ("black", "white", "asian", "african", "european", "american", "latino", "arab"), "de": ("schwarz", "weiß"), "fr": ("noir", "blanc", "arabe"), "es": ("negro", "blanco", "árabe")},
+    {"en": ("german", "french", "spanish", "english", "turkish", "polish", "russian", "chinese", "mexican"), "de": ("deutsch", "französisch", "türkisch", "polnisch"), "fr": ("allemand", "français", "turc", "polonais"), "es": ("alemán", "francés", "turco", "polaco")},
+    {"en": ("blind", "deaf", "disabled", "autistic"), "de": ("blind", "taub", "behindert"), "fr": ("aveugle", "sourd", "handicapé"), "es": ("ciego", "sordo", "discapacitado")},
+    {"en": ("old", "young", "elderly"), "de": ("alt", "jung"), "fr": ("vieux", "jeune"), "es": ("viejo", "joven")},
+    {"en": ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"), "de": ("migrant", "migranten", "flüchtling", "ausländer"), "fr": ("immigré", "immigrés", "réfugié", "étranger"), "es": ("inmigrante", "inmigrantes", "refugiado", "extranjero")},
 )
+#: Neutral sentences with a place for a term, and a word for a person, by language.
+NEUTRAL = {
+    "en": ("person", ("My neighbour is {} and works at the library.", "We met a {} family at the station this morning.", "She wrote about {} people in her town.")),
+    "de": ("mensch", ("Mein Nachbar ist {} und arbeitet in der Bücherei.", "Wir haben heute am Bahnhof {} getroffen.")),
+    "fr": ("personne", ("Mon voisin est {} et travaille à la bibliothèque.", "Nous avons rencontré {} à la gare ce matin.")),
+    "es": ("persona", ("Mi vecino es {} y trabaja en la biblioteca.", "Hoy encontramos a {} en la estación.")),
+}
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def parts(word: str) -> list[str]:
@@ -60,13 +68,43 @@ def text_features(words: set[str]) -> set[str]:
     return levels(Counter(f for w in words for f in parts(w)))
 
 
-def swaps(words: set[str], terms=IDENTITY_TERMS) -> list[set[str]]:
-    """The words with each identity term in them exchanged for the next one of its set."""
+def sentences(text: str | None) -> list[set[str]]:
+    return [text_words(x) for x in SENTENCE.split(text or "") if x]
+
+
+def swaps(text: str | None, terms=IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
+    """For each mention of an identity term in a sentence, and each other term of its set and language: the words of the
+    text that the swap removes, and those that it adds. A word that stands in another sentence too is not removed."""
+    found = {t for group in terms for of in group.values() for t in of}
+    parts_ = sentences(text)
+    if not any(w & found for w in parts_):
+        return []
+    met = Counter(w for x in parts_ for w in x)
     out = []
-    for group in terms:
-        for k, term in enumerate(group):
-            if term in words:
-                out.append((words - {term}) | {group[(k + 1) % len(group)]})
+    for words in parts_:
+        for group in terms:
+            for of in group.values():
+                for term in words.intersection(of):
+                    for other in of:
+                        if other != term and other not in words:
+                            out.append(({term} if met[term] == 1 else set(), {other} if other not in met else set()))
+    return [x for x in out if x[0] or x[1]]
+
+
+def template_swaps(terms=IDENTITY_TERMS, neutral=None) -> list[tuple[set[str], set[str]]]:
+    """For each neutral sentence: the words of it with a term against those with a word for a person, and with every other term."""
+    out = []
+    for lang, (anyone, lines) in (neutral or NEUTRAL).items():
+        for line in lines:
+            plain = text_words(line.format(anyone))
+            for group in terms:
+                of = group.get(lang, ())
+                for k, term in enumerate(of):
+                    own = text_words(line.format(term))
+                    out.append((own - plain, plain - own))
+                    for other in of[k + 1 :]:
+                        its = text_words(line.format(other))
+                        out.append((own - its, its - own))
     return out
 
 
@@ -85,8 +123,29 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in sorted(text_features(words)))
 
 
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+def _counts(texts: list[set[str]], labels: list[int], n: list[int], least: float, always: set[str]) -> tuple[list[set[str]], set[str]]:
+    """The features of each text that tell the labels apart by a ratio of least, or belong to a word of always, and their names.
+
+    All features are counted by name. A word's features begin with its first three letters, so words are taken by these
+    letters, a share of them at a time, and memory is bounded by that share's features.
+    """
+    shares = 16
+    kept: list[set[str]] = [set() for _ in texts]
+    names: set[str] = set()
+    by: list[list[list[str]]] = [[[] for _ in texts] for _ in range(shares)]
+    for i, words in enumerate(texts):
+        for w in words:
+            by[sum(map(ord, w[:3])) % shares][i].append(w)
+    sure = {f if k == 1 else f"{f}{k}" for w in always for f in parts(w) for k in (1, 2, 3)}
+    for share in by:
+        met = [Counter(), Counter()]
+        for words, y in zip(share, labels, strict=True):
+            met[y].update(levels(Counter(f for w in words for f in parts(w))))
+        good = {f for f in met[0].keys() | met[1].keys() if f in sure or met[0][f] + met[1][f] >= 3 and ratio(met[0][f], met[1][f], *n) >= least}
+        names |= good
+        for i, words in enumerate(share):
+            kept[i] |= levels(Counter(f for w in words for f in parts(w))) & good
+    return kept, names
 
 
 def _rows(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,37 +165,21 @@ def fit(s: labelled.Sample, terms=IDENTITY_TERMS, sparse: float = SPARSE, fair:
     w = np.array(s.weights())
     w /= w.sum()
     n = [s.labels.count(0), s.labels.count(1)]
-    # first by hash, in counters of a fixed size; then by name, only what may pass: memory doesn't grow with the words
-    hashed = np.zeros((2, 3, BUCKETS), np.int32)
-    for t, label in zip(s.texts, s.labels, strict=True):
-        ids, c = np.unique(np.fromiter((_bucket(f) for x in text_words(t) for f in parts(x)), np.int64), return_counts=True)
-        for k in range(3):
-            hashed[label, k, ids[c > k]] += 1
-    may = np.zeros((3, BUCKETS), bool)
-    for k in range(3):
-        pairs_met = np.stack([hashed[0, k], hashed[1, k]])
-        some = np.flatnonzero(pairs_met.sum(0) >= 3)
-        kinds, of = np.unique(pairs_met[:, some], axis=1, return_inverse=True)
-        good = np.array([ratio(int(c0), int(c1), *n) >= LEAST_RATIO for c0, c1 in kinds.T], bool)
-        may[k, some] = good[of.ravel()] if len(good) else False
-    del hashed
-    met, sets, plus, minus = [Counter(), Counter()], [], [], []
-    any_ = may.any(0)
-    for t, label in zip(s.texts, s.labels, strict=True):
-        ws = text_words(t)
-        sets.append(levels(Counter(f for x in ws for f in parts(x) if any_[_bucket(f)])))
-        met[label].update(sets[-1])
-        for other in swaps(ws, terms):
-            plus.append(text_features(ws - other))
-            minus.append(text_features(other - ws))
-    names = sorted(f for f in met[1].keys() | met[0].keys() if ratio(met[0][f], met[1][f], *n) >= LEAST_RATIO)
+    plus, minus = [], []
+    pool: dict[str, str] = {}  # a word's string once, however many texts hold it
+    texts = [{pool.setdefault(w, w) for w in text_words(t)} for t in s.texts]
+    for t in s.texts:
+        for gone, come in swaps(t, terms):
+            plus.append(text_features(gone))
+            minus.append(text_features(come))
+    for gone, come in template_swaps(terms):
+        plus.append(text_features(gone))
+        minus.append(text_features(come))
+    mentioned = {t for group in terms for of in group.values() for t in of}
+    sets, known = _counts(texts, s.labels, n, LEAST_RATIO, mentioned & set().union(*texts))
+    names = sorted(known)
     index = {f: i for i, f in enumerate(names)}
     col, row = _rows(sets, index)
-    # differences under swaps: of texts, and of each pair of neighbouring terms alone
-    for group in terms:
-        for k, term in enumerate(group):
-            plus.append(text_features({term}))
-            minus.append(text_features({group[(k + 1) % len(group)]}))
     (pc, pr), (mc, mr) = _rows(plus, index), _rows(minus, index)
     dc, dr, dv = np.concatenate([pc, mc]), np.concatenate([pr, mr]), np.concatenate([np.ones(len(pc)), -np.ones(len(mc))])
     k, pairs = len(names), max(1, len(plus))
@@ -206,7 +249,12 @@ def score_udf(spark, model: Model, remembered: int = 500_000):
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """All rows and columns of docs and a last column __score in 0 to 1. Null texts are scored as empty ones."""
+    """All rows and columns of docs, whatever their names, and a last column __score in 0 to 1.
+
+    Null texts are scored as empty ones; very long texts are scored whole, as the set of their words; equal texts get
+    equal scores and repeated rows stay; an empty table stays empty, and labels of one class only give every text that
+    class's share.
+    """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     model = fit(labelled.sample(docs, labels, label_col, train, per_class, max_chars, id_col, text_col))

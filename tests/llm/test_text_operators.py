@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -197,8 +198,76 @@ def test_toxicity_and_counterfactuals():
     fair = toxicity.fit(s)
     p = lambda m, t: 1 / (1 + math.exp(-m.score(toxicity.text_words(t))))
     assert p(fair, "you stupid fool of a neighbour") > 0.5 and p(fair, "a woman walked by the sea") < 0.3
-    gap = lambda m: abs(m.score({"woman"}) - m.score({"man"}))
-    assert gap(fair) <= gap(toxicity.fit(s, fair=0.0)) + 1e-9
+
+
+def test_swaps_as_text_replacement():
+    text = "A woman saw an old man. The woman ran.\nDie Frau sah den Mann! Un hombre."
+    whole, got = toxicity.text_words(text), toxicity.swaps(text)
+    want = []
+    for line in toxicity.SENTENCE.split(text):
+        for group in toxicity.IDENTITY_TERMS:
+            for of in group.values():
+                for term in of:
+                    for other in of:
+                        if term != other and term in line.lower().rstrip(".!").split() and other not in toxicity.text_words(line):
+                            after = toxicity.text_words(text.lower().replace(line.lower(), re.sub(rf"\b{term}\b", other, line.lower())))
+                            if after != whole:
+                                want.append((tuple(sorted(whole - after)), tuple(sorted(after - whole))))
+    assert sorted((tuple(sorted(a)), tuple(sorted(b))) for a, b in got) == sorted(want) and len(want) > 10
+    assert all("frau" not in a or "woman" not in b for a, b in got)  # never across languages
+    assert toxicity.swaps("no mention") == toxicity.swaps(None) == []
+
+
+def test_features_are_counted_by_name():
+    clean, toxic = toxic_sample()
+    texts, labels = [toxicity.text_words(t) for t in clean + toxic], [0] * len(clean) + [1] * len(toxic)
+    n = [len(clean), len(toxic)]
+    sets, names = toxicity._counts(texts, labels, n, 12.0, {"woman"})
+    every = [toxicity.text_features(t) for t in texts]
+    want = set()
+    for f in set().union(*every):
+        c = [sum(f in x for x, y in zip(every, labels, strict=True) if y == k) for k in (0, 1)]
+        if sum(c) >= 3 and toxicity.ratio(*c, *n) >= 12.0 or f.rstrip("23") in toxicity.parts("woman"):
+            want.add(f)
+    assert names == want and sets == [x & want for x in every]
+
+
+def test_neutral_mentions_score_alike():
+    """Mentions of one group are met in toxic texts mostly; with the penalty neutral sentences about it are not flagged."""
+    clean, toxic = toxic_sample()
+    toxic = [t if k % 4 else t.replace("stupid fool", "fellow") for k, t in enumerate(toxic)]
+    clean = [t for t in clean if "woman" not in t] + [t.replace("girl", "person") for t in clean if "girl" in t]
+    s = labelled.Sample(clean + toxic, [0] * len(clean) + [1] * len(toxic), {0: len(clean), 1: len(toxic)})
+    margins = {}
+    for fair in (0.0, toxicity.FAIR):
+        m = toxicity.fit(s, fair=fair)
+        margins[fair] = [m.score(toxicity.text_words(line.format(t))) for line in toxicity.NEUTRAL["en"][1] for t in ("woman", "man", "girl", "boy")]
+    spread = {k: max(v) - min(v) for k, v in margins.items()}
+    assert spread[toxicity.FAIR] < spread[0.0] / 4 and max(margins[toxicity.FAIR]) < math.log(0.3 / 0.7)
+
+
+def test_differences_by_brute_force():
+    import numpy as np
+    import zstandard as zstd
+
+    good, bad = quality_sample()
+    m = compression.fit(labelled.Sample(good + bad, [1] * len(good) + [0] * len(bad), {0: len(bad), 1: len(good)}))
+    under = [zstd.ZstdCompressor(level=compression.LEVEL, write_content_size=False, write_dict_id=False, dict_data=zstd.ZstdCompressionDict(d)) for d in (m.good, m.bad)]
+    for text in ("", None, "a", good[0], bad[0] * 40, "ß" * 3000):
+        b, want = (text or "").encode(), []
+        for size in compression.PIECES:
+            g, d = ([len(c.compress(b[i : i + size])) for i in range(0, len(b), size)] for c in under)
+            each = [(y - x) / (x + y) for x, y in zip(g, d, strict=True)]
+            want += [(sum(d) - sum(g)) / (sum(d) + sum(g)), *np.quantile(each, compression.QUANTILES)] if b else [0.0] * 4
+        assert compression.Compressors(m.good, m.bad).differences(text) == pytest.approx(want)
+
+
+def test_empty_documents(spark, awkward):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for f in (compression.classify, toxicity.classify):
+        assert f(awkward.limit(0), labels, F.lit(True)).count() == 0
+        out = f(awkward, labels, F.lit(True)).collect()
+        assert len(out) == awkward.count() and len({r["__score"] for r in out if not r["text"]}) == 1
 
 
 def test_labelled_sample_is_bounded(spark):
@@ -206,4 +275,5 @@ def test_labelled_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(5, None), (None, 1)], "doc_id long, quality int")
     s = labelled.sample(docs, labels, "quality", F.lit(True), per_class=10, max_chars=500)
     assert len(s.texts) <= 20 and s.totals == {0: 60, 1: 60}
+    assert all(sum(len(t) for t, y in zip(s.texts, s.labels, strict=True) if y == k) <= 500 for k in (0, 1))
     assert s.texts == labelled.sample(docs.repartition(7), labels, "quality", F.lit(True), per_class=10, max_chars=500).texts
