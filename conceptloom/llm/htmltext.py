@@ -1,7 +1,7 @@
 """Main text of HTML pages by minimum cut.
 
-A page is cut into text blocks. A small classifier gives each block a cost for being kept and a cost for being dropped;
-these become capacities to the two terminals. Blocks next to each other, and blocks that follow each other under one
+A page is cut into text blocks. A small classifier gives each block log-odds of being content, within about -7 and 3, from
+its own text and the marked elements around it; these become capacities to the two terminals. Blocks next to each other, and blocks that follow each other under one
 element, are joined by edges whose capacity falls with their distance in the document tree. The minimum cut is the
 cheapest labelling of all blocks together.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,30 +30,43 @@ HEAD = frozenset("title style script meta link base noscript template".split())
 #: Elements that end an open p; elements that end an open one of the same kind.
 ENDS_P = BLOCKS - {"br", "html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Costs, in nats, that an element around a block adds for keeping (below 0: for dropping) the block.
-ELEMENT_COST = {"nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -6.0, "fieldset": -4.0, "address": -3.0, "article": 6.0, "main": 4.0}
-#: Words of class, id and role that mark what is not the article, and what is.
+#: Costs, in log-odds, that an element around a block adds for keeping (below 0: for dropping) the block.
+ELEMENT_COST = {"nav": -4.2, "footer": -4.2, "aside": -4.2, "form": -4.2, "menu": -4.2, "dialog": -4.2, "header": -2.1, "fieldset": -1.4, "address": -1.0, "article": 1.0, "main": 0.7}
+#: Words of class, id and role that mark what is not the article, and what is; words that make a name a state of a layout.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|comment-?\w*|respond|replies|reply|disqus|discussion|feedback|reviews?|share|sharing|social|related|recommend\w*|widget|tags?|meta|byline|copyright|legal|disclaimer|search|skip|complementary|contentinfo|form|aside|teaser|trending|popular|more|outbrain|taboola)(?:$|[^a-z])"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|discussion|feedback|reviews|share|sharing|social|related|recommend\w*|widget|tags?|meta|byline|copyright|legal|disclaimer|search|skip|complementary|contentinfo|form|aside|teaser|trending|popular|more|outbrain|taboola"
 )
-ARTICLE = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text|hentry|articlebody)(?:$|[^a-z])")
-#: Costs of such words, of a link's share of a block, of length, of sentence marks, of headings; and the edges' capacity.
-MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, SMOOTH = -12.0, 3.0, -4.0, 0.5, 0.6, 0.5, -1.2, 1.2
+ARTICLE = re.compile(r"article|content|main|post|entry|story|body|text|hentry|articlebody")
+STATES = frozenset("has no with without is open opened closed page layout wrap wrapper container enabled active ready".split())
+#: Log-odds of such words, of a link's share of a block, of length, of sentence marks, of headings, and of a block as such;
+#: bounds of what all elements around a block add; capacity of an edge between blocks of one element.
+MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, MARKS, SMOOTH = -4.2, 0.5, -3.0, 0.35, 0.3, 0.3, -1.5, (-4.0, 1.5), 2.4
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 WHITE = re.compile(r"[\s ]+")
 
 
-@dataclass
+#: Elements that an end tag of an inline or list element does not close; elements that li, td and the like do not reach over.
+CONTAINERS = frozenset("article main nav footer aside form header section table td th div".split())
+LISTS = frozenset("ul ol dl table div section article nav menu".split())
+
+
 class Node:
-    tag: str
-    up: Node | None
-    depth: int
-    cost: float
-    silent: bool
-    inside: bool  # within an article or main element
+    """An open element. What its ancestors decide is carried down, so that no question about it walks to the root."""
+
+    __slots__ = ("tag", "up", "depth", "silent", "inside", "against", "for_", "block", "container", "list_")
+
+    def __init__(self, tag: str, up: Node | None, cost: float, silent: bool, inside: bool):
+        self.tag, self.up, self.silent, self.inside = tag, up, silent, inside
+        self.depth = up.depth + 1 if up else 0
+        # what is marked off gains nothing from what is around it
+        self.against = (up.against if up else 0.0) + min(cost, 0.0)
+        self.for_ = 0.0 if cost <= ELEMENT_COST["header"] else (up.for_ if up else 0.0) + max(cost, 0.0)
+        self.block = self if up is None or tag in BLOCKS else up.block
+        self.container = self if up is None or tag in CONTAINERS else up.container
+        self.list_ = self if up is None or tag in LISTS or tag in SAME else up.list_
 
 
 @dataclass
@@ -62,11 +75,10 @@ class Block:
     node: Node
     linked: float
     heading: bool
-    cost: float = field(default=0.0)
 
 
 def tree_distance(a: Node, b: Node) -> int:
-    """Steps between two elements of the tree."""
+    """Steps between two elements of the tree; over all neighbours of a page no more than its tags."""
     n = 0
     while a is not b:
         if a.depth >= b.depth:
@@ -78,12 +90,18 @@ def tree_distance(a: Node, b: Node) -> int:
 
 
 def _named(names: str, inside: bool) -> float:
-    """Cost of an element's names. Of names for and against, as layouts have, none counts; an article may have a header."""
+    """Cost of an element's names. Of names for and against none counts; an article may have a header.
+
+    A name is read by its parts: cookie-banner is a banner, but has-sidebar and menu-open are states of a layout.
+    """
     against = yes = False
     for name in names.split():
-        if NOT_ARTICLE.search(name) and not (inside and re.search(r"header|masthead", name)):
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not STATES.isdisjoint(parts):
+            continue
+        if any(NOT_ARTICLE.fullmatch(x) for x in parts) and not (inside and ("header" in parts or "masthead" in parts)):
             against = True
-        elif ARTICLE.search(name):
+        elif any(ARTICLE.fullmatch(x) for x in parts):
             yes = True
     return 0.0 if against and yes else MARK_NOT if against else MARK_YES if yes else 0.0
 
@@ -99,13 +117,14 @@ def _enter(tag: str, attributes: str, up: Node) -> Node:
         if names and tag not in ("html", "body", "article", "main"):
             cost += _named(names, up.inside)
         silent = silent or bool(HIDDEN.search(attributes))
-    return Node(tag, up, up.depth + 1, cost, silent, inside)
+    return Node(tag, up, cost, silent, inside)
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Unclosed, crossed and unknown elements are mended much as browsers do."""
-    root = Node("", None, 0, 0.0, False, False)
+    """Text blocks in page order, in time linear in the page. Unclosed, crossed and unknown elements are mended much as browsers do."""
+    root = Node("", None, 0.0, False, False)
     node, out, parts = root, [], []
+    open_: dict[str, list[Node]] = {}
     linked = total = 0
     in_link = heading = False
 
@@ -126,6 +145,13 @@ def blocks(page: str) -> list[Block]:
             linked += n * in_link
             heading = heading or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
+    def close(last: Node) -> None:
+        """Ends last and all that is open within it."""
+        nonlocal node
+        while node is not last.up:
+            open_[node.tag].pop()
+            node = node.up
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -141,73 +167,63 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             end()
         if m[1]:
-            k = node
-            while k is not root and k.tag != tag:
+            if found := open_.get(tag):
                 # an end tag of an inline or list element does not close the container around
-                if k.tag in ("article", "main", "nav", "footer", "aside", "form", "header", "section", "table", "td", "th", "div") and tag not in BLOCKS:
-                    k = root
-                    break
-                k = k.up
-            if k is not root:
-                node = k.up
+                if tag in BLOCKS or found[-1].depth >= node.container.depth:
+                    close(found[-1])
             if tag == "a":
                 in_link = False
             continue
-        if tag not in HEAD and not node.silent or tag in BLOCKS or tag == "body":
-            k = node
-            while k is not root and k.tag != "head":
-                k = k.up
-            if k is not root:
-                node = k.up  # the head ends where the body starts, tags or not
-        if tag in ENDS_P:
-            k = node
-            while k is not root and k.tag not in BLOCKS:
-                k = k.up
-            if k.tag == "p":
-                node = k.up
+        if (tag not in HEAD and not node.silent or tag in BLOCKS or tag == "body") and open_.get("head"):
+            close(open_["head"][-1])  # the head ends where the body starts, tags or not
+        if tag in ENDS_P and node.block.tag == "p":
+            close(node.block)
         if tag in SAME:
-            k = node
-            while k is not root and k.tag not in SAME[tag] and k.tag not in ("ul", "ol", "dl", "table", "div", "section", "article", "nav", "menu"):
-                k = k.up
+            k = node.list_
+            while k.up is not None and k.tag not in SAME[tag] and k.tag not in LISTS:
+                k = k.up.list_
             if k.tag in SAME[tag]:
-                node = k.up
+                close(k)
                 if tag == "tr" and node.tag == "tr":
-                    node = node.up
+                    close(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         node = _enter(tag, m[3], node)
+        open_.setdefault(tag, []).append(node)
         if tag == "a":
             in_link = True
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            node = node.up
+            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = shut.end() if shut else n
+            close(node)
     end()
     return out
 
 
 def unary(b: Block) -> float:
-    """What dropping the block costs more than keeping it: over 0 for likely content."""
-    cost = BIAS + LINKS * b.linked + LENGTH * min(6.0, len(b.text) ** 0.5 / 3) + SENTENCE * min(2, sum(b.text.count(c) for c in ".!?;:")) + HEADING * b.heading
-    k, marked = b.node, False
-    while k is not None:
-        if k.cost < 0 or not marked:  # what is marked off within an article gains nothing from it
-            cost += k.cost
-        marked = marked or k.cost <= ELEMENT_COST["header"]
-        k = k.up
-    return cost
+    """The log-odds that the block is content, by its own text and the elements around it."""
+    text = LINKS * b.linked + LENGTH * min(6.0, len(b.text) ** 0.5 / 3) + SENTENCE * min(2, sum(b.text.count(c) for c in ".!?;:")) + HEADING * b.heading
+    return BIAS + text + max(MARKS[0], min(MARKS[1], b.node.against + b.node.for_))
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
-    """Neighbours in page order, and blocks that follow each other under one parent, with capacities."""
+    """Neighbours in page order, and blocks that follow each other under one parent, with capacities.
+
+    A capacity falls with the distance in the tree, and is a quarter where the marked elements around differ.
+    """
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+
+    def joined(i: int, j: int, c: float) -> None:
+        a, b = bs[i].node, bs[j].node
+        out[i, j] = out.get((i, j), 0.0) + (c if (a.against, a.for_) == (b.against, b.for_) else c / 4)
+
     for i, b in enumerate(bs):
         if i:
-            out[i - 1, i] = SMOOTH / (1 + tree_distance(bs[i - 1].node, b.node))
+            joined(i - 1, i, SMOOTH / (1 + tree_distance(bs[i - 1].node, b.node)))
         parent = id(b.node.up or b.node)
         if (j := last.get(parent)) is not None and j != i - 1:
-            out[j, i] = out.get((j, i), 0.0) + SMOOTH / 3
+            joined(j, i, SMOOTH / 3)
         last[parent] = i
     return [(i, j, c) for (i, j), c in out.items()]
 
@@ -237,10 +253,17 @@ def min_cut(costs: list[float], pairs: list[tuple[int, int, float]]) -> list[boo
                     costs[j] += c if label[i] else -c
                     room[j] -= c
                     todo.append(j)
-    free = [i for i in range(n) if label[i] is None]
-    if free:
-        for i, keep in max_flow(free, costs, near).items():
-            label[i] = keep
+    for start in range(n):
+        if label[start] is None:
+            free, k = [start], 0  # the blocks still open that hang together
+            seen = {start}
+            while k < len(free):
+                more = [j for j in near[free[k]] if label[j] is None and j not in seen]
+                seen.update(more)
+                free += more
+                k += 1
+            for i, keep in max_flow(sorted(free), costs, near).items():
+                label[i] = keep
     return [bool(x) for x in label]
 
 
@@ -287,7 +310,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All rows and columns of pages and a last column __text. Pages are read whole, one at a time; repeated rows stay."""
+    """All rows and columns of pages, whatever their names, and a last column __text.
+
+    Pages are read whole, one at a time; a null or empty page has the empty text; equal pages have equal texts and repeated
+    rows stay; a block whose costs tie is dropped; an empty table stays empty.
+    """
     common.bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")

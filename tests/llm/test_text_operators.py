@@ -277,3 +277,34 @@ def test_labelled_sample_is_bounded(spark):
     assert len(s.texts) <= 20 and s.totals == {0: 60, 1: 60}
     assert all(sum(len(t) for t, y in zip(s.texts, s.labels, strict=True) if y == k) <= 500 for k in (0, 1))
     assert s.texts == labelled.sample(docs.repartition(7), labels, "quality", F.lit(True), per_class=10, max_chars=500).texts
+
+
+BODY = "<p>" + "This is a fairly long paragraph of the article, with some words. " * 4 + "</p><p>And another one, of two sentences. It ends here.</p>"
+
+
+def test_html_names_are_read_by_their_parts():
+    for name in ("layout has-sidebar", "page no-sidebar", "container menu-open", "content-with-nav", "review", "wrap form-page", "subtitle", "adapted"):
+        assert len(htmltext.main_text(f'<body><div class="{name}">{BODY}</div></body>')) > 300
+    for name in ("cookie-banner", "site-footer", "comment-list", "sidebar", "main-nav", "ad", "newsletter_signup"):
+        assert htmltext.main_text(f'<body><div class="{name}">{BODY}</div></body>') == ""
+
+
+def test_html_stray_quotes():
+    assert htmltext.main_text(f'<article><p>One <a href=foo">link</a> and a few more words of text.</p>{BODY}</article>').startswith("One link and a few more words of text.\nThis is")
+    assert htmltext.main_text(f'<article><p title="a > b">One more paragraph of a few words.</p><p "x>y</p>{BODY}</article>').startswith("One more paragraph of a few words.\ny\nThis is")
+
+
+def test_html_edges_decide_where_a_block_alone_would_not():
+    page = "<body><div><p>" + "A paragraph with words enough to be kept by itself. " * 3 + "</p><p>Note</p><p>" + "Another paragraph with words enough to be kept by itself. " * 3 + "</p></div></body>"
+    bs = htmltext.blocks(page)
+    alone = [htmltext.unary(b) > 0 for b in bs]
+    assert alone == [True, False, True] and htmltext.min_cut([htmltext.unary(b) for b in bs], htmltext.edges(bs)) == [True, True, True]
+
+
+def test_html_time_is_linear_in_nesting():
+    import time
+
+    for page in ("<b>x" * 8000, "<div>some words here. " * 4000, "<div><b>word word word." * 43_000, "<b><div>" + "<i>x" * 20_000 + "</b>" * 20_000, "<ul>" + "<li>item" * 30_000):
+        began = time.process_time()
+        htmltext.main_text(page)
+        assert time.process_time() - began < 5
