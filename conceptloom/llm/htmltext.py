@@ -40,7 +40,7 @@ ARTICLE = re.compile(r"article|content|main|post|entry|story|body|text|hentry|ar
 STATES = frozenset("has no with without is open opened closed page layout wrap wrapper container enabled active ready".split())
 #: Log-odds of such words, of a link's share of a block, of length, of sentence marks, of headings, and of a block as such;
 #: bounds of what all elements around a block add; capacity of an edge between blocks of one element.
-MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, MARKS, SMOOTH = -4.2, 0.5, -3.0, 0.35, 0.3, 0.3, -1.5, (-4.0, 1.5), 2.4
+MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, MARKS, SMOOTH = -4.2, 0.5, -3.0, 0.5, 0.5, 0.3, -1.7, (-4.5, 1.5), 2.4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
