@@ -1,13 +1,15 @@
 """Class-based bigram language model (Brown classes by exchange clustering).
 
-Types of the model: the TOP most frequent training words, SUFFIXES buckets that all other words share by their last two
-characters, and the end of a text. Every type but the end belongs to one class, so every word has one. A text's
+Types of the model: the most frequent training words, buckets that all other words share by their last two characters,
+and the end of a text. Both numbers grow as the root of the vocabulary, at every size alike. Every type but the end belongs to one class, so every word has one. A text's
 probability is the product of P(class | class before) * P(type | class) * P(word | type); the last factor is 1 but for
 words of a suffix bucket, where it is (c + 1) / (N_bucket + V_bucket + 1). All counts are over all training texts.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Frequent words with a type of their own; suffix buckets; classes; exchange rounds; smoothing of class bigrams.
-TOP, SUFFIXES, CLASSES, ROUNDS, ALPHA = 8192, 1024, 48, 8, 0.1
+#: Words with a type of their own and suffix buckets, times the root of the vocabulary; classes; exchange rounds; smoothing of class bigrams.
+TOP, SUFFIXES, CLASSES, ROUNDS, ALPHA = 16.0, 2.0, 48, 8, 0.1
 END = ""  # no word is empty
 
 
@@ -40,15 +42,13 @@ def suffix_bucket(words: pa.Array, buckets: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
     tail = pc.utf8_slice_codeunits(words, -2, None).dictionary_encode()
-    import zlib
-
     of = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in tail.dictionary.to_pylist()], np.int64)
     return of[tail.indices.to_numpy()]
 
 
 @dataclass
 class Types:
-    """The frequent words of a model, with their training counts; bounded by TOP."""
+    """The frequent words of a model, with their training counts."""
 
     words: pa.Array
     counts: np.ndarray
@@ -181,10 +181,17 @@ class Model:
     end_count: int
 
 
-def fit(train: DataFrame, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of train(text) and its table of (word, c)."""
+def fit(train: DataFrame, top: int | None = None, suffixes: int | None = None, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of train(text) and its table of (word, c).
+
+    Repeated rows count each time, null texts are empty, other columns are not read, and an empty table gives a model
+    that knows the end of a text only. Words of equal counts go by their spelling.
+    """
     counts = common.materialize(word_counts(train), "words")
     n, v = counts.where("c > 0").agg(F.sum("c"), F.count("*")).head()
+    root = math.sqrt(v or 0)
+    top = math.ceil(TOP * root) if top is None else top
+    suffixes = max(1, math.ceil(SUFFIXES * root)) if suffixes is None else suffixes
     end_count = counts.where(F.col("word") == END).agg(F.sum("c")).head()[0] or 0
     frequent = counts.where((F.col("word") != END) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(top).toArrow()
     types = Types(frequent["word"].combine_chunks().cast(pa.large_string()), frequent["c"].to_numpy().astype(np.int64), suffixes)
