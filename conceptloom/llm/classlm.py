@@ -120,12 +120,14 @@ def contexts(bigrams: DataFrame, cls: np.ndarray, classes: int) -> tuple[np.ndar
 
     # one row a type: bounded by the model, so it is broadcast
     of = F.broadcast(bigrams.sparkSession.createDataFrame(pd.DataFrame({"k": cls.astype("int32"), "of": np.arange(len(cls))})))
-    right = bigrams.join(of, bigrams["b"] == of["of"]).groupBy(F.col("a").alias("t"), "k").agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
-    left = bigrams.join(of, bigrams["a"] == of["of"]).groupBy(F.col("b").alias("t"), "k").agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
-    got = right.unionByName(left).toArrow()
-    table = np.zeros((2, len(cls), classes))
-    table[got["side"].to_numpy(), got["t"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
-    return table[0], table[1]
+    out = []
+    for t, other in (("a", "b"), ("b", "a")):
+        cells = bigrams.join(of, bigrams[other] == of["of"]).groupBy(F.col(t).cast("int").alias("t"), F.col("k").cast("short").alias("k")).agg(F.sum("n").alias("n"))
+        table = np.zeros((len(cls), classes))
+        got = cells.toArrow()  # narrow rows, one side at a time: at most a row for each type and class
+        table[got["t"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
+        out.append(table)
+    return out[0], out[1]
 
 
 def likelihood(pairs: np.ndarray, count: np.ndarray, members: np.ndarray) -> float:
