@@ -37,6 +37,7 @@ TREE_NAMES = {
 CATEGORIES = ("ANAT", "CHEM", "DEVI", "DISO", "GEOG", "LIVB", "OBJC", "PHEN", "PHYS", "PROC")
 #: Labels of the relation judge.
 RELATIONS = ("NO_RELATION", "EXACT", "BROAD", "NARROW")
+#: Context formats without and with running memory.
 SHORT_FORMATS = ("short", "hybrid_medium")
 MEMORY_FORMATS = ("hybrid_short", "hybrid_short_v2", "hybrid_long", "hybrid_long_v2")
 
@@ -117,9 +118,20 @@ def abbreviation_inside(c: Column) -> Column:
     return c.rlike(r"\b[A-Z0-9\-]{2,}\b")
 
 
+def percent(x: Column) -> Column:
+    """A share as a percentage with one decimal; a half goes to the even digit."""
+    return F.bround(x * F.lit(100.0), 1)
+
+
 def ratio_text(part: Column, whole: Column) -> Column:
-    """'12.3% (a/b)', and '0% (0/0)' of nothing; for reports only, as engines round differently."""
-    return F.when(whole == 0, F.lit("0% (0/0)")).otherwise(F.format_string("%s%% (%d/%d)", F.round(F.try_divide(part * F.lit(100.0), whole), 1).cast("string"), part, whole))
+    """'12.3% (a/b)', '0% (0/0)' of nothing, and 'N/A' where the part is null."""
+    some = F.concat(percent(F.try_divide(part.cast("double"), whole.cast("double"))).cast("string"), F.lit("% ("), part.cast("string"), F.lit("/"), whole.cast("string"), F.lit(")"))
+    return F.when(part.isNull(), F.lit("N/A")).when(whole == 0, F.lit("0% (0/0)")).otherwise(some)
+
+
+def recall_text(part: Column, whole: Column) -> Column:
+    """'0.1234 (a/b)'; 0 of nothing."""
+    return F.format_string("%.4f (%d/%d)", safe_divide(part, whole), part, whole)
 
 
 def ratio_part(c: Column) -> Column:
@@ -207,19 +219,70 @@ def judge_label(raw: Column, pred_text: Column | None = None, pred_code: Column
 
 
 def dataset_language(c: Column) -> Column:
-    """Language of a corpus by its short name."""
+    """Language of a corpus by its name."""
     return F.when(c.rlike("(?i)mm|medmentions"), "en").when(c.rlike("(?i)emea|medline|quaero"), "fr").when(c.rlike("(?i)spaccc|sympt|distemist|medproc"), "es")
 
 
-def run_id_parts(c: Column) -> Column:
-    """struct(model, context, augmented, constrained, checkpoint) of a run's name."""
-    return F.struct(
-        F.regexp_extract(c, r"^([^_/]+)", 1).alias("model"),
-        F.regexp_extract(c, r"(hybrid_short|hybrid_medium|hybrid_long|short|long)", 1).alias("context"),
-        c.rlike("full_upsampled|full|synth").alias("augmented"),
-        (c.contains("constraint") & ~c.contains("unconstrained")).alias("constrained"),
-        F.regexp_extract(c, r"(best|last|checkpoint-\d+)", 1).alias("checkpoint"),
+#: Corpora and their short names.
+DATASET_NAMES = {"MedMentions": "MM", "QUAERO_EMEA": "EMEA", "QUAERO_MEDLINE": "MEDLINE", "SPACCC": "SPACCC"}
+#: Labels and what figures call them.
+LABEL_NAMES = {
+    "overall": "Overall",
+    "ENFERMEDAD": "Disease",
+    "SINTOMA": "Symptom",
+    "PROCEDIMIENTO": "Procedure",
+    "Organizations": "Orgs.",
+    "Geographic Areas": "Geo. Areas",
+    "Concepts & Ideas": "Concepts",
+    "Genes & Molecular Sequences": "Genes & Mol.",
+    "Living Beings": "Organisms",
+    "Chemicals & Drugs": "Chem. & Drugs",
+}
+#: Kinds of training data in the names of runs, the first that fits.
+AUGMENTATIONS = ("human_only_ft", "full_upsampled", "human_only")
+
+
+def renamed(c: Column, names: dict[str, str] = LABEL_NAMES) -> Column:
+    """The name that stands for a value, or the value itself."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), c), c)
+
+
+def selected(options: list[str] | None, known: list[str]) -> list[str]:
+    """The options that are known, in their own order; all that are known if there is no option."""
+    return [x for x in options if x in known] if options else list(known)
+
+
+def run_id_parts(c: Column, augmentations: tuple[str, ...] = AUGMENTATIONS) -> Column:
+    """struct(model_name, aug_data, context_format, constraint, checkpoint, base_run) of a run's name; null if it is none.
+
+    A name is model_augmentation_context[_complete][_addheaders]_(no_constraint|constraint)_(best|last).
+    """
+    tail = r"_(no_constraint|constraint)_(best|last)$"
+    constraint, checkpoint = F.regexp_extract(c, tail, 1), F.regexp_extract(c, tail, 2)
+    prefix = F.regexp_replace(c, tail, "")
+    rest = F.regexp_extract(prefix, r"^[^_]*_(.*)$", 1)
+    aug = F.coalesce(*(F.when(rest.startswith(f"{a}_"), F.lit(a)) for a in augmentations))
+    context = F.regexp_replace(F.substr(rest, F.length(aug) + 2), "(_complete_addheaders|_addheaders|_complete)$", "")
+    parts = F.struct(
+        F.regexp_extract(prefix, r"^([^_]*)_", 1).alias("model_name"),
+        aug.alias("aug_data"),
+        context.alias("context_format"),
+        constraint.alias("constraint"),
+        checkpoint.alias("checkpoint"),
+        F.substr(c, F.lit(1), F.length(c) - F.length(checkpoint) - 1).alias("base_run"),
     )
+    return F.when((constraint != "") & prefix.contains("_") & aug.isNotNull(), parts)
+
+
+def path_of(template: str, **parts: Column) -> Column:
+    """A path template, such as "{dataset}/{model}_{checkpoint}.tsv", filled from columns; null parts give a null path."""
+    import string
+
+    pieces = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        pieces += [F.lit(literal)] if literal else []
+        pieces += [parts[name].cast("string")] if name else []
+    return F.concat(*pieces)
 
 
 def safe_name(c: Column) -> Column:

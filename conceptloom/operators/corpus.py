@@ -14,12 +14,13 @@ FORMATS = ("short", "hybrid_short", "hybrid_medium", "hybrid_long", "long")
 
 def correct_codes(entities: DataFrame, corrections: DataFrame) -> DataFrame:
     """Codes replaced by their corrections; composites are corrected part by part."""
-    c = corrections.select(F.col("code").alias("__old"), F.col("code_new").alias("__new"))
-    d = entities.withColumn("__row", F.monotonically_increasing_id())
-    parts = d.select("__row", F.posexplode(F.split("code", r"\+")).alias("__i", "__c")).withColumn("__c", T.strip(F.col("__c")))
-    parts = parts.join(F.broadcast(c), F.col("__c") == F.col("__old"), "left")
-    new = parts.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("__new", "__c").alias("v")))), lambda x: x["v"]), "+").alias("__code"))
-    return d.join(new, "__row", "left").withColumn("code", F.coalesce("__code", "code")).drop("__row", "__code")
+    c = corrections.groupBy(F.col("code").alias("__old")).agg(F.min("code_new").alias("__new"))
+    # distinct codes are few beside the rows, and a code's correction does not depend on its row
+    each = entities.select("code").where(F.col("code").isNotNull()).distinct()
+    parts = each.select("code", F.posexplode(F.split("code", r"\+")).alias("__i", "__c")).withColumn("__c", T.strip(F.col("__c")))
+    parts = parts.join(c, F.col("__c") == F.col("__old"), "left")
+    new = parts.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("__new", "__c").alias("v")))), lambda x: x["v"]), "+").alias("__code"))
+    return entities.join(new, "code", "left").withColumn("code", F.coalesce("__code", "code")).select(entities.columns)
 
 
 def resolve_group(mentions: DataFrame, code_groups: DataFrame, types: DataFrame) -> DataFrame:
@@ -135,8 +136,57 @@ def kfold(spark: SparkSession, ids: list, folds: int = 5, seed: int = 42) -> Dat
 
 
 def kfold_by_hash(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """df with a fold by the hash of its key: the same rows in the same folds at any size."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int"))
+    """df with a fold by the MD5 of seed and key: the same rows in the same folds at any size and in any engine; null keys share one."""
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15)
+    return df.withColumn("fold", F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.lit(folds)).cast("int"))
+
+
+def complement(folded: DataFrame, folds: int = 5) -> DataFrame:
+    """(fold, row) of every fold's training rows: all rows of the other folds."""
+    other = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__k")
+    return folded.select("*", other).where("__k <> fold").drop("fold").withColumnRenamed("__k", "fold")
+
+
+def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df with its chunk from 0: n runs of equal length in order, and the rows left over one each to the first chunks."""
+    d = global_row_number(df, order)
+    total = df.agg(F.count("*").alias("__total"))
+    size = F.floor(F.col("__total") / F.lit(n))
+    i = F.col("row_nr") - 1
+    return d.crossJoin(F.broadcast(total)).withColumn("chunk", F.when(i < size * n, F.floor(F.try_divide(i, size))).otherwise(i - size * n)).drop("__total", "row_nr")
+
+
+def packed(df: DataFrame, group: list[str], length: str, order: list[str], budget: int) -> DataFrame:
+    """df with pack: within each group, rows in falling length share a pack while their lengths stay within the budget.
+
+    A row longer than the budget is a pack of its own. The running sum starts anew with each pack, so it is an ordered
+    fold; a group is one array of narrow (length, order) pairs.
+    """
+    row = F.struct((-F.col(length)).alias("l"), *order)
+    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("pack"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, x):
+        n = (-x["l"]).cast("bigint")
+        fits = (a["pack"] >= 0) & (a["sum"] + n <= budget)
+        pack = F.when(fits, a["pack"]).otherwise(a["pack"] + 1)
+        return F.struct(F.when(fits, a["sum"] + n).otherwise(n).alias("sum"), pack.alias("pack"), F.concat(a["out"], F.array(pack)).alias("out"))
+
+    g = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    g = g.select(*group, F.explode(F.arrays_zip("__rows", F.aggregate("__rows", zero, step, lambda a: a["out"]).alias("pack"))).alias("x"))
+    return g.select(*group, *(F.col(f"x.__rows.{c}").alias(c) for c in order), F.col("x.pack").alias("pack"))
+
+
+def upsampled(human: DataFrame, synthetic: DataFrame, order: str, mode: str = "full") -> DataFrame:
+    """Training rows of a kind of mix: "human" or "synthetic" alone, "full" (all of both) or "full_upsampled" (by turns, the smaller side repeated)."""
+    if mode == "human":
+        return human.select(F.lit("large").alias("side"), order)
+    if mode == "synthetic":
+        return synthetic.select(F.lit("small").alias("side"), order)
+    if mode == "full":
+        return human.select(F.lit("large").alias("side"), order).unionByName(synthetic.select(F.lit("small").alias("side"), order))
+    if mode == "full_upsampled":
+        return interleave(human, synthetic, order).select("side", order)
+    raise ValueError(f"unknown mix {mode}")
 
 
 def interleave(large: DataFrame, small: DataFrame, order: str) -> DataFrame:
@@ -161,8 +211,3 @@ def batches(mentions: DataFrame, size: int, sequential: bool) -> DataFrame:
         w = Window.partitionBy("doc_id").orderBy("mention_order")
         return mentions.withColumn("wave", F.row_number().over(w))
     return global_row_number(mentions, ["doc_id", "mention_order"]).withColumn("batch", F.floor((F.col("row_nr") - 1) / size)).drop("row_nr")
-
-
-def length_bins(lengths: Column, budget: int) -> Column:
-    """A batch class of texts of like length: the doubling that the length falls in, under a token budget."""
-    return F.least(F.ceil(F.log2(F.greatest(lengths, F.lit(1)))), F.lit(int(np.ceil(np.log2(budget)))))

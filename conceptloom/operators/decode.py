@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,47 +118,150 @@ class NearestNames:
         return sorted(scored, key=lambda x: (-x[1], x[0]))[:beams]
 
 
-#: Of the last broadcast dictionary in a Python worker: that dictionary, and the index of each group.
-_LAST: list = [None, {}]
+class Groups:
+    """Names by group, read from the shared folder one group at a time; a worker keeps the last few."""
 
+    def __init__(self, path: str, keep: int = 16):
+        self.path, self.keep, self.held = path, keep, {}
 
-def _nearest(groups: dict, group: str) -> NearestNames:
-    if _LAST[0] is not groups:
-        _LAST[:] = groups, {}
-    if group not in _LAST[1]:
-        _LAST[1][group] = NearestNames(list(groups.get(group, {})))
-    return _LAST[1][group]
+    @staticmethod
+    def write(names: DataFrame) -> str:
+        """Writes names(grp, entity, code), the least code of a name, in a folder for each group, and returns the path."""
+        from ..sources import storage
 
+        path = storage.fresh_path(names.sparkSession, "names")
+        d = names.where("entity is not null AND grp is not null").groupBy("grp", "entity").agg(F.min("code").alias("code"))
+        d.withColumn("__g", F.md5("grp")).repartition("__g").write.partitionBy("__g").parquet(path)
+        return path
 
-def decode_with_memory(mentions: DataFrame, names: DataFrame, scorer: Scorer = similarity_scorer, beams: int = 5, context_format: str = "hybrid_short") -> DataFrame:
+    def __call__(self, group: str | None, make: Callable[[dict[str, str]], object]):
+        """What make() makes of the group's names and codes."""
+        if group not in self.held:
+            while len(self.held) >= self.keep:
+                del self.held[next(iter(self.held))]
+            self.held[group] = make(self._names(group))
+        return self.held[group]
+
+    def _names(self, group: str | None) -> dict[str, str]:
+        import hashlib
+
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        if group is None:
+            return {}
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        at = f"{root}/__g={hashlib.md5(group.encode()).hexdigest()}"
+        found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+        rows = [r for x in found if x.path.endswith(".parquet") for r in pq.ParquetFile(fs.open_input_file(x.path)).read(["entity", "code"]).to_pylist()]
+        return {r["entity"]: r["code"] for r in sorted(rows, key=lambda r: r["entity"])}
+
+
+class Trie:
+    """All word sequences of a group's names; grows by add()."""
+
+    def __init__(self, names: Iterable[str] = ()):
+        self.root: dict = {}
+        for n in names:
+            self.add(n)
+
+    def add(self, name: str) -> None:
+        at = self.root
+        for word in [*name.split(" "), END]:
+            at = at.setdefault(word, {})
+
+    def allowed(self, prefix: Iterable[str]) -> list[str]:
+        """The sorted words that may follow a prefix; none where it is no beginning."""
+        at = self.root
+        for word in prefix:
+            if (at := at.get(word)) is None:
+                return []
+        return sorted(at)
+
+
+#: step_scorer(prompt, mention, prefix, allowed) -> a log-score of each word that is allowed next.
+StepScorer = Callable[[str, str, list[str], list[str]], list[float]]
+
+
+def same_place(prompt: str, mention: str, prefix: list[str], allowed: list[str]) -> list[float]:
+    """A step scorer without a model: 0 for the mention's own word at this place (its end after its last one), else -1."""
+    words = [*mention.split(" "), END]
+    want = words[len(prefix)] if len(prefix) < len(words) else END
+    return [0.0 if w == want else -1.0 for w in allowed]
+
+
+def beam_search(trie: Trie, score: StepScorer, prompt: str, mention: str, beams: int) -> list[tuple[str, float]]:
+    """The names that a beam search over the trie ends in, with their scores, best first, ties in word order.
+
+    Each step extends every open beginning by all words that the trie allows and keeps the beams best; only whole names
+    of the trie can come out.
+    """
+    open_: list[tuple[float, list[str]]] = [(0.0, [])]
+    while any(not seq or seq[-1] != END for _, seq in open_):
+        grown = []
+        for total, seq in open_:
+            if seq and seq[-1] == END:
+                grown.append((total, seq))
+                continue
+            words = trie.allowed(seq)
+            grown += [(total + s, [*seq, w]) for w, s in zip(words, score(prompt, mention, seq, words) if words else [], strict=True)]
+        open_ = sorted(grown, key=lambda x: (-x[0], x[1]))[:beams]
+    return [(" ".join(seq[:-1]), total) for total, seq in open_]
+
+
+def decode_constrained(mentions: DataFrame, names: DataFrame, score: StepScorer = same_place, beams: int = 1) -> DataFrame:
+    """Ranked predictions of mentions(mention_id, mention, semantic_group, prompt) over the whole trie of their group.
+
+    (mention_id, pred_concept_name, pred_concept_code, score, rank); mentions of a group without names get NO_PREDICTION
+    and NO_CODE. Names are read from the shared folder by group, so neither the driver nor a worker holds them all.
+    """
+    groups = Groups(Groups.write(names))
+
+    def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for r in pdf.itertuples(index=False):
+                group = None if pd.isna(r.semantic_group) else r.semantic_group
+                codes, trie = groups(group, lambda of: (of, Trie(of)))
+                ranked = beam_search(trie, score, r.prompt or "", r.mention or "", beams) or [("NO_PREDICTION", 0.0)]
+                out += [(r.mention_id, n, codes.get(n) or "NO_CODE", float(s), k) for k, (n, s) in enumerate(ranked, 1)]
+            yield pd.DataFrame(out, columns=["mention_id", "pred_concept_name", "pred_concept_code", "score", "rank"])
+
+    return mentions.select("mention_id", "mention", "semantic_group", "prompt").mapInPandas(decode, "mention_id string, pred_concept_name string, pred_concept_code string, score double, rank int")
+
+
+def decode_with_memory(mentions: DataFrame, names: DataFrame, scorer: Scorer = similarity_scorer, beams: int = 5, context_format: str = "hybrid_short", step: StepScorer | None = None) -> DataFrame:
     """Ranked predictions of mentions(doc_id, mention_id, mention_order, mention, semantic_group, source).
 
     A document's mentions are decoded in order, each with what was predicted before it; documents are independent. The
-    candidates of a mention are all names of its group, as over the group's whole trie; the names are broadcast. Mentions
-    for which the scorer finds nothing get NO_CODE.
+    candidates of a mention are all names of its group; with a step scorer they come from a beam search over the group's
+    trie. Names are read from the shared folder by group. Mentions for which nothing is found get NO_CODE.
     """
-    groups: dict[str, dict[str, str]] = {}
-    for r in names.where("entity is not null").groupBy("grp", "entity").agg(F.min("code").alias("code")).orderBy("grp", "entity").toLocalIterator():
-        groups.setdefault(r["grp"], {})[r["entity"]] = r["code"]
-    known = mentions.sparkSession.sparkContext.broadcast(groups)
+    groups = Groups(Groups.write(names))
     fast = scorer is similarity_scorer
-    schema = "doc_id string, mention_id string, mention string, semantic_group string, prompt string, pred_concept_name string, pred_concept_code string, score double, rank int"
+    schema = "doc_id string, mention_id string, mention string, semantic_group string, source string, target string, previous string, pred_concept_name string, pred_concept_code string, score double, rank int"
 
     def document(pdf: pd.DataFrame) -> pd.DataFrame:
         memory, out = "", []
         for r in pdf.sort_values(["mention_order", "mention_id"]).itertuples(index=False):
-            of = known.value.get(r.semantic_group, {})
+            group = None if pd.isna(r.semantic_group) else r.semantic_group
+            of, near, trie = groups(group, lambda x: (x, NearestNames(list(x)) if fast and step is None else None, Trie(x) if step else None))
             opening = f"[{r.mention}]{{{r.semantic_group}}}"
-            prompt = f"### Context\n{(r.source or '').rstrip()}\n\n### Previous Normalizations\n{memory.rstrip() or 'None'}\n\n### Prediction\n{opening}"
-            if fast:
-                ranked = _nearest(known.value, r.semantic_group).best(r.mention, memory, beams)
+            source = r.source or ""
+            prompt = f"### Context\n{source.rstrip()}\n\n### Previous Normalizations\n{memory.rstrip() or 'None'}\n\n### Prediction\n{opening}" if step or not fast else ""
+            if step:
+                ranked = beam_search(trie, step, prompt, r.mention, beams)
+            elif fast:
+                ranked = near.best(r.mention, memory, beams)
             else:
                 ranked = scorer(prompt, r.mention, list(of), memory)[:beams]
-            ranked = ranked or [("NO_PREDICTION", 0.0)]
-            for k, (name, score) in enumerate(ranked, 1):
-                out.append((str(r.doc_id), r.mention_id, r.mention, r.semantic_group, prompt, name, of.get(name) or "NO_CODE", float(score), k))
+            for k, (name, score) in enumerate(ranked or [("NO_PREDICTION", 0.0)], 1):
+                out.append((str(r.doc_id), r.mention_id, r.mention, r.semantic_group, source, opening, memory, name, of.get(name) or "NO_CODE", float(score), k))
             if context_format != "short":
-                memory += f"{opening} {ranked[0][0]}\n"
+                memory += f"{opening} {ranked[0][0] if ranked else 'NO_PREDICTION'}\n"
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return mentions.groupBy("doc_id").applyInPandas(document, schema)
+    d = mentions.groupBy("doc_id").applyInPandas(document, schema)
+    form = context_format if context_format in T.MEMORY_FORMATS else "hybrid_short"
+    prompt = T.inference_prompt(F.col("source"), F.col("target"), F.col("previous"), form)
+    return d.withColumn("prompt", prompt).select("doc_id", "mention_id", "mention", "semantic_group", "prompt", "pred_concept_name", "pred_concept_code", "score", "rank")

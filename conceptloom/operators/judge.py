@@ -17,26 +17,19 @@ INSTRUCTION = (
 
 
 def concepts_text(concepts: Column) -> Column:
-    """A list of struct(code, semantic_group, title, synonyms, text) as numbered paragraphs."""
-    return F.array_join(
-        F.transform(
-            concepts,
-            lambda c, i: F.format_string(
-                'Concept %d:\nCode: %s\nSemantic group: %s\nTitle: %s\nSynonyms: %s\nRepresentative synonym: "%s"\n',
-                i + 1,
-                F.coalesce(c["code"], F.lit("")),
-                F.coalesce(c["semantic_group"], F.lit("")),
-                F.coalesce(c["title"], F.lit("")),
-                F.when(F.size(c["synonyms"]) > 0, F.array_join(c["synonyms"], ", ")).otherwise("None"),
-                F.coalesce(c["text"], F.lit("")),
-            ),
-        ),
-        "\n",
-    )
-
-
-def prompt(gold: Column, pred: Column) -> Column:
-    return F.concat(F.lit(f"{INSTRUCTION}\n\n# GOLD\n"), concepts_text(gold), F.lit("\n# PREDICTED\n"), concepts_text(pred))
+    """A list of struct(code, semantic_group, title, synonyms, text), a numbered line each."""
+    shown = lambda x: F.coalesce(x, F.lit(""))
+    line = lambda c, i: F.concat(
+        F.lit("("), (i + 1).cast("string"), F.lit(") "), shown(c["title"]), F.lit(" <"), shown(c["code"]), F.lit(", "), shown(c["semantic_group"]), F.lit('>, here as "'), shown(c["text"]), F.lit('"; other names: '),
+        F.when(F.size(c["synonyms"]) > 0, F.array_join(c["synonyms"], "; ")).otherwise("none"),
+    )
+    return F.array_join(F.transform(concepts, line), "\n")
+
+
+def prompt(mention: Column, sentence: Column, gold: Column, pred: Column) -> Column:
+    """What a judge is asked about a mention in its sentence; null ones are left blank."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit(f"{INSTRUCTION}\n\n# MENTION\n"), blank(mention), F.lit("\n\n# CONTEXT\n"), blank(sentence), F.lit("\n\n# GOLD\n"), concepts_text(gold), F.lit("\n\n# PREDICTED\n"), concepts_text(pred))
 
 
 def judge(rows: DataFrame, call: Callable[[str], str], pred_text: str = "pred_concept_name", pred_code: str = "pred_concept_code") -> DataFrame:

@@ -14,7 +14,7 @@ OVERALL = "overall"
 def load_predictions(raw: DataFrame, top_k: int = 1) -> DataFrame:
     """Predictions of rank top_k at most: codes normalised, one row a (document, mention, rank), golds of NO_CODE and null left out.
 
-    Of repeated rows that of the highest score, then of the least code, stays.
+    Of repeated rows that of the highest score, then of the least code, stays. A prediction without a name has the empty one.
     """
     w = Window.partitionBy("doc_id", "mention_id", "rank").orderBy(F.desc("score"), F.col("pred_concept_code").asc_nulls_last())
     rows = raw.where((F.col("rank") <= top_k) & ~F.col("gold_concept_code").contains("NO_CODE"))
@@ -23,9 +23,27 @@ def load_predictions(raw: DataFrame, top_k: int = 1) -> DataFrame:
         .where("__n = 1")
         .drop("__n")
         .withColumns({"gold_concept_code": T.normalize_codes(F.col("gold_concept_code")), "pred_concept_code": T.normalize_codes(F.col("pred_concept_code"))})
+        .withColumns({c: F.coalesce(c, F.lit("")) for c in ("pred_concept_name",) if c in raw.columns})
     )
 
 
+def in_order(preds: DataFrame) -> DataFrame:
+    """Predictions by mention and rank, both in string order of the mention."""
+    return preds.orderBy("mention_id", "rank")
+
+
+def overall_last(df: DataFrame, label: str = "semantic_group") -> DataFrame:
+    """Rows by label, that of all labels last."""
+    return df.orderBy(F.col(label) == OVERALL, label)
+
+
+def with_labels(df: DataFrame, labels: DataFrame, label: str = "semantic_group") -> DataFrame:
+    """A row for each of labels(label) and for all, zeros where df has none."""
+    every = labels.select(label).where(F.col(label).isNotNull()).distinct().unionByName(df.where(F.col(label) == OVERALL).select(label)).distinct()
+    rest = [c for c in df.columns if c != label]
+    return every.join(df, label, "left").select(label, *(F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)).alias(c) for c in rest))
+
+
 def correct() -> Column:
     return F.coalesce(F.col("gold_concept_code") == F.col("pred_concept_code"), F.lit(False))
 
@@ -55,9 +73,13 @@ def threshold_prf(top1: DataFrame, threshold: float, score: str = "score", label
     return out.withColumns({"precision": p, "recall": r, "f1": T.f1(p, r)})
 
 
-def relation_recalls(top1: DataFrame, label: str = "relation") -> DataFrame:
-    """Shares of strict hits and of judged relations; "correct" is a hit or EXACT, "broad" takes BROAD and PARTIAL."""
+def relation_recalls(top1: DataFrame, label: str = "relation", threshold: float | None = None, score: str = "score") -> DataFrame:
+    """Shares of strict hits and of judged relations; "correct" is a hit or EXACT, "broad" takes BROAD and PARTIAL.
+
+    With a threshold the shares are of the predictions of at least that score, and n_pred and kept say how many those are.
+    """
     r = F.col(label)
+    on = F.lit(True) if threshold is None else F.coalesce(F.col(score) >= threshold, F.lit(False))
     counts = {
         "strict": correct(),
         "correct": correct() | (r == "EXACT"),
@@ -67,8 +89,23 @@ def relation_recalls(top1: DataFrame, label: str = "relation") -> DataFrame:
         "broad": r.isin("BROAD", "PARTIAL"),
         "no_relation": r == "NO_RELATION",
     }
-    out = by_group(top1, [F.count("*").alias("n"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"n_{k}") for k, c in counts.items())])
-    return out.withColumns({k: T.safe_divide(F.col(f"n_{k}"), F.col("n")) for k in counts})
+    kept = [] if threshold is None else [F.count_if(on).alias("n_pred")]
+    out = by_group(top1, [F.count("*").alias("n"), *kept, *(F.count_if(F.coalesce(c, F.lit(False)) & on).alias(f"n_{k}") for k, c in counts.items())])
+    of = F.col("n" if threshold is None else "n_pred")
+    out = out.withColumns({k: T.safe_divide(F.col(f"n_{k}"), of) for k in counts})
+    return out if threshold is None else out.withColumn("kept", T.ratio_text(F.col("n_pred"), F.col("n")))
+
+
+def grid_report(recalls: DataFrame, runs: list[str], labels: DataFrame | None = None) -> DataFrame:
+    """A row a label and a column a run, each 'p% (a/b)', from recalls(run, semantic_group, n, n_correct); all labels last.
+
+    A label of labels that a run has not met shows as nothing of nothing.
+    """
+    text = T.ratio_text(F.coalesce("n_correct", F.lit(0)), F.coalesce("n", F.lit(0)))
+    wide = recalls.withColumn("text", text).groupBy("semantic_group").pivot("run", runs).agg(F.first("text"))
+    if labels is not None:
+        wide = labels.select("semantic_group").distinct().join(wide, "semantic_group", "full")
+    return overall_last(wide.select("semantic_group", *(F.coalesce(r, F.lit("0% (0/0)")).alias(r) for r in runs)))
 
 
 def top_values(train: DataFrame, column: str, n: int = 100) -> DataFrame:
@@ -255,6 +292,31 @@ def paired_delta(pairs: DataFrame) -> DataFrame:
     return out.withColumn("delta", T.safe_divide(F.col("n_other") - F.col("n_base"), F.col("n")))
 
 
+def paired_delta_slices(base: DataFrame, other: DataFrame, train: DataFrame) -> DataFrame:
+    """paired_delta in every slice of slices() and in "multi_words": (semantic_group, slice, n, n_base, n_other, delta), in one aggregate."""
+    tagged = tag_slices(other, train)
+    b = base.select("doc_id", "mention_id", correct().alias("hit_base"))
+    d = tagged.withColumn("hit", correct()).join(b, ["doc_id", "mention_id"])
+    tags = slices() | {"multi_words": T.word_count(F.col("mention")) > 1}
+    count = lambda c, k: F.count_if(F.coalesce(c, F.lit(False))).alias(k)
+    wide = by_group(d, [x for k, c in tags.items() for x in (count(c, f"n_{k}"), count(c & F.col("hit_base"), f"b_{k}"), count(c & F.col("hit"), f"o_{k}"))])
+    each = F.array(*(F.struct(F.lit(k).alias("slice"), F.col(f"n_{k}").alias("n"), F.col(f"b_{k}").alias("n_base"), F.col(f"o_{k}").alias("n_other")) for k in tags))
+    long = wide.select("semantic_group", F.explode(each).alias("x")).select("semantic_group", "x.*")
+    return long.withColumn("delta", T.safe_divide(F.col("n_other") - F.col("n_base"), F.col("n")))
+
+
+def context_delta(rates: DataFrame, base: str, other: str) -> DataFrame:
+    """Echo rates of two contexts side by side, their difference, and the exposed mentions of the base as support, all labels last.
+
+    rates(semantic_group, context, echo_rate, n_exposed); a label that one context lacks has a null rate and delta.
+    """
+    rate = pivot_contexts(rates, [base, other], "echo_rate")
+    support = rates.where(F.col("context") == base).select("semantic_group", F.col("n_exposed").alias("support"))
+    d = rate.join(support, "semantic_group", "full").withColumns({"support": F.coalesce("support", F.lit(0).cast("long")), "delta": F.col(other) - F.col(base)})
+    n = F.when(F.col("semantic_group") == OVERALL, F.lit(" (N=")).otherwise(F.lit(" (n="))
+    return overall_last(d.withColumn("label", F.concat(T.renamed(F.col("semantic_group")), n, F.col("support").cast("string"), F.lit(")"))))
+
+
 def paired_bootstrap(pairs: DataFrame, weights: DataFrame | None = None, ci: float = 0.95) -> DataFrame:
     """Intervals of the difference of two runs; without weights, from Poisson counts."""
     d = pairs.select("doc_id", "semantic_group", (F.col("hit").cast("int") - F.col("hit_base").cast("int")).alias("num"), F.lit(1).alias("den"))

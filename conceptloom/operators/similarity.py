@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def best_synonym(mentions: DataFrame, names: DataFrame, method: str = "levenshte
     if method == "tfidf":
         texts = pairs.select(F.col("mention").alias("text")).union(pairs.select("entity")).distinct()
         w = tfidf(texts, "text")
-        return best_by_similarity(tfidf_similarity(pairs, w), F.col("similarity"), ["code", "mention"])
+        return best_by_similarity(tfidf_similarity(pairs, w), F.round("similarity", 9), ["code", "mention"])
     raise ValueError(f"unknown method {method}")
 
 
@@ -61,16 +63,44 @@ def tfidf_similarity(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(hit, ["code", "mention", "entity"], "left").fillna(0.0, ["similarity"])
 
 
-def nearest_in_group(queries: DataFrame, candidates: DataFrame, salt: int = 8) -> DataFrame:
-    """(query_id, label, nearest, score): the candidate of the largest dot product within each label, ties to the lesser id.
+#: Candidates and queries of a label that meet in one task at once.
+CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
-    Candidates of a label are dealt over salt parts, so a label that holds most candidates is not one task's; the best of
-    each part meet in a second aggregate. Dot products, not rows, leave the join.
+
+def nearest_in_group(queries: DataFrame, candidates: DataFrame, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, label, nearest, score): the other candidate of the largest dot product within each label, ties to the lesser id.
+
+    Both sides of a label are dealt into blocks by its counts, and each pair of blocks meets in one matrix product, of
+    which a row a query leaves; no row a pair is ever made, and no label is one task's. Scores are rounded to nine
+    decimals, so that equal vectors tie. A query of a label without another candidate has no row.
     """
-    c = candidates.select("label", F.col("id").alias("cand"), F.col("vector").alias("cv"), F.pmod(F.xxhash64("id"), F.lit(salt)).alias("s"))
-    q = queries.select("label", F.col("id").alias("query_id"), F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).alias("s"))
-    best = q.join(c, ["label", "s"]).groupBy("query_id", "label", "s").agg(F.min(F.struct((-V.dot(F.col("qv"), F.col("cv"))).alias("d"), F.col("cand"))).alias("x"))
-    return best.groupBy("query_id", "label").agg(F.min("x").alias("x")).select("query_id", "label", F.col("x.cand").alias("nearest"), (-F.col("x.d")).alias("score"))
+    sizes = candidates.groupBy("label").agg(F.ceil(F.count("*") / F.lit(candidate_block)).cast("int").alias("parts"))
+    sizes = sizes.join(queries.groupBy("label").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks")), "label")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    c = candidates.join(sizes, "label").select("label", one("parts").alias("part"), every("blocks", "block"), "id", "vector")
+    q = queries.join(sizes, "label").select("label", every("parts", "part"), one("blocks").alias("block"), "id", "vector")
+    q = q.toDF("q_label", "q_part", "q_block", "id", "vector")
+    kind = pa.schema([("query_id", pa.int64()), ("label", pa.int32()), ("cand", pa.int64()), ("score", pa.float64())])
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return np.array(t["vector"].to_pylist(), float).reshape(t.num_rows, -1)
+
+    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kind.empty_table()
+        left = left.sort_by("id")
+        ids, mine = left["id"].to_numpy(), right["id"].to_numpy()
+        score = np.round(matrix(right) @ matrix(left).T, 9)
+        score[mine[:, None] == ids[None, :]] = -np.inf
+        at = score.argmax(axis=1)  # the first of equals: the least id
+        top = score[np.arange(len(mine)), at]
+        ok = top > -np.inf
+        return pa.Table.from_arrays([pa.array(mine[ok], pa.int64()), pa.array([key[0].as_py()] * int(ok.sum()), pa.int32()), pa.array(ids[at[ok]], pa.int64()), pa.array(top[ok])], schema=kind)
+
+    met = c.groupBy("label", "part", "block").cogroup(q.groupBy("q_label", "q_part", "q_block")).applyInArrow(best, "query_id long, label int, cand long, score double")
+    x = met.groupBy("query_id", "label").agg(F.min(F.struct((-F.col("score")).alias("d"), "cand")).alias("x"))
+    return x.select("query_id", "label", F.col("x.cand").alias("nearest"), (-F.col("x.d")).alias("score"))
 
 
 def rank_candidates(scored: DataFrame, keys: list[str], score: str = "score", tie: str = "entity") -> DataFrame:

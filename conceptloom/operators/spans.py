@@ -159,20 +159,51 @@ def marked_sentence(sentence: Column, start: Column, stop: Column, label: Column
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def completion_spans(completion: Column) -> Column:
-    """Character spans of the names in a completion: what follows } in each <SEP> part."""
+def marked_or_bare(sentence: Column, start: Column, stop: Column, label: Column, mention: Column) -> Column:
+    """marked_sentence(), or the bare marked mention where it does not lie within the sentence."""
+    inside = (start >= 0) & (stop <= F.length(sentence)) & (start < stop)
+    return F.when(inside, marked_sentence(sentence, start, stop, label)).otherwise(F.concat(F.lit("["), mention, F.lit("]{"), label, F.lit("}")))
+
+
+def completion_spans(completion: Column, marker: str = "}") -> Column:
+    """Character spans of the names in a completion: in each <SEP> part what follows the marker and white space, its <SEP> included."""
     parts = F.split(completion, "<SEP>")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(a: Column, p: Column) -> Column:
-        cut = F.instr(p, "}")
-        # instr takes a column here; 0 where there is none
-        start = a["at"] + cut
-        return F.struct((a["at"] + F.length(p) + 5).alias("at"), F.when(F.length(p) > cut, F.concat(a["out"], F.array(F.struct(start.alias("start"), (a["at"] + F.length(p)).alias("stop"))))).otherwise(a["out"]).alias("out"))
+        cut = F.instr(p, marker)
+        skipped = F.length(p) + 5 - F.length(F.regexp_replace(F.concat(F.substr(p, cut + len(marker)), F.lit("<SEP>")), r"^\s+", ""))
+        end = a["at"] + F.length(p) + 5
+        span = F.struct((a["at"] + skipped).alias("start"), end.alias("stop"))
+        return F.struct(end.alias("at"), F.when(cut > 0, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(parts, zero, step, lambda a: a["out"])
 
 
+def label_mask(offsets: Column, spans: Column) -> Column:
+    """Of tokens' character offsets (start, stop), which overlap a span; empty tokens overlap none."""
+    return F.transform(offsets, lambda t: (t["stop"] > t["start"]) & F.exists(spans, lambda s: (t["stop"] > s["start"]) & (t["start"] < s["stop"])))
+
+
+def with_predictions(entities: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Entities of pages with the name and code of their first-ranked prediction; empty where there is none."""
+    top = predictions.where("rank = 1").groupBy("mention_id").agg(F.min(F.struct(F.coalesce("pred_concept_name", F.lit("")).alias("name"), F.coalesce("pred_concept_code", F.lit("")).alias("code"))).alias("__p"))
+    d = entities.join(top, "mention_id", "left")
+    return d.withColumns({"db_pred_match": F.coalesce("__p.name", F.lit("")), "db_pred_id": F.coalesce("__p.code", F.lit(""))}).drop("__p")
+
+
+def nest_predictions(entities: DataFrame) -> DataFrame:
+    """One row a document: its entities in span order as structs, each with its predicted name and code."""
+    fields = F.struct("start_span", "end_span", "mention_id", "mention", "semantic_group", "code", "db_pred_match", "db_pred_id")
+    return entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("entities"))
+
+
+def span_record(mentions: DataFrame) -> Column:
+    """A mention as a JSON record of an annotated page: id, type, text, offsets and codes."""
+    offsets = F.array(F.array(F.col("start_span"), F.col("end_span")))
+    return F.to_json(F.struct(F.col("mention_id").alias("id"), F.col("semantic_group").alias("type"), F.array("mention").alias("text"), offsets.alias("offsets"), F.array(F.struct(F.lit("").alias("db_name"), F.col("code").alias("db_id"))).alias("normalized")))
+
+
 def tokens(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, token, start_span, end_span): single-space tokens with running offsets."""
     parts = F.split(text, " ")

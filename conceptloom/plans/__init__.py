@@ -1 +1,3 @@
-"""Part of conceptloom."""
+"""Queries and adapters."""
+
+from . import queries, reports  # noqa: F401 - reports adds to the queries

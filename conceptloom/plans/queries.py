@@ -30,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 PREDS = A.predictions_sql()
 P = f"WITH {PREDS}"
-PT = f"WITH {PREDS}, {A.TRAIN_SQL}"
+PT = f"WITH {A.enriched_sql()}, {A.TRAIN_SQL}"
 SWAP = f"WITH {A.predictions_sql(swap=True)}"
 HIT = "gold_concept_code = pred_concept_code"
 B = "CAST(count(*) AS BIGINT)"
@@ -66,7 +66,7 @@ def recall_at_5(spark: SparkSession, d: str) -> DataFrame:
 
 def _slice(key: list[str], positive: bool) -> Query:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        train, test = A.split_train(A.predictions(spark, d))
+        train, test = A.split_train(A.enriched(spark, d))
         known = train.select(*key).dropna().distinct()
         return metrics.recall_by_group(test.join(known, key, "left_semi" if positive else "left_anti"))
 
@@ -86,7 +86,7 @@ for _name, _key, _yes in (
 
 @query(f"{PT}, top AS (SELECT gold_concept_code AS c FROM train GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) {grouped('gold_concept_code IN (SELECT c FROM top)', 'test')}")
 def slice_top_codes(spark: SparkSession, d: str) -> DataFrame:
-    train, test = A.split_train(A.predictions(spark, d))
+    train, test = A.split_train(A.enriched(spark, d))
     return metrics.recall_by_group(test.join(metrics.top_values(train, "gold_concept_code", 10), "gold_concept_code", "left_semi"))
 
 
@@ -120,7 +120,7 @@ _counts = " UNION ALL ".join(
 
 
 @query(
-    f"""WITH {A.predictions_sql(swap=True)}, {A.TRAIN_SQL},
+    f"""WITH {A.enriched_sql(swap=True)}, {A.TRAIN_SQL},
 r AS (SELECT *, count(mention_id) OVER (PARTITION BY doc_id, gold_concept_code ORDER BY mention_order, mention_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS repeat_rank,
   count(mention_id) OVER (PARTITION BY doc_id, gold_concept_code) AS repeats FROM test),
 tagged AS (SELECT *, length(mention) - length(replace(mention, ' ', '')) + 1 AS w,
@@ -132,7 +132,7 @@ counts AS ({_counts})
 SELECT semantic_group, slice, n, n_correct, coalesce(CAST(n_correct AS DOUBLE) / nullif(n, 0), 0) AS recall FROM counts"""
 )
 def metrics_all_slices(spark: SparkSession, d: str) -> DataFrame:
-    train, test = A.split_train(A.predictions(spark, d, swap=True))
+    train, test = A.split_train(A.enriched(spark, d, swap=True))
     return metrics.metrics_all_slices(metrics.tag_slices(test, train))
 
 
@@ -178,8 +178,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def paired_bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
-    runs = [A.predictions(spark, d, a=a).where("rank = 1") for a in (7, 11)]
-    pairs = metrics.paired(runs[0], A.predictions(spark, d, c=8).where("rank = 1"))
+    pairs = metrics.paired(A.predictions(spark, d).where("rank = 1"), A.predictions(spark, d, c=8).where("rank = 1"))
     return metrics.paired_bootstrap(pairs)
 
 
@@ -317,12 +316,25 @@ def judge_label_parse(spark: SparkSession, d: str) -> DataFrame:
     return j.select("event_id", "raw", T.judge_label(F.col("raw")).alias("label"))
 
 
-@query()
-def judge_relations(spark: SparkSession, d: str) -> DataFrame:
+JUDGE_LINE = "concat('(1) ', title, ' <', code, ', ', grp, '>, here as \"', entity, '\"; other names: ', entity)"
+JUDGE = f"""asked AS (SELECT code, entity AS pred_concept_name, concat('{judge.INSTRUCTION.replace("'", "''")}', chr(10), chr(10), '# MENTION', chr(10), entity, chr(10), chr(10), '# CONTEXT', chr(10), 'Found: ', entity, '.', chr(10), chr(10), '# GOLD', chr(10), {JUDGE_LINE}, chr(10), chr(10), '# PREDICTED', chr(10), {JUDGE_LINE}) AS prompt FROM names)"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
     n = A.names(spark, d)
     concept = F.array(F.struct("code", F.col("grp").alias("semantic_group"), "title", F.array("entity").alias("synonyms"), F.col("entity").alias("text")))
-    rows = n.select("code", F.col("entity").alias("pred_concept_name"), F.col("code").alias("pred_concept_code"), judge.prompt(concept, concept).alias("prompt"))
-    return judge.judge(rows, lambda p: '{"label": "exact"}' if len(p) % 2 else "broken").select("code", "pred_concept_name", "relation")
+    sentence = F.concat(F.lit("Found: "), "entity", F.lit("."))
+    return n.select("code", F.col("entity").alias("pred_concept_name"), F.col("code").alias("pred_concept_code"), judge.prompt(F.col("entity"), sentence, concept, concept).alias("prompt"))
+
+
+@query(f"WITH {A.NAMES_SQL}, {JUDGE} SELECT code, pred_concept_name, prompt FROM asked")
+def judge_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("code", "pred_concept_name", "prompt")
+
+
+@query(f"WITH {A.NAMES_SQL}, {JUDGE} SELECT code, pred_concept_name, CASE WHEN length(prompt) % 2 = 1 THEN 'EXACT' ELSE 'NO_RELATION' END AS relation FROM asked")
+def judge_relations(spark: SparkSession, d: str) -> DataFrame:
+    return judge.judge(_asked(spark, d), lambda p: '{"label": "exact"}' if len(p) % 2 else "broken").select("code", "pred_concept_name", "relation")
 
 
 # --- terminology --------------------------------------------------------------------------------------------------
@@ -472,7 +484,7 @@ def kb_augment_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH names AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS code, p_name AS entity, p_type AS grp, p_brand AS category, p_size % 2 = 0 AS is_main FROM part WHERE p_partkey <= 600),
+    """WITH names AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS code, p_name AS entity, p_type AS grp, p_brand AS category, p_size % 2 = 0 AS is_main FROM part),
     pairs AS (SELECT e.code, entity, grp FROM (SELECT DISTINCT code, entity FROM names) e JOIN (SELECT DISTINCT code, grp FROM names) g ON e.code = g.code),
     once AS (SELECT * FROM names QUALIFY row_number() OVER (PARTITION BY code, entity, grp ORDER BY is_main DESC, category) = 1),
     j AS (SELECT p.code, p.entity, p.grp, o.category, o.is_main FROM pairs p LEFT JOIN once o ON p.code = o.code AND p.entity = o.entity AND p.grp = o.grp),
@@ -481,7 +493,7 @@ def kb_augment_missing(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT * FROM f"""
 )
 def kb_complete_combinations(spark: SparkSession, d: str) -> DataFrame:
-    p = A.table(spark, d, "part").where("p_partkey <= 600")
+    p = A.table(spark, d, "part")
     n = p.select((F.col("p_partkey") % 50).cast("string").alias("code"), F.col("p_name").alias("entity"), F.col("p_type").alias("grp"), F.col("p_brand").alias("category"), (F.col("p_size") % 2 == 0).alias("is_main"))
     return kb.complete_combinations(n)
 
@@ -519,31 +531,36 @@ def best_synonym_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return similarity.best_synonym(*_synonyms(spark, d), "levenshtein")
 
 
-@query()
+TFIDF = f"""WITH {SYN}, pairs AS (SELECT code, mention, entity FROM m JOIN n USING (code)), texts AS (SELECT mention AS text FROM pairs UNION SELECT entity FROM pairs),
+    grams AS (SELECT text, substr(lower(text), t.i, 3) AS term FROM texts, LATERAL (SELECT unnest(range(1, greatest(1, length(text) - 2) + 1)) AS i) AS t), tf AS (SELECT text, term, count(*) AS tf FROM grams GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    w AS (SELECT text, term, tf * (ln((1 + (SELECT count(*) FROM texts))::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), norm AS (SELECT text, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), u AS (SELECT text, term, w / norm AS w FROM w JOIN norm USING (text)),
+    sim AS (SELECT code, mention, entity, round(coalesce(sum(a.w * b.w), 0), 9) AS score FROM pairs LEFT JOIN u a ON a.text = mention LEFT JOIN u b ON b.text = entity AND b.term = a.term GROUP BY 1, 2, 3)"""
+
+
+@query(f"{TFIDF} SELECT code, mention, entity AS best_synonym, round(score, 6) AS score FROM sim QUALIFY row_number() OVER (PARTITION BY code, mention ORDER BY score DESC, entity) = 1")
 def best_synonym_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.best_synonym(*_synonyms(spark, d), "tfidf")
+    return similarity.best_synonym(*_synonyms(spark, d), "tfidf").withColumn("score", F.round("score", 6))
 
 
 @query(
     """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-    s AS (SELECT q.vec_id AS query_id, q.label, c.vec_id AS nearest, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda x, y: x + y) AS score FROM e q JOIN e c ON q.label = c.label AND q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0)
+    s AS (SELECT q.vec_id AS query_id, q.label, c.vec_id AS nearest, round(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda x, y: x + y), 9) AS score FROM e q JOIN e c ON q.label = c.label AND q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
     SELECT query_id, label, nearest FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nearest) = 1"""
 )
 def top1_dot_by_group(spark: SparkSession, d: str) -> DataFrame:
     v = A.vectors(spark, d)
-    return similarity.nearest_in_group(v.where("id % 5 = 0"), v.where("id % 5 <> 0")).select("query_id", "label", "nearest")
+    return similarity.nearest_in_group(v.where("id % 50 = 0"), v).select("query_id", "label", "nearest")
 
 
 @query(
     """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
     dots AS (SELECT q.vec_id AS query_id, c.vec_id AS nearest, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]), lambda x, y: x + y) AS ab,
-      sqrt(list_reduce(list_transform(q.v, lambda z: z * z), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(c.v, lambda z: z * z), lambda x, y: x + y)) AS n FROM e q JOIN e c ON q.label = c.label AND q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0)
+      sqrt(list_reduce(list_transform(q.v, lambda z: z * z), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(c.v, lambda z: z * z), lambda x, y: x + y)) AS n FROM e q JOIN e c ON q.label = c.label AND q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
     SELECT query_id, nearest FROM dots QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ab / n, 9) DESC, nearest) = 1"""
 )
 def best_synonym_cosine(spark: SparkSession, d: str) -> DataFrame:
-    v = A.vectors(spark, d)
-    pairs = v.where("id % 5 = 0").select("label", F.col("id").alias("query_id"), F.col("vector").alias("a")).join(v.where("id % 5 <> 0").select("label", F.col("id").alias("cand"), F.col("vector").alias("b")), "label")
-    return similarity.best_by_similarity(pairs, F.round(V.cosine(F.col("a"), F.col("b")), 9), ["query_id"], "cand").select("query_id", F.col("best_synonym").alias("nearest"))
+    v = A.vectors(spark, d).withColumn("vector", V.unit(F.col("vector")))
+    return similarity.nearest_in_group(v.where("id % 50 = 0"), v).select("query_id", "nearest")
 
 
 @query("""SELECT vec_id, round(sqrt(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda x, y: x + y)), 6) AS norm FROM embeddings""")
@@ -587,7 +604,13 @@ def _located(spark: SparkSession, d: str) -> DataFrame:
     return spans.mention_in_sentence(spans.mention_in_passage(A.mentions(spark, d), A.passages(spark, d)))
 
 
-@query()
+SENT = r"""loc AS (SELECT m.*, p.text AS t, m.start_span - p.start AS rel FROM mentions m JOIN passages p ON m.doc_id = p.doc_id AND m.start_span >= p.start AND m.start_span < p.stop),
+halves AS (SELECT *, substr(t, 1, rel) AS pre, substr(t, rel + 1) AS post FROM loc),
+sent AS (SELECT *, ltrim(substr(pre, length(regexp_extract(pre, '^(?s:.*)(?:[.!?]+\s+|\n)', 0)) + 1), chr(9) || chr(10) || chr(13) || ' ') AS l,
+  rtrim(CASE WHEN regexp_matches(post, '[.!?]+(?:\s+|$)|\n') THEN regexp_extract(post, '^(?s:.*?)(?:[.!?]+(?:\s+|$)|\n)', 0) ELSE post END, chr(9) || chr(10) || chr(13) || ' ') AS r FROM halves)"""
+
+
+@query(f"{M}, {SENT} SELECT doc_id, mention_id, concat(l, r) AS sentence, start_span - length(l) AS sentence_start FROM sent")
 def mention_in_sentence(spark: SparkSession, d: str) -> DataFrame:
     return _located(spark, d).select("doc_id", "mention_id", "sentence", "sentence_start")
 
@@ -656,6 +679,9 @@ for _kind in corpus.FORMATS:
     query(None, f"format_{_kind}")(_format(_kind))
 
 DOC = "(SELECT string_agg(CASE WHEN q.ordinal = m.passage_no THEN concat(substr(q.text, 1, m.start_span - q.start), '[', m.mention, ']', substr(q.text, m.end_span - q.start + 1)) ELSE q.text END, ' ' ORDER BY q.ordinal) FROM passages q WHERE q.doc_id = m.doc_id)"
+MARKED = "concat(l, '[', mention, ']', substr(r, length(mention) + 1))"
+SQL["format_short"] = f"{M}, {SENT} SELECT doc_id, mention_id, {MARKED} AS source, concat('[', mention, ']{{', semantic_group, '}} ', name) AS target FROM sent"
+SQL["format_hybrid_short"] = f"{M}, {SENT} SELECT doc_id, mention_id, {MARKED} AS source, string_agg({TARGET}, '') OVER (PARTITION BY doc_id ORDER BY mention_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS target FROM sent"
 SQL["format_hybrid_medium"] = f"{M} SELECT doc_id, mention_id, {DOC} AS source, concat('[', mention, ']{{', semantic_group, '}} ', name) AS target FROM mentions m"
 SQL["format_hybrid_long"] = f"{M} SELECT doc_id, mention_id, {DOC} AS source, string_agg({TARGET}, '') OVER (PARTITION BY doc_id ORDER BY mention_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS target FROM mentions m"
 SQL["format_long"] = f"""{M}, t AS (SELECT doc_id, string_agg(concat('[', mention, ']{{', semantic_group, '}} ', name, '<SEP>'), '' ORDER BY mention_order) AS target FROM mentions GROUP BY 1),
@@ -676,7 +702,7 @@ def complete_mode_expand(spark: SparkSession, d: str) -> DataFrame:
     return corpus.complete_mode(m.withColumn("source", F.lit(""))).select("doc_id", "target")
 
 
-@query()
+@query("SELECT doc_id, CAST(CAST('0x' || substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) % 5 AS INTEGER) AS fold FROM documents")
 def kfold_assignment(spark: SparkSession, d: str) -> DataFrame:
     return corpus.kfold_by_hash(A.table(spark, d, "documents").select("doc_id"), "doc_id")
 

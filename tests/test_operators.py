@@ -83,7 +83,7 @@ def test_rebuild_and_last_wins(spark):
 def test_completion_spans(spark):
     text = "[a]{g} one<SEP>[b]{h} two"
     got = one(spark, spans.completion_spans(F.col("c")), c=text)
-    assert [text[s["start"] : s["stop"]] for s in got] == [" one", " two"]
+    assert [text[s["start"] : s["stop"]] for s in got] == ["one<SEP>", "two"]  # white space is skipped and a part's own <SEP> belongs to it
 
 
 def test_memory_is_a_prefix(spark):

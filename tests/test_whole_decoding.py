@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from conceptloom.operators import decode
 
 MENTION = "doc_id string, mention_id string, mention_order int, mention string, semantic_group string, source string"
@@ -26,3 +28,45 @@ def test_all_names_are_reachable(spark):
     for scorer in (decode.similarity_scorer, lambda *a: decode.similarity_scorer(*a)):
         out = {r["mention_id"]: r["pred_concept_code"] for r in decode.decode_with_memory(m, n, scorer).where("rank = 1").collect()}
         assert out == {"d.1": "C1", "d.2": "LONG"}
+
+
+def test_beam_search_as_brute_force():
+    """With beams enough for every name the search ranks all names of the trie by their summed scores."""
+    rng = random.Random(5)
+    names = sorted({" ".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(60)})
+    trie = decode.Trie(names)
+
+    def score(prompt, mention, prefix, allowed):
+        return [-((hash_of(" ".join([*prefix, w])) % 97) / 10) for w in allowed]
+
+    def hash_of(x):
+        return sum((i + 1) * ord(c) for i, c in enumerate(x))
+
+    def total(name):
+        words = [*name.split(" "), decode.END]
+        return sum(score("", "", words[:k], [words[k]])[0] for k in range(len(words)))
+
+    got = decode.beam_search(trie, score, "", "m", beams=1000)
+    assert sorted(n for n, _ in got) == names
+    assert [round(s, 9) for _, s in got] == sorted((round(total(n), 9) for n in names), reverse=True)
+    assert trie.allowed(["no"]) == [] and decode.beam_search(decode.Trie(), score, "", "m", 3) == []
+    trie.add("zz top")
+    assert "zz" in trie.allowed([]) and trie.allowed(["zz", "top"]) == [decode.END]
+
+
+def test_constrained_awkward(spark):
+    m = spark.createDataFrame([("1", "a b", "G", None), ("2", None, "G", ""), ("3", "a", None, ""), ("4", "a", "none", "")], "mention_id string, mention string, semantic_group string, prompt string")
+    n = spark.createDataFrame([("G", "a b", "C2"), ("G", "a b", "C1"), ("G", "c", None), (None, "x", "C9"), ("G", None, "C8")], "grp string, entity string, code string")
+    out = {r["mention_id"]: (r["pred_concept_name"], r["pred_concept_code"]) for r in decode.decode_constrained(m, n).collect()}
+    assert out == {"1": ("a b", "C1"), "2": ("a b", "C1"), "3": ("NO_PREDICTION", "NO_CODE"), "4": ("NO_PREDICTION", "NO_CODE")}
+    assert decode.decode_constrained(m.limit(0), n).count() == 0
+
+
+def test_run_names_and_options(spark):
+    from conceptloom.functions import text as T
+
+    ids = ["m_human_only_short_no_constraint_best", "m_human_only_short_constraint_last", "m_other_short_constraint_last", "plain", "m_human_only_short_constraint"]
+    out = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").orderBy("i").select(T.run_id_parts(F.col("x"))).collect()]
+    assert out[0].asDict() == {"model_name": "m", "aug_data": "human_only", "context_format": "short", "constraint": "no_constraint", "checkpoint": "best", "base_run": "m_human_only_short_no_constraint"}
+    assert out[1]["constraint"] == "constraint" and out[2:] == [None, None, None]
+    assert T.selected(["b", "x", "a"], ["a", "b"]) == ["b", "a"] and T.selected(None, ["a"]) == ["a"]
