@@ -176,15 +176,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs, address = common.addressed(docs)
     slim = docs.select(minhash.sketch(docs[text_col]).alias("__s"), docs[id_col].alias("id"), *address)
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), *common.ADDRESS).alias("o")
-    slim = common.materialize(slim.select("__s.digest", "__s.n", "__s.keys", order), "sketches")
-    nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    pairs = minhash.candidates(nodes.select("digest", "n", "keys"))
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-    where = nodes.join(asked, "digest").select("digest", *(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
-    texts = common.attach(docs, where.select(*common.ADDRESS, F.col("digest").alias("__digest")), "asked", [text_col])
-    sets = common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
-    linked = common.materialize(minhash.verified(pairs, sets), "links")
-    cc = connected(linked)
+    slim = common.materialize(slim.select("__s.*", order), "sketches")
+    first = [F.first(c).alias(c) for c in ("n", "keys", "signature")]
+    nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), *first), "nodes")
+    common.release(slim)
+    k, size = minhash.bands(nodes)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = minhash.alike(pairs, nodes)
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+        where = nodes.join(asked, "digest").select(F.col("digest").alias("__digest"), *(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
+        texts = common.attach(docs, where, "asked", [text_col])
+        sets = common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
+        links = common.materialize(minhash.verified(pairs, sets), "links")
+        common.release(sets)
+        return links
+
+    # most classes hang together by the least text of a band; what these links have joined needs no more checks
+    linked = checked(minhash.first_candidates(k, size))
+    cc = common.materialize(connected(linked), "joined")
+    rest = minhash.more_candidates(k, size)
+    for c in ("u", "v"):
+        rest = rest.join(cc.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    rest = common.materialize(rest.where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v"), "rest")
+    common.release(k)
+    cc = connected(linked.unionByName(checked(rest)))
     of = nodes.join(cc, nodes["digest"] == cc["node"], "left").select("o", F.coalesce("component", "digest").alias("root"))
     best = of.groupBy("root").agg(F.min("o").alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
     return common.attach(docs, best, "kept")

@@ -46,3 +46,25 @@ def test_short_and_blank():
     assert len(minhash.shingles(None)) == len(minhash.shingles(" \t")) == 0
     assert len(minhash.shingles("a b")) == 1 and (minhash.shingles("a b") != minhash.shingles("b a")).all()
     assert len(minhash.shingles("A b c d e f")) == 2 and (minhash.shingles("A b c d e f") == minhash.shingles("a  b c d e\nf")).all()
+
+
+def test_crowd_at_the_threshold(spark):
+    """Texts of one template, about 0.8 alike, in bands far over PAIR_BUCKET: classes as by brute force."""
+    rng = random.Random(11)
+    w = rng.choices(WORDS, k=120)
+    texts = [" ".join(edited(rng, w, rng.choice((1, 1, 2, 2, 3)))) for _ in range(150)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in out) == [i for i in range(len(texts)) if top(i) == i]
