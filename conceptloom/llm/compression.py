@@ -132,4 +132,5 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, label_col: str =
     spark = docs.sparkSession
     common.bounded_batches(spark)
     model = fit(labelled.sample(docs, labels, label_col, train, per_class, max_chars, id_col, text_col))
+    common.trim()
     return docs.select(*(docs[c] for c in docs.columns), score_udf(spark, model)(docs[text_col]).alias("__score"))

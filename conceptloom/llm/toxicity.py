@@ -123,28 +123,41 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in sorted(text_features(words)))
 
 
-def _counts(texts: list[set[str]], labels: list[int], n: list[int], least: float, always: set[str]) -> tuple[list[set[str]], set[str]]:
+#: Shares of the words whose features are counted by name at once.
+SHARES = 64
+
+
+class Vocabulary:
+    """Words by number: each word's string is kept once, however many texts hold it, and a text is an array of numbers."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+
+    def encode(self, words: set[str]) -> np.ndarray:
+        return np.fromiter((self.number.setdefault(w, len(self.number)) for w in sorted(words)), np.int32, len(words))
+
+
+def _counts(texts: list[np.ndarray], vocabulary: Vocabulary, labels: list[int], n: list[int], least: float, always: set[str]) -> tuple[list[set[str]], set[str]]:
     """The features of each text that tell the labels apart by a ratio of least, or belong to a word of always, and their names.
 
     All features are counted by name. A word's features begin with its first three letters, so words are taken by these
     letters, a share of them at a time, and memory is bounded by that share's features.
     """
-    shares = 16
+    words = list(vocabulary.number)
+    share_of = np.fromiter((sum(map(ord, w[:3])) * 31 % SHARES for w in words), np.int8, len(words))
     kept: list[set[str]] = [set() for _ in texts]
     names: set[str] = set()
-    by: list[list[list[str]]] = [[[] for _ in texts] for _ in range(shares)]
-    for i, words in enumerate(texts):
-        for w in words:
-            by[sum(map(ord, w[:3])) % shares][i].append(w)
     sure = {f if k == 1 else f"{f}{k}" for w in always for f in parts(w) for k in (1, 2, 3)}
-    for share in by:
+    for share in range(SHARES):
         met = [Counter(), Counter()]
-        for words, y in zip(share, labels, strict=True):
-            met[y].update(levels(Counter(f for w in words for f in parts(w))))
+        own = [t[share_of[t] == share].tolist() for t in texts]
+        for t, y in zip(own, labels, strict=True):
+            met[y].update(levels(Counter(f for i in t for f in parts(words[i]))))
         good = {f for f in met[0].keys() | met[1].keys() if f in sure or met[0][f] + met[1][f] >= 3 and ratio(met[0][f], met[1][f], *n) >= least}
         names |= good
-        for i, words in enumerate(share):
-            kept[i] |= levels(Counter(f for w in words for f in parts(w))) & good
+        if good:
+            for k, t in enumerate(own):
+                kept[k] |= levels(Counter(f for i in t for f in parts(words[i]))) & good
     return kept, names
 
 
@@ -166,8 +179,8 @@ def fit(s: labelled.Sample, terms=IDENTITY_TERMS, sparse: float = SPARSE, fair:
     w /= w.sum()
     n = [s.labels.count(0), s.labels.count(1)]
     plus, minus = [], []
-    pool: dict[str, str] = {}  # a word's string once, however many texts hold it
-    texts = [{pool.setdefault(w, w) for w in text_words(t)} for t in s.texts]
+    vocabulary = Vocabulary()
+    texts = [vocabulary.encode(text_words(t)) for t in s.texts]
     for t in s.texts:
         for gone, come in swaps(t, terms):
             plus.append(text_features(gone))
@@ -176,7 +189,8 @@ def fit(s: labelled.Sample, terms=IDENTITY_TERMS, sparse: float = SPARSE, fair:
         plus.append(text_features(gone))
         minus.append(text_features(come))
     mentioned = {t for group in terms for of in group.values() for t in of}
-    sets, known = _counts(texts, s.labels, n, LEAST_RATIO, mentioned & set().union(*texts))
+    sets, known = _counts(texts, vocabulary, s.labels, n, LEAST_RATIO, mentioned & vocabulary.number.keys())
+    del texts, vocabulary
     names = sorted(known)
     index = {f: i for i, f in enumerate(names)}
     col, row = _rows(sets, index)
@@ -258,4 +272,5 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, label_col: str =
     spark = docs.sparkSession
     common.bounded_batches(spark)
     model = fit(labelled.sample(docs, labels, label_col, train, per_class, max_chars, id_col, text_col))
+    common.trim()
     return docs.select(*(docs[c] for c in docs.columns), score_udf(spark, model)(docs[text_col]).alias("__score"))

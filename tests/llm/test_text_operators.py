@@ -222,7 +222,8 @@ def test_features_are_counted_by_name():
     clean, toxic = toxic_sample()
     texts, labels = [toxicity.text_words(t) for t in clean + toxic], [0] * len(clean) + [1] * len(toxic)
     n = [len(clean), len(toxic)]
-    sets, names = toxicity._counts(texts, labels, n, 12.0, {"woman"})
+    vocabulary = toxicity.Vocabulary()
+    sets, names = toxicity._counts([vocabulary.encode(t) for t in texts], vocabulary, labels, n, 12.0, {"woman"})
     every = [toxicity.text_features(t) for t in texts]
     want = set()
     for f in set().union(*every):
