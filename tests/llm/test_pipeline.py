@@ -21,3 +21,30 @@ def test_stages(spark):
         if name == "decontamination":
             assert decontam.scan_hits(docs, benchmark).where("size(__hits.spans) > 0").count() == 0
     assert docs.columns == [*names, "copy"] and docs.where("copy not in (1, 2)").count() == 0
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward):
+    """Nulls, blanks, very long texts, repeated rows and clashing names; then the same table without a row."""
+    plain = awkward.drop("copy")
+    for docs in (plain, plain.limit(0)):
+        names, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.materialize(stage(spark, docs, DATA), "stage")
+            assert docs.columns == (names if name != "mixing" else [*names, "copy"])
+            own = {tuple(r)[: len(names)] for r in docs.collect()}
+            assert own <= {tuple(r) for r in plain.collect()}
+            if name != "mixing":
+                assert docs.count() <= n
+                n = docs.count()
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    docs = common.table(spark, DATA, "documents")
+    _, first = corpus_pipeline.STAGES[0]
+    kept = common.materialize(first(spark, docs, DATA), "stage")
+    held = [p.removeprefix("file://") for p in corpus_pipeline._SCRATCH]
+    assert held and all(os.path.exists(p) for p in held)
+    corpus_pipeline.STAGES[3][1](spark, kept, DATA)
+    assert not any(os.path.exists(p) for p in held) and kept.count() > 0
