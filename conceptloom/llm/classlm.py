@@ -68,7 +68,7 @@ class Types:
         return out, at + np.arange(len(at)), rare
 
 
-def batches(df: DataFrame, work, schema: str, piece_bytes: int = 6 << 20) -> DataFrame:
+def batches(df: DataFrame, work, schema: str, piece_bytes: int = 4 << 20) -> DataFrame:
     """df.mapInArrow(work) over a partition's batches, gathered to pieces of about piece_bytes: what is counted together leaves as one row."""
 
     def each(it):
@@ -81,6 +81,7 @@ def batches(df: DataFrame, work, schema: str, piece_bytes: int = 6 << 20) -> Dat
                 held, size = [], 0
         if held:
             yield from work(gather(held))
+        common.trim()  # the worker lives on and serves other tasks
 
     return df.mapInArrow(each, schema)
 
@@ -115,14 +116,18 @@ def bigram_counts(train: DataFrame, types: Types) -> DataFrame:
     return batches(train.select("text"), count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def contexts(bigrams: DataFrame, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of classes after and before each type: two tables of (types, classes), bounded by the model's size."""
+def contexts(bigrams: tuple[DataFrame, DataFrame], cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of classes after and before each type: two tables of (types, classes), bounded by the model's size.
+
+    bigrams are the same counts twice, once with the rows of a first type together and once with those of a second, so
+    that a task sums up nearly all of a type's contexts before they are shuffled.
+    """
 
     # one row a type: bounded by the model, so it is broadcast
-    of = F.broadcast(bigrams.sparkSession.createDataFrame(pd.DataFrame({"k": cls.astype("int32"), "of": np.arange(len(cls))})))
+    of = F.broadcast(bigrams[0].sparkSession.createDataFrame(pd.DataFrame({"k": cls.astype("int32"), "of": np.arange(len(cls))})))
     out = []
-    for t, other in (("a", "b"), ("b", "a")):
-        cells = bigrams.join(of, bigrams[other] == of["of"]).groupBy(F.col(t).cast("int").alias("t"), F.col("k").cast("short").alias("k")).agg(F.sum("n").alias("n"))
+    for d, t, other in zip(bigrams, "ab", "ba", strict=True):
+        cells = d.join(of, d[other] == of["of"]).groupBy(F.col(t).cast("int").alias("t"), F.col("k").cast("short").alias("k")).agg(F.sum("n").alias("n"))
         table = np.zeros((len(cls), classes))
         got = cells.toArrow()  # narrow rows, one side at a time: at most a row for each type and class
         table[got["t"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
@@ -136,7 +141,7 @@ def likelihood(pairs: np.ndarray, count: np.ndarray, members: np.ndarray) -> flo
     return float((pairs * log(pairs)).sum() - (pairs.sum(1) * log(pairs.sum(1))).sum() - (members * log(members)).sum() + (count * log(count)).sum())
 
 
-def exchange(bigrams: DataFrame, n_types: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+def exchange(bigrams: tuple[DataFrame, DataFrame], n_types: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """Classes of all types, their counts, class bigram counts and the likelihood after each round.
 
     A round counts, in one pass over the bigrams, the classes about each type, and moves types to the class under which
@@ -197,9 +202,11 @@ def fit(train: DataFrame, top: int | None = None, suffixes: int | None = None, c
     end_count = counts.where(F.col("word") == END).agg(F.sum("c")).head()[0] or 0
     frequent = counts.where((F.col("word") != END) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(top).toArrow()
     types = Types(frequent["word"].combine_chunks().cast(pa.large_string()), frequent["c"].to_numpy().astype(np.int64), suffixes)
-    bigrams = common.materialize(bigram_counts(train, types), "bigrams")
-    cls, count, pairs, _ = exchange(bigrams, types.end + 1, classes, rounds)
-    common.release(bigrams)
+    after = common.materialize(bigram_counts(train, types).repartition("a"), "bigrams")
+    before = common.materialize(after.repartition("b"), "bigrams")
+    cls, count, pairs, _ = exchange((after, before), types.end + 1, classes, rounds)
+    common.release(after)
+    common.release(before)
 
     shared = train.sparkSession.sparkContext.broadcast(types)
 
