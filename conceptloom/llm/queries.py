@@ -115,8 +115,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    docs = common.table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    claim = [F.col("n_chars").cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.digest(claim))
+    m = merkle.manifest(docs, more={"changed": F.when(F.col("n_chars").isNotNull(), changed)})
+    out = m.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity)
+    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity, op12_merkle_manifest)
     return {f.__name__: f for f in all_}
 
 
@@ -140,6 +151,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _leaf(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+#: crc32 bit by bit; levels are lists, one a language and level; folds go up a step at a time.
+OP12_SQL = f"""WITH RECURSIVE c AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS v FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s, k + 1, xor(w >> 1, CASE WHEN w & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(s, k // 8 + 1, 1))) ELSE v END AS w FROM c WHERE k < 8 * len(s))),
+crc AS (SELECT doc_id, xor(v, 4294967295) AS h FROM c WHERE k = 8 * len(s)),
+d AS MATERIALIZED (SELECT d.doc_id, lang, {_leaf("d.doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND h % 7 = 0 THEN {_leaf("d.doc_id", "source", "lang", "n_chars + 1", "text")} END AS changed FROM documents d LEFT JOIN crc USING (doc_id)),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t AS (SELECT lang, 0 AS lev, list(leaf ORDER BY pos) AS a FROM p GROUP BY lang
+  UNION ALL SELECT lang, lev + 1, list_transform(range(0, (len(a) + 1) // 2), lambda i: sha256(a[2 * i + 1] || coalesce(a[2 * i + 2], ''))) FROM t WHERE len(a) > 1),
+sub AS (SELECT lang, a[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE len(a) = 1),
+u AS (SELECT 0 AS lev, list(subroot ORDER BY place) AS a FROM sub
+  UNION ALL SELECT lev + 1, list_transform(range(0, (len(a) + 1) // 2), lambda i: sha256(a[2 * i + 1] || coalesce(a[2 * i + 2], ''))) FROM u WHERE len(a) > 1),
+x AS MATERIALIZED (SELECT p.lang, p.pos, lev, (pos >> lev) & 1 AS side, coalesce(a[xor(pos >> lev, 1) + 1], '') AS sib FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND len(a) > 1
+  UNION ALL SELECT p.lang, p.pos, 1000 + lev, (place >> lev) & 1, coalesce(a[xor(place >> lev, 1) + 1], '') FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN u ON len(a) > 1),
+y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang, pos ORDER BY lev) - 1 AS k FROM x),
+f AS (SELECT lang, pos, 0 AS k, coalesce(changed, leaf) AS v FROM p
+  UNION ALL SELECT f.lang, f.pos, f.k + 1, sha256(CASE WHEN side = 1 THEN sib || v ELSE v || sib END) FROM f JOIN y ON y.lang IS NOT DISTINCT FROM f.lang AND y.pos = f.pos AND y.k = f.k),
+e AS (SELECT lang, pos, arg_max(v, k) AS folded_root FROM f GROUP BY lang, pos),
+q AS (SELECT lang, pos, sha256(string_agg(sib, '' ORDER BY k)) AS proof_sha256 FROM y GROUP BY lang, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos
+LEFT JOIN q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos CROSS JOIN (SELECT a[1] AS root FROM u WHERE len(a) = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it says all of a query; the others are tested against brute force."""
-    return {"op1_warc": OP1_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontamination": OP5_SQL, "op12_merkle_manifest": OP12_SQL}
