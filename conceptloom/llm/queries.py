@@ -115,6 +115,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    from . import bpe
+
+    out = bpe.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), f"{tokenizers}/word_bpe_49k.json")
+    ids = F.array_join(F.col("__ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("__ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
@@ -127,7 +135,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity, op12_merkle_manifest)
+    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity, op11_bpe, op12_merkle_manifest)
     return {f.__name__: f for f in all_}
 
 
