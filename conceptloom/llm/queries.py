@@ -134,8 +134,32 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+#: The words of a text, of which those from a on repeat the first p of them; null for a text without words. One lambda inside
+#: of another would keep the optimizer from taking the runs' function out of the expression.
+_PLANTED = """get(transform(transform(transform(
+  filter(array(struct({words} AS w, {g} AS g)), v -> size(v.w) > 0),
+  v -> struct(v.w AS w, v.g AS g, int(v.g % size(v.w)) AS a)),
+  v -> struct(v.w AS w, v.a AS a, int(1 + (size(v.w) - v.a) div (3 + v.g % 8)) AS p)),
+  v -> array_join(concat(slice(v.w, 1, v.a), slice(flatten(array_repeat(slice(v.w, v.a + 1, v.p), int(ceil((size(v.w) - v.a) / v.p)))), 1, size(v.w) - v.a)), ' ')), 0)"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY))"
+    planted = F.expr(_PLANTED.format(words=r"array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')", g=f"{h} div 10"))
+    docs = docs.withColumn("text", F.when(F.expr(f"{h} % 10 = 0"), F.coalesce(planted, "text")).otherwise(F.col("text")))
+    d = periodic.find(docs).select("doc_id", "__periodic.*")
+    best = F.expr("aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (b, r) -> if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    rows = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(rows, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return d.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity, op11_bpe, op12_merkle_manifest)
+    all_ = (op1_warc, op2_simhash, op3_quality_rules, op4_html_mincut, op5_decontamination, op6_mixing, op7_class_lm, op8_token_counts, op9_compression_quality, op10_toxicity, op11_bpe, op12_merkle_manifest, op13_periodic_runs)
     return {f.__name__: f for f in all_}
 
 
