@@ -9,13 +9,16 @@ neighbour. Only words with a border that fails are merged step by step.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain, filterfalse
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,11 +28,20 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Runs of letters between white space whose tokens a worker keeps, and the longest of them in bytes.
-REMEMBERED, LONG = 300_000, 100
+REMEMBERED, LONG = 600_000, 100
 #: Bytes of text that are cut into words at once.
 PIECE = 1 << 20
 #: Later than any merge.
 NEVER = np.int64(1) << 40
+NONE = 1 << 40
+#: Stands where a word ends; words over bytes do not have it.
+END = "\0"
+#: Letters of a word up to which merging looks through a list; longer words have a heap.
+SHORT = 40
+#: Fixed value: the pattern by which the known files cut words. Runs of printable ASCII are cut together with its ASCII part.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_CUT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\na-z0-9]+")
+_PRINTABLE = re.compile(rb"[!-~]+")
 
 
 @dataclass
@@ -48,7 +60,7 @@ class Merges:
         self.born = np.full(n, -1, np.int64)
         self.rank = {(a, b): k for k, (a, b, _) in reversed(list(enumerate(self.steps)))}
         self.into = [t for _, _, t in self.steps]
-        self.inside, self.closing = dict(self.inner), dict(self.ends)
+        self.machine = None
         spelt = {t: (c, False) for c, t in self.inner.items()} | {t: (c, True) for c, t in self.ends.items()}
         #: Whether time can be read off the ranks: a token has one merge, and its parts are made before it.
         self.ordered = len(self.rank) == len(self.steps)
@@ -58,8 +70,7 @@ class Merges:
                 continue
             self.left[t], self.right[t], self.born[t] = a, b, k
             spelt[t] = (spelt[a][0] + spelt[b][0], spelt[b][1])
-            (self.closing if spelt[t][1] else self.inside)[spelt[t][0]] = t
-        self.longest = max((len(s) for s, _ in spelt.values()), default=1)
+        self.spelt = spelt
         pairs = sorted((a * n + b, k) for (a, b), k in self.rank.items())
         self.keys, self.ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
         self.whole = self._whole()
@@ -102,27 +113,56 @@ class Merges:
             ok[t] = ok[t] and ok[self.left[t]] and ok[self.right[t]]
         return ok
 
-    def guess(self, word: str) -> list[int]:
-        """The longest token at each place of a word."""
-        out, i, n = [], 0, len(word)
-        inside, closing, longest = self.inside, self.closing, self.longest
-        if n <= longest and (t := closing.get(word)) is not None:
-            return [t]
-        while i < n:
-            for j in range(min(n, i + longest), i, -1):
-                if (t := (closing if j == n else inside).get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                raise ValueError(f"the vocabulary lacks the letter {word[i]!r}")
-        return out
+    def guess(self, words: list[str]) -> list[list[int]]:
+        """The longest token at each place of each word; none for a word whose end no such token meets.
+
+        An Aho-Corasick automaton walks over all words in one string; where a word ends stands a letter of its own, which
+        the tokens that close words end in.
+        """
+        if self.machine is None:
+            self.machine = ahocorasick.Automaton()
+            for t, (spelt, closes) in self.spelt.items():
+                self.machine.add_word(spelt + END if closes else spelt, (t, closes))
+            self.machine.make_automaton()
+        out: list[list[int]] = []
+        own: list[int] = []
+        ends = list(accumulate(len(w) + 1 for w in words))
+        k, end = 0, ends[0] if words else 0
+        for at, (t, closes) in self.machine.iter_long(END.join([*words, ""])):
+            while at >= end:
+                out.append([])
+                own = []
+                k += 1
+                end = ends[k]
+            own.append(t)
+            if closes:
+                out.append(own)
+                own = []
+                k += 1
+                end = ends[k] if k < len(ends) else end
+        return out + [[] for _ in range(len(words) - len(out))]
 
     def merged(self, word: str) -> list[int]:
         """The tokens of a word, merge by merge: the least rank first, of equal ranks the leftmost."""
         if not word:
             return []
         tokens = [self.inner[c] for c in word[:-1]] + [self.ends[word[-1]]]
+        return self._by_list(tokens) if len(tokens) <= SHORT else self._by_heap(tokens)
+
+    def _by_list(self, tokens: list[int]) -> list[int]:
+        rank, into = self.rank.get, self.into
+        ranks = [rank(x, NONE) for x in zip(tokens, tokens[1:])]  # noqa: B905
+        while ranks and (r := min(ranks)) != NONE:
+            i = ranks.index(r)
+            tokens[i] = t = into[r]
+            del tokens[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((tokens[i - 1], t), NONE)
+            if i < len(ranks):
+                ranks[i] = rank((t, tokens[i + 1]), NONE)
+        return tokens
+
+    def _by_heap(self, tokens: list[int]) -> list[int]:
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := self.rank.get((tokens[i], tokens[i + 1]))) is not None]
@@ -142,10 +182,10 @@ class Merges:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word: guesses, checked together, and merges of those that fail."""
-        guesses = [self.guess(w) for w in words] if self.ordered else [[] for _ in words]
+        guesses = self.guess(words) if self.ordered else [[] for _ in words]
         flat = np.fromiter(chain.from_iterable(guesses), np.int64)
         of = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
-        failed = np.full(len(words), not self.ordered)
+        failed = np.array([not g for g in guesses], bool)
         failed[of[~self.whole[flat]]] = True
         side = np.flatnonzero(of[1:] == of[:-1])
         failed[of[side[~self.fits(flat[side], flat[side + 1])]]] = True
@@ -177,13 +217,32 @@ class Encoder:
             raise ValueError("added tokens with white space are not known")
         self.names = {t: w for w, t in vocab.items()} | {t: w for w, t in self.added.items()}
         self.find = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or "(?!)")
+        self.marks = re.compile(self.find.pattern.encode()) if self.added else None
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.known_cut = kinds == ["NFC", "Replace", "Lowercase"] and [p["pattern"].get("Regex") for p in drops] == [CUT] and [p["type"] for p in cuts] == ["Split", "ByteLevel"]
         whole = Tokenizer.from_str(model)
         self.clean, self.cut = whole.normalizer, whole.pre_tokenizer
-        self.kept: dict[bytes, list[int]] = {}
+        #: The ids of runs, as 32-bit numbers.
+        self.kept: dict[bytes, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         return [w for w, _ in self.cut.pre_tokenize_str(self.clean.normalize_str(text) if self.clean else text)]
 
+    def _cut(self, texts: list[str]) -> list[list[str]]:
+        """_words() of each text without ASCII white space, all in one call where none has other white space either."""
+        whole = self.clean.normalize_str("\n".join(texts)) if self.clean else "\n".join(texts)
+        lengths = [len(t) + 1 for t in whole.split(" ")]
+        if len(lengths) != len(texts):
+            return [self._words(t) for t in texts]
+        out: list[list[str]] = [[] for _ in texts]
+        ends = list(accumulate(lengths))
+        k = 0
+        for w, (a, _) in self.cut.pre_tokenize_str(whole):
+            while a >= ends[k]:
+                k += 1
+            out[k].append(w)
+        return out
+
     def _parts(self, run: bytes) -> Iterator[str | int]:
         """The words and added tokens of a run of letters without ASCII white space; nothing reaches from one run to another."""
         text, at = run.decode("utf-8"), 0
@@ -194,12 +253,29 @@ class Encoder:
         yield from self._words(text[at:])
 
     def _learn(self, runs: Iterable[bytes]) -> None:
-        runs = list(runs)
-        parts = [list(self._parts(r)) for r in runs]
-        words = list({p for ps in parts for p in ps if isinstance(p, str)})
-        tokens = dict(zip(words, self.merges.encode(words), strict=True))
-        for r, ps in zip(runs, parts, strict=True):
-            self.kept[r] = list(chain.from_iterable([p] if isinstance(p, int) else tokens[p] for p in ps))
+        plain, other, parts = [], [], {}
+        for r in runs:
+            if self.marks and self.marks.search(r):
+                parts[r] = list(self._parts(r))
+            elif self.known_cut and _PRINTABLE.fullmatch(r):
+                plain.append(r)
+            else:
+                other.append(r)
+        parts |= zip(other, self._cut([r.decode() for r in other]), strict=True)
+        own: list[str] = []
+        ends = iter(plain)
+        if plain:
+            for w in _ASCII_CUT.findall(b"\n".join([*plain, b""]).decode().lower()):
+                if w == "\n":
+                    parts[next(ends)] = own
+                    own = []
+                else:
+                    own.append(w)
+        words = list({p for ps in parts.values() for p in ps if isinstance(p, str)})
+        tokens: dict[str | int, bytes] = {w: array("i", t).tobytes() for w, t in zip(words, self.merges.encode(words), strict=True)}
+        tokens |= {t: array("i", [t]).tobytes() for t in self.added.values()}
+        for r, ps in parts.items():
+            self.kept[r] = tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps])
 
     def texts(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The token ids of each text. New runs are learnt together, for a megabyte of text at a time."""
@@ -220,10 +296,11 @@ class Encoder:
     def _look_up(self, held: list[tuple[int, list[bytes]]], ids: list[list[np.ndarray]]) -> None:
         if len(self.kept) >= REMEMBERED:
             self.kept.clear()
-        new = set(chain.from_iterable(runs for _, runs in held)) - self.kept.keys()
-        self._learn(new)
+        new = set(filterfalse(self.kept.__contains__, chain.from_iterable(runs for _, runs in held)))
+        if new:
+            self._learn(new)
         for k, runs in held:
-            ids[k].append(np.fromiter(chain.from_iterable(map(self.kept.__getitem__, runs)), np.int32))
+            ids[k].append(np.frombuffer(b"".join(map(self.kept.__getitem__, runs)), np.int32))
         for r in new:
             if len(r) > LONG:
                 del self.kept[r]
@@ -242,6 +319,18 @@ def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
         at = end
 
 
+#: The encoder of a worker; it serves all its tasks, so that words are learnt once.
+_MADE: dict[str, Encoder] = {}
+
+
+def encoder(key: str, model) -> Encoder:
+    """The encoder of a broadcast file, by the file's digest."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Encoder(model.value)
+    return _MADE[key]
+
+
 class Bpe:
     """Column functions over one vocabulary file, which goes to the workers as a broadcast of a few megabytes."""
 
@@ -251,13 +340,11 @@ class Bpe:
         common.bounded_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast(model)
         names = Encoder(model).names
-        made: dict[str, Encoder] = {}
+        key = hashlib.sha256(model.encode()).hexdigest()
 
         @F.arrow_udf("array<int>")
         def encode(text: pa.Array) -> pa.Array:
-            if "e" not in made:
-                made["e"] = Encoder(shared.value)
-            ids = made["e"].texts(t.as_py() for t in text)
+            ids = encoder(key, shared).texts(t.as_py() for t in text)
             ends = np.cumsum([0, *map(len, ids)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
