@@ -1,3 +1,3 @@
 """Queries and adapters."""
 
-from . import queries, reports  # noqa: F401 - reports adds to the queries
+from . import answers, queries, reports  # noqa: F401 - answers and reports add to the queries
