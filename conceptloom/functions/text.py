@@ -177,6 +177,15 @@ def target_text(mention: Column, group: Column, name: Column, end: str = "") ->
     return F.concat(F.lit("["), mention, F.lit("]{"), group, F.lit("} "), name, F.lit(end))
 
 
+def target_fault(target: Column, context_format: str) -> Column:
+    """Why training_prompt() would raise on a target, null if it would not: its last line needs exactly one closing brace."""
+    if context_format == "long":
+        return F.when(target.isNull(), F.lit("no target"))
+    current = target if context_format in SHORT_FORMATS else F.element_at(F.filter(F.split(target, "\n"), lambda x: x != ""), -1)
+    braces = F.size(F.split(current, r"\}")) - 1
+    return F.when(current.isNull(), F.lit("no target")).when(braces != 1, F.concat(braces.cast("string"), F.lit(" closing braces")))
+
+
 def training_prompt(source: Column, target: Column, context_format: str) -> Column:
     """struct(prompt, completion) of a training row; a target without exactly one closing brace raises when it is run."""
     head = F.concat(F.lit("### Context\n"), rstrip(source), F.lit("\n\n"))

@@ -66,7 +66,8 @@ def format_rows(located: DataFrame, context_format: str, pages: DataFrame | None
 
     short: the marked sentence. hybrid_short: with the document's targets so far. hybrid_medium: the marked document.
     hybrid_long: with targets so far. long: a row a document, all mentions marked, all targets in order. pages has the
-    passages of each document (spans.assemble_pages) for the document formats.
+    passages of each document (spans.assemble_pages) for the document formats. A column fragments, an array of
+    (start, stop) in the document, marks a mention's parts one by one.
     """
     if context_format not in FORMATS:
         raise ValueError(f"unknown context format {context_format}")
@@ -76,15 +77,18 @@ def format_rows(located: DataFrame, context_format: str, pages: DataFrame | None
         d = d.withColumn("pred_target", T.target_text(F.col("mention"), F.col("semantic_group"), F.coalesce("pred_name", F.lit("")), end))
     if context_format == "long":
         span = F.struct(F.col("start_span").cast("int").alias("start"), F.col("end_span").cast("int").alias("stop"))
-        per = d.groupBy("doc_id").agg(F.collect_list(span).alias("m"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_order", "target"))), lambda x: x["target"]), "").alias("target"))
+        parts = F.flatten(F.collect_list("fragments")) if "fragments" in located.columns else F.collect_list(span)
+        per = d.groupBy("doc_id").agg(parts.alias("m"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_order", "target"))), lambda x: x["target"]), "").alias("target"))
         text = spans.rebuild_text(F.transform("passages", lambda p: F.struct(p["start"].cast("int").alias("start"), p["text"].alias("text"))))
         return per.join(pages, "doc_id").select("doc_id", spans.mark_all(text, F.col("m")).alias("source"), "target")
     if context_format in ("short", "hybrid_short"):
         base, text = F.col("sentence_start"), F.col("sentence")
     else:
         base, text = F.col("passage_start"), F.col("passage_text")
-    fragment = F.array(F.struct((F.col("start_span") - base).cast("int").alias("start"), (F.col("end_span") - base).cast("int").alias("stop")))
-    marked = spans.mark_fragments(text, fragment)
+    whole = F.array(F.struct(F.col("start_span").cast("int").alias("start"), F.col("end_span").cast("int").alias("stop")))
+    fragment = F.transform(F.col("fragments") if "fragments" in located.columns else whole, lambda f: F.struct((f["start"] - base).cast("int").alias("start"), (f["stop"] - base).cast("int").alias("stop")))
+    # of a discontinuous mention those parts are marked that lie within the text shown
+    marked = spans.mark_fragments(text, F.filter(fragment, lambda f: (f["start"] >= 0) & (f["start"] < F.length(text)) & (f["stop"] > 0) & (f["stop"] <= F.length(text))))
     if context_format in ("hybrid_medium", "hybrid_long"):
         d = d.join(pages.select("doc_id", "passages"), "doc_id").withColumn("source", spans.mark_in_document(F.col("passages"), F.col("passage"), marked))
     else:
