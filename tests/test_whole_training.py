@@ -113,7 +113,9 @@ def test_no_own_fold_reaches_the_memory(spark):
     reached = 0
     for k in range(5):
         own = [m for m, (f, _) in before.items() if f == k]
-        changed = d.withColumn("name", F.when(F.col("mention_id").isin(own), F.lit("A")).otherwise(F.col("name")))
+        mine = F.coalesce(F.col("mention_id").isin(own), F.lit(False))
+        loud = d.where(mine).withColumn("name", F.lit("A")).crossJoin(spark.range(9)).drop("id")
+        changed = d.where(~mine).unionByName(loud)
         after = {r["mention_id"]: (r["fold"], r["pred_name"]) for r in crossfit.out_of_fold(changed).collect()}
         assert all(after[m] == before[m] for m in own)
         reached += after != before
