@@ -252,10 +252,11 @@ class Encoder:
             at = m.end()
         yield from self._words(text[at:])
 
-    def _learn(self, runs: Iterable[bytes]) -> None:
+    def _learn(self, runs: set[bytes]) -> None:
         plain, other, parts = [], [], {}
+        marked = self.marks is not None and self.marks.search(b"\n".join(runs)) is not None
         for r in runs:
-            if self.marks and self.marks.search(r):
+            if marked and self.marks.search(r):
                 parts[r] = list(self._parts(r))
             elif self.known_cut and _PRINTABLE.fullmatch(r):
                 plain.append(r)
@@ -277,14 +278,14 @@ class Encoder:
         for r, ps in parts.items():
             self.kept[r] = tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps])
 
-    def texts(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """The token ids of each text. New runs are learnt together, for a megabyte of text at a time."""
+    def texts(self, texts: Iterable[str | bytes | None]) -> list[np.ndarray]:
+        """The token ids of each text, given as text or as UTF-8. New runs are learnt together, for a megabyte of text at a time."""
         ids: list[list[np.ndarray]] = []
         held: list[tuple[int, list[bytes]]] = []
         size = 0
         for k, text in enumerate(texts):
             ids.append([])
-            for piece in pieces((text or "").encode("utf-8")):
+            for piece in pieces(text.encode("utf-8") if isinstance(text, str) else text or b""):
                 held.append((k, piece.split()))
                 size += len(piece)
                 if size >= PIECE:
@@ -331,6 +332,18 @@ def encoder(key: str, model) -> Encoder:
     return _MADE[key]
 
 
+def joined(ids: pa.ListArray, spelt: pa.Array) -> pa.Array:
+    """The tokens of each list, one space between two; ids without a token are left out."""
+    flat, rows = ids.flatten(), pc.list_parent_indices(ids)
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(spelt))), False)
+    if not pc.all(known).as_py():
+        flat, rows = flat.filter(known), rows.filter(known)
+    words = spelt.take(flat)
+    counts = np.bincount(rows.filter(words.is_valid()).to_numpy(), minlength=len(ids))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), words.drop_null())
+    return pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+
+
 class Bpe:
     """Column functions over one vocabulary file, which goes to the workers as a broadcast of a few megabytes."""
 
@@ -342,25 +355,27 @@ class Bpe:
         names = Encoder(model).names
         key = hashlib.sha256(model.encode()).hexdigest()
 
-        @F.arrow_udf("array<int>")
-        def encode(text: pa.Array) -> pa.Array:
-            ids = encoder(key, shared).texts(t.as_py() for t in text)
+        spelt = docs.sparkSession.sparkContext.broadcast(pa.array([names.get(k) for k in range(max(names) + 1)], pa.string()))
+
+        def lists(text: pa.Array) -> pa.ListArray:
+            ids = encoder(key, shared).texts(text.cast(pa.large_binary()).to_pylist())
             ends = np.cumsum([0, *map(len, ids)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
-        spelt = docs.sparkSession.sparkContext.broadcast(pa.array([names.get(k) for k in range(max(names) + 1)], pa.string()))
+        @F.arrow_udf("array<int>")
+        def encode(text: pa.Array) -> pa.Array:
+            return lists(text)
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            flat, rows = ids.flatten(), pc.list_parent_indices(ids)
-            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(spelt.value))), False)
-            flat, rows = flat.filter(known), rows.filter(known)
-            words = spelt.value.take(flat)
-            counts = np.bincount(rows.filter(words.is_valid()).to_numpy(), minlength=len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), words.drop_null())
-            return pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+            return joined(ids, spelt.value)
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("ids array<int>, decoded string")
+        def both(text: pa.Array) -> pa.Array:
+            ids = lists(text)
+            return pa.StructArray.from_arrays([ids, joined(ids, spelt.value)], names=["ids", "decoded"])
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """The ids of a text's tokens; a null text has none, like an empty one. The strings of added tokens are those tokens."""
@@ -370,6 +385,10 @@ class Bpe:
         """The tokens of ids as text, one space between two; ids that no token has are left out. Null for null."""
         return self._decode(ids)
 
+    def both(self, text: Column) -> Column:
+        """struct(ids, decoded) of a text, whose tokens are made once."""
+        return self._both(text)
+
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs and last columns __ids and __decoded: the tokens of the whole text, and the text they stand for.
@@ -380,5 +399,5 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """
     if {"__ids", "__decoded"} & set(docs.columns):
         raise ValueError("docs has a column __ids or __decoded already")
-    bpe = Bpe(docs, path)
-    return docs.withColumn("__ids", bpe.encode(docs[text_col])).withColumn("__decoded", bpe.decode(F.col("__ids")))
+    d = docs.select(*(docs[c] for c in docs.columns), Bpe(docs, path).both(docs[text_col]).alias("__t"))
+    return d.select(*(d[c] for c in docs.columns), d["__t.ids"].alias("__ids"), d["__t.decoded"].alias("__decoded"))
