@@ -196,71 +196,6 @@ def bootstrap_weights(spark: SparkSession, docs: list[str], replicates: int = 10
     return spark.createDataFrame(rows, "doc_id string, w array<bigint>")
 
 
-def poisson_weights(per_doc: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(doc_id, w): Poisson(1) counts drawn from hashes of document and replicate, at any number of documents, without the driver."""
-    u = lambda b: F.pmod(F.xxhash64("doc_id", b, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    cuts = np.cumsum([np.exp(-1) / m for m in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    draw = lambda b: sum(((u(b) >= float(c)).cast("bigint") for c in cuts), F.lit(0))
-    return per_doc.select("doc_id").distinct().withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), draw))
-
-
-def poisson_counts(doc_hash: np.ndarray, replicates: int, seed: int = 42) -> np.ndarray:
-    """The weights of poisson_weights, a row a document, from xxhash64(doc_id): Spark's hash goes on with replicate and seed."""
-    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-
-    def then(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        h = (h + (p5 + np.uint64(4))) ^ (x * p1)
-        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
-
-    h = then(doc_hash.astype(np.int64).view(np.uint64)[:, None], np.arange(replicates, dtype=np.uint64))
-    h = then(h, np.array([seed], np.uint64)) & np.uint64((1 << 52) - 1)
-    out = np.zeros(h.shape, np.uint8)
-    for c in np.cumsum([np.exp(-1) / m for m in (1, 1, 2, 6, 24, 120, 720, 5040)]):
-        out += h >= np.uint64(np.ceil(c * (1 << 52)))
-    return out
-
-
-def poisson_bootstrap_ci(per_doc: DataFrame, replicates: int = 1000, seed: int = 42, ci: float = 0.95, label: str = "semantic_group", empty_is_zero: bool = True) -> DataFrame:
-    """bootstrap_ci with poisson_weights, at any number of documents: weights are drawn and summed where the rows are.
-
-    Only sums by label and replicate leave a task; no row is multiplied by the replicates.
-    """
-    d = per_doc.groupBy("doc_id", label).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    d = d.select(F.xxhash64("doc_id").alias("h"), F.col(label).alias("label"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
-
-    def sums(it):
-        import pandas as pd
-
-        acc: dict = {}
-
-        def flush():
-            out = pd.DataFrame({"label": list(acc), "num": [x[0] for x in acc.values()], "den": [x[1] for x in acc.values()]})
-            acc.clear()
-            return out
-
-        for pdf in it:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                docs, doc = np.unique(part["h"].to_numpy(), return_inverse=True)
-                w = poisson_counts(docs, replicates, seed)[doc].astype(float)
-                of, labels = pd.factorize(part["label"], use_na_sentinel=False)
-                pick = (of == np.arange(len(labels))[:, None]).astype(float)
-                values = np.stack([(pick * part[c].to_numpy()) @ w for c in ("num", "den")], axis=1)
-                for name, v in [*zip((None if pd.isna(x) else x for x in labels), values, strict=True), (OVERALL, values.sum(axis=0))]:
-                    acc[name] = acc[name] + v if name in acc else v
-                if len(acc) > 1000:
-                    yield flush()
-        yield flush()
-
-    s = d.mapInPandas(sums, "label string, num array<double>, den array<double>")
-    b = s.select(F.col("label").alias(label), F.posexplode(F.arrays_zip("num", "den")).alias("b", "x"))
-    v = b.groupBy(label, "b").agg(F.sum("x.num").alias("num"), F.sum("x.den").alias("den"))
-    return _interval(v, ci, label, empty_is_zero)
-
-
 def bootstrap_ci(per_doc: DataFrame, weights: DataFrame, ci: float = 0.95, label: str = "semantic_group", empty_is_zero: bool = True) -> DataFrame:
     """(label, low, high) of sum(w * num) / sum(w * den) over replicates, from per_doc(doc_id, label, num, den).
 
@@ -271,10 +206,11 @@ def bootstrap_ci(per_doc: DataFrame, weights: DataFrame, ci: float = 0.95, label
     d = d.unionByName(d.groupBy("doc_id").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).withColumn(label, F.lit(OVERALL)))
     b = d.join(weights, "doc_id").select(label, "num", "den", F.posexplode("w").alias("b", "k"))
     v = b.groupBy(label, "b").agg(F.sum(F.col("k") * F.col("num")).alias("num"), F.sum(F.col("k") * F.col("den")).alias("den"))
-    return _interval(v, ci, label, empty_is_zero)
+    return interval(v, ci, label, empty_is_zero)
 
 
-def _interval(sums: DataFrame, ci: float, label: str, empty_is_zero: bool) -> DataFrame:
+def interval(sums: DataFrame, ci: float, label: str, empty_is_zero: bool) -> DataFrame:
+    """(label, low, high) of num / den over replicates."""
     ratio = F.try_divide(F.col("num").cast("double"), F.col("den").cast("double"))
     v = sums.withColumn("v", F.coalesce(ratio, F.lit(0.0)) if empty_is_zero else ratio)
     return v.groupBy(label).agg(F.percentile("v", (1 - ci) / 2).alias("low"), F.percentile("v", (1 + ci) / 2).alias("high"))
@@ -317,10 +253,10 @@ def context_delta(rates: DataFrame, base: str, other: str) -> DataFrame:
     return overall_last(d.withColumn("label", F.concat(T.renamed(F.col("semantic_group")), n, F.col("support").cast("string"), F.lit(")"))))
 
 
-def paired_bootstrap(pairs: DataFrame, weights: DataFrame | None = None, ci: float = 0.95) -> DataFrame:
-    """Intervals of the difference of two runs; without weights, from Poisson counts."""
+def paired_bootstrap(pairs: DataFrame, weights: DataFrame, ci: float = 0.95) -> DataFrame:
+    """Intervals of the difference of two runs under given weights (resample.paired_bootstrap draws its own)."""
     d = pairs.select("doc_id", "semantic_group", (F.col("hit").cast("int") - F.col("hit_base").cast("int")).alias("num"), F.lit(1).alias("den"))
-    return poisson_bootstrap_ci(d, ci=ci, empty_is_zero=False) if weights is None else bootstrap_ci(d, weights, ci, empty_is_zero=False)
+    return bootstrap_ci(d, weights, ci, empty_is_zero=False)
 
 
 def best_run(deltas: DataFrame, keys: list[str]) -> DataFrame:

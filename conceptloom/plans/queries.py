@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import corpus, decode, fusion, judge, kb, metrics, similarity, spans
+from ..operators import corpus, decode, fusion, judge, kb, metrics, resample, similarity, spans
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,13 +173,13 @@ def _per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.poisson_bootstrap_ci(_per_doc(spark, d))
+    return resample.bootstrap_ci(_per_doc(spark, d))
 
 
 @query()
 def paired_bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
     pairs = metrics.paired(A.predictions(spark, d).where("rank = 1"), A.predictions(spark, d, c=8).where("rank = 1"))
-    return metrics.paired_bootstrap(pairs)
+    return resample.paired_bootstrap(pairs)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conceptloom.functions import text as T
 from conceptloom.functions import vectors as V
-from conceptloom.operators import corpus, decode, fusion, kb, metrics, similarity, spans
+from conceptloom.operators import corpus, decode, fusion, kb, metrics, resample, similarity, spans
 
 
 def one(spark, column, **values):
@@ -118,7 +118,7 @@ def test_bootstrap_as_numpy(spark):
     w = np.random.default_rng(42).multinomial(30, np.full(30, 1 / 30), size=200)
     want = np.quantile((w @ num) / (w @ den), [0.025, 0.975])
     assert got["g"] == pytest.approx(tuple(want)) and got["overall"] == pytest.approx(tuple(want))
-    loose = {r["semantic_group"]: r["low"] for r in metrics.bootstrap_ci(per, metrics.poisson_weights(per, 400)).collect()}
+    loose = {r["semantic_group"]: r["low"] for r in metrics.bootstrap_ci(per, resample.multinomial_weights(per, 400)).collect()}
     assert loose["g"] == pytest.approx(want[0], abs=0.08)
 
 
