@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Runs of letters between white space whose tokens a worker keeps, and the longest of them in bytes.
-REMEMBERED, LONG = 600_000, 100
+#: Runs of letters between white space after which a worker forgets those it has not met since, and the longest it keeps, in bytes.
+REMEMBERED, LONG = 400_000, 100
 #: Bytes of text that are cut into words at once.
 PIECE = 1 << 20
 #: Later than any merge.
@@ -222,8 +222,9 @@ class Encoder:
         self.known_cut = kinds == ["NFC", "Replace", "Lowercase"] and [p["pattern"].get("Regex") for p in drops] == [CUT] and [p["type"] for p in cuts] == ["Split", "ByteLevel"]
         whole = Tokenizer.from_str(model)
         self.clean, self.cut = whole.normalizer, whole.pre_tokenizer
-        #: The ids of runs, as 32-bit numbers.
+        #: The ids of runs, as 32-bit numbers: those met since kept was full last, and those met before that.
         self.kept: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         return [w for w, _ in self.cut.pre_tokenize_str(self.clean.normalize_str(text) if self.clean else text)]
@@ -296,10 +297,13 @@ class Encoder:
 
     def _look_up(self, held: list[tuple[int, list[bytes]]], ids: list[list[np.ndarray]]) -> None:
         if len(self.kept) >= REMEMBERED:
-            self.kept.clear()
+            self.kept, self.before = {}, self.kept
         new = set(filterfalse(self.kept.__contains__, chain.from_iterable(runs for _, runs in held)))
         if new:
-            self._learn(new)
+            again = new & self.before.keys()
+            self.kept.update((r, self.before[r]) for r in again)
+            if new := new - again:
+                self._learn(new)
         for k, runs in held:
             ids[k].append(np.frombuffer(b"".join(map(self.kept.__getitem__, runs)), np.int32))
         for r in new:

@@ -182,12 +182,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common.release(slim)
     k, size = minhash.bands(nodes)
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = minhash.alike(pairs, nodes)
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+    def with_sets(asked: DataFrame) -> DataFrame:
+        """The whole shingle sets of asked(digest, ...), from the texts where they are."""
         where = nodes.join(asked, "digest").select(F.col("digest").alias("__digest"), *(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
         texts = common.attach(docs, where, "asked", [text_col])
-        sets = common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
+        return common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = minhash.alike(pairs, nodes)
+        sets = with_sets(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct())
         links = common.materialize(minhash.verified(pairs, sets), "links")
         common.release(sets)
         return links
@@ -199,8 +202,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for c in ("u", "v"):
         rest = rest.join(cc.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
     rest = common.materialize(rest.where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v"), "rest")
+    linked = linked.unionByName(checked(rest))
+    cc = common.materialize(connected(linked), "joined")
+    crowds = common.materialize(minhash.crowds(k, size, cc), "open")
     common.release(k)
-    cc = connected(linked.unionByName(checked(rest)))
+    if not crowds.isEmpty():
+        sets = with_sets(crowds.select("digest"))
+        links = common.materialize(minhash.crowd_links(crowds.join(sets, "digest")), "links")
+        common.release(sets)
+        cc = connected(linked.unionByName(links))
     of = nodes.join(cc, nodes["digest"] == cc["node"], "left").select("o", F.coalesce("component", "digest").alias("root"))
     best = of.groupBy("root").agg(F.min("o").alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
     return common.attach(docs, best, "kept")

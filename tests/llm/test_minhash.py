@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from conceptloom.llm import minhash, simhash
 
 WORDS = [f"w{i}" for i in range(5000)]
@@ -68,3 +71,73 @@ def test_crowd_at_the_threshold(spark):
                 root[b] = a
     out = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in out) == [i for i in range(len(texts)) if top(i) == i]
+
+
+def removed(texts):
+    """How many of texts a row of each class leaves over, by all pairs."""
+    sets = [minhash.shingles(t) for t in texts]
+    number = {x: k for k, x in enumerate(sorted({x for s in sets for x in s.tolist()}))}
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [number[x] for x in s.tolist()]] = 1
+    n = has.sum(axis=1)
+    shared = has @ has.T
+    u, v = np.nonzero(np.triu(9 * shared >= 4 * (n[:, None] + n[None, :]), 1))
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
+    return {i for i in range(len(texts)) if top(i) != i}, len(u)
+
+
+def template(seed, n, words, replaced):
+    rng = random.Random(seed)
+    w = rng.choices(WORDS, k=words)
+    return [" ".join(edited(rng, w, replaced)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("n", "words", "replaced"), [(1000, 300, 4), (1000, 300, 5), (2000, 300, 5), (2000, 150, 3)])
+def test_crowds_as_brute_force(spark, n, words, replaced):
+    """Many variants of one template of which few are 0.8 alike: no class is missed."""
+    texts = template(n + words + replaced, n, words, replaced)
+    gone, pairs = removed(texts)
+    assert pairs > 100
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(range(n)) - kept == gone
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_blocks_of_a_crowd(seed):
+    """Links over one block and over two, with classes that are joined already."""
+    texts = template(seed, 60, 60, 1 + seed % 2) + template(seed + 90, 30, 40, 1) + [""] + ["one two", "one two", "x"]
+    sets = [minhash.shingles(t).view(np.int64) for t in texts]
+    c = len(sets)
+    alike = {(i, j) for j in range(c) for i in range(j) if len(sets[i]) + len(sets[j]) and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    rng = np.random.default_rng(seed)
+    for side in (np.zeros(c, int), rng.integers(0, 2, c)):
+        for root in (np.arange(c), rng.integers(0, 40, c)):
+            found = minhash.linked_within(sets, root, side)
+            may = {(i, j) for i, j in alike if not side.any() or side[i] != side[j]}
+            assert all((i, j) in may and root[i] != root[j] for i, j in found)
+
+            def classes(links, root=root):
+                of = root.copy()
+                for i, j in links:
+                    of[of == of[j]] = of[i]
+                return {frozenset(np.flatnonzero(of == x).tolist()) for x in set(of.tolist())}
+
+            assert classes(found) == classes(may) and len(found) == len(classes([])) - len(classes(may))
+
+
+def test_a_crowd_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD_BLOCK", 8_000)
+    texts = template(5, 300, 120, 3)
+    gone, pairs = removed(texts)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert pairs and set(range(300)) - kept == gone
