@@ -38,11 +38,18 @@ NOT_ARTICLE = re.compile(
 )
 ARTICLE = re.compile(r"article|content|main|post|entry|story|body|text|hentry|articlebody")
 STATES = frozenset("has no with without is open opened closed page layout wrap wrapper container enabled active ready".split())
+#: Elements whose items are weighed together while they are short; the longest text of an item of such a list.
+GROUPS, ITEM = frozenset("ul ol dl table".split()), 200
+#: A block of this many characters is prose. Shares of a page's prose, with an article in it and with an h1 as well, from which on an element outvotes its own name.
+PROSE, OUTVOTES, OUTVOTES_WITH_H1 = 40, 0.9, 0.5
+#: Least log-odds of blocks of an article, and of main, that nothing is held against: length and links alone do not drop them.
+FLOOR = {"article": 0.5, "main": 0.2}
 #: Log-odds of such words, of a link's share of a block, of length, of sentence marks, of headings, and of a block as such;
 #: bounds of what all elements around a block add; capacity of an edge between blocks of one element.
 MARK_NOT, MARK_YES, LINKS, LENGTH, SENTENCE, HEADING, BIAS, MARKS, SMOOTH = -4.2, 0.5, -3.0, 0.5, 0.5, 0.3, -1.7, (-4.5, 1.5), 2.4
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
+#: A comment ends as browsers end it, at once even; what else starts with ! or ? ends at the next >.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 WHITE = re.compile(r"[\s ]+")
@@ -56,19 +63,28 @@ LISTS = frozenset("ul ol dl table div section article nav menu".split())
 class Node:
     """An open element. What its ancestors decide is carried down, so that no question about it walks to the root."""
 
-    __slots__ = ("tag", "up", "depth", "silent", "inside", "against", "for_", "block", "container", "list_")
+    __slots__ = ("tag", "up", "depth", "silent", "inside", "cost", "named", "against", "for_", "block", "container", "list_", "group", "prose", "h1", "article")
 
-    def __init__(self, tag: str, up: Node | None, cost: float, silent: bool, inside: bool):
+    def __init__(self, tag: str, up: Node | None, cost: float, named: float, silent: bool, inside: str):
         self.tag, self.up, self.silent, self.inside = tag, up, silent, inside
         self.depth = up.depth + 1 if up else 0
-        # what is marked off gains nothing from what is around it
-        self.against = (up.against if up else 0.0) + min(cost, 0.0)
-        self.for_ = 0.0 if cost <= ELEMENT_COST["header"] else (up.for_ if up else 0.0) + max(cost, 0.0)
+        self.cost, self.named = cost, named
+        self.prose, self.h1, self.article = 0, tag == "h1", tag in FLOOR
+        self.group = self if tag in GROUPS else up.group if up else None
         self.block = self if up is None or tag in BLOCKS else up.block
         self.container = self if up is None or tag in CONTAINERS else up.container
         self.list_ = self if up is None or tag in LISTS or tag in SAME else up.list_
 
 
+    def weigh(self) -> None:
+        """Costs of the element and those around it, which are weighed already."""
+        up = self.up
+        cost = self.cost + self.named
+        # what is marked off gains nothing from what is around it
+        self.against = (up.against if up else 0.0) + min(cost, 0.0)
+        self.for_ = 0.0 if cost <= ELEMENT_COST["header"] else (up.for_ if up else 0.0) + max(cost, 0.0)
+
+
 @dataclass
 class Block:
     text: str
@@ -107,23 +123,23 @@ def _named(names: str, inside: bool) -> float:
 
 
 def _enter(tag: str, attributes: str, up: Node) -> Node:
-    inside = up.inside or tag in ("article", "main")
-    cost = ELEMENT_COST.get(tag, 0.0)
+    inside = tag if tag in FLOOR and up.inside != "article" else up.inside
+    cost, named = ELEMENT_COST.get(tag, 0.0), 0.0
     if tag == "header" and up.inside:
         cost = 0.0  # the heading of the article itself
     silent = up.silent or tag in SILENT
     if attributes:
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower().replace("_", "-")
         if names and tag not in ("html", "body", "article", "main"):
-            cost += _named(names, up.inside)
+            named = _named(names, bool(up.inside))
         silent = silent or bool(HIDDEN.search(attributes))
-    return Node(tag, up, cost, silent, inside)
+    return Node(tag, up, cost, named, silent, inside)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, in time linear in the page. Unclosed, crossed and unknown elements are mended much as browsers do."""
-    root = Node("", None, 0.0, False, False)
-    node, out, parts = root, [], []
+    root = Node("", None, 0.0, 0.0, False, "")
+    node, out, parts, nodes = root, [], [], [root]
     open_: dict[str, list[Node]] = {}
     linked = total = 0
     in_link = heading = False
@@ -162,6 +178,8 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if page.startswith("<![CDATA[", m.start()) and (open_.get("svg") or open_.get("math")):
+                at = (page.find("]]>", m.start()) + 1 or n + 1) + 2  # a section of its own in drawings only
             continue
         tag = tag.lower()
         if tag in BLOCKS:
@@ -189,6 +207,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         node = _enter(tag, m[3], node)
+        nodes.append(node)
         open_.setdefault(tag, []).append(node)
         if tag == "a":
             in_link = True
@@ -197,13 +216,59 @@ def blocks(page: str) -> list[Block]:
             at = shut.end() if shut else n
             close(node)
     end()
+    _weigh_all(nodes, out)
     return out
 
 
+def _weigh_all(nodes: list[Node], bs: list[Block]) -> None:
+    """Costs of all elements. One that holds most of the page's prose is no menu or form, whatever it is called."""
+    for b in bs:
+        b.node.prose += len(b.text) * (len(b.text) >= PROSE and b.linked < 0.5)
+    for k in reversed(nodes):
+        if k.up is not None:
+            k.up.prose += k.prose
+            k.up.h1 |= k.h1
+            k.up.article |= k.article
+    all_ = nodes[0].prose
+    for k in nodes:
+        if all_ and (k.h1 or k.article) and k.prose >= all_ * (OUTVOTES_WITH_H1 if k.h1 else OUTVOTES):
+            k.named = max(k.named, 0.0)
+            if k.tag in ("form", "fieldset"):
+                k.cost = 0.0
+        k.weigh()
+
+
 def unary(b: Block) -> float:
     """The log-odds that the block is content, by its own text and the elements around it."""
-    text = LINKS * b.linked + LENGTH * min(6.0, len(b.text) ** 0.5 / 3) + SENTENCE * min(2, sum(b.text.count(c) for c in ".!?;:")) + HEADING * b.heading
-    return BIAS + text + max(MARKS[0], min(MARKS[1], b.node.against + b.node.for_))
+    return _odds(b, len(b.text), b.linked, sum(b.text.count(c) for c in ".!?;:"), BIAS)
+
+
+def _odds(b: Block, length: int, linked: float, marks: int, bias: float) -> float:
+    text = LINKS * linked + LENGTH * min(6.0, length**0.5 / 3) + SENTENCE * min(2, marks) + HEADING * b.heading
+    odds = bias + text + max(MARKS[0], min(MARKS[1], b.node.against + b.node.for_))
+    return max(odds, FLOOR[b.node.inside]) if b.node.inside and b.node.against == 0 else odds
+
+
+def costs(bs: list[Block]) -> list[float]:
+    """unary() of each block; short items of one list or table, but for lists of links, share the odds of their list in equal parts."""
+    out = [unary(b) for b in bs]
+    lists: dict[int, list[int]] = {}
+    for i, b in enumerate(bs):
+        if b.node.group is not None:
+            lists.setdefault(id(b.node.group), []).append(i)
+    for items in lists.values():
+        if len(items) > 1 and all(len(bs[i].text) <= ITEM for i in items):
+            length = sum(len(bs[i].text) for i in items)
+            linked = sum(bs[i].linked * len(bs[i].text) for i in items) / length
+            marks = sum(bs[i].text.count(c) for i in items for c in ".!?;:")
+            if linked >= 0.5:
+                continue  # a menu is a menu item by item
+            for i in items:
+                odds = _odds(bs[i], length, linked, marks, BIAS)
+                # what marks around the items add is each item's own
+                own = max(MARKS[0], min(MARKS[1], bs[i].node.against + bs[i].node.for_))
+                out[i] = odds if bs[i].node.inside and bs[i].node.against == 0 else (odds - own) / len(items) + own
+    return out
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
@@ -220,7 +285,9 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
 
     for i, b in enumerate(bs):
         if i:
-            joined(i - 1, i, SMOOTH / (1 + tree_distance(bs[i - 1].node, b.node)))
+            # items of one list or table stay together
+            same = b.node.group is not None and b.node.group is bs[i - 1].node.group
+            joined(i - 1, i, SMOOTH if same else SMOOTH / (1 + tree_distance(bs[i - 1].node, b.node)))
         parent = id(b.node.up or b.node)
         if (j := last.get(parent)) is not None and j != i - 1:
             joined(j, i, SMOOTH / 3)
@@ -305,7 +372,7 @@ def main_text(page: str | None) -> str:
     bs = blocks(page or "")
     if not bs:
         return ""
-    keep = min_cut([unary(b) for b in bs], edges(bs))
+    keep = min_cut(costs(bs), edges(bs))
     return "\n".join(b.text for b, k in zip(bs, keep, strict=True) if k)
 
 
