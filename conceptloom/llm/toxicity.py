@@ -91,8 +91,41 @@ def swaps(text: str | None, terms=IDENTITY_TERMS) -> list[tuple[set[str], set[st
     return [x for x in out if x[0] or x[1]]
 
 
+def change(counts: Counter, gone: set[str], come: set[str]) -> tuple[set[str], set[str]]:
+    """(features that go, features that come) as words of a text go and come; counts are those of the beginnings of its words.
+
+    Levels are those of the whole text: of two words that share a beginning one takes the second level of it along.
+    """
+    after = Counter({f: counts[f] for w in gone | come for f in parts(w)})
+    before = levels(+after)
+    after.subtract(f for w in gone for f in parts(w))
+    after.update(f for w in come for f in parts(w))
+    then = levels(+after)
+    return before - then, then - before
+
+
+def changes(text: str | None, terms=IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
+    """The features of a text that each swap removes, and those that it adds."""
+    found = swaps(text, terms)
+    if not found:
+        return []
+    counts = Counter(f for w in text_words(text) for f in parts(w))
+    return [change(counts, gone, come) for gone, come in found]
+
+
+def template_changes(terms=IDENTITY_TERMS, neutral=None) -> list[tuple[set[str], set[str]]]:
+    """changes() of the neutral sentences: features of one sentence alone, and of the other alone."""
+    both = [(text_features(a), text_features(b)) for a, b in template_pairs(terms, neutral)]
+    return [(a - b, b - a) for a, b in both]
+
+
 def template_swaps(terms=IDENTITY_TERMS, neutral=None) -> list[tuple[set[str], set[str]]]:
     """For each neutral sentence: the words of it with a term against those with a word for a person, and with every other term."""
+    return [(a - b, b - a) for a, b in template_pairs(terms, neutral)]
+
+
+def template_pairs(terms=IDENTITY_TERMS, neutral=None) -> list[tuple[set[str], set[str]]]:
+    """The words of each neutral sentence with a term, and with a word for a person or another term."""
     out = []
     for lang, (anyone, lines) in (neutral or NEUTRAL).items():
         for line in lines:
@@ -101,10 +134,10 @@ def template_swaps(terms=IDENTITY_TERMS, neutral=None) -> list[tuple[set[str], s
                 of = group.get(lang, ())
                 for k, term in enumerate(of):
                     own = text_words(line.format(term))
-                    out.append((own - plain, plain - own))
+                    out.append((own, plain))
                     for other in of[k + 1 :]:
                         its = text_words(line.format(other))
-                        out.append((own - its, its - own))
+                        out.append((own, its))
     return out
 
 
@@ -182,12 +215,12 @@ def fit(s: labelled.Sample, terms=IDENTITY_TERMS, sparse: float = SPARSE, fair:
     vocabulary = Vocabulary()
     texts = [vocabulary.encode(text_words(t)) for t in s.texts]
     for t in s.texts:
-        for gone, come in swaps(t, terms):
-            plus.append(text_features(gone))
-            minus.append(text_features(come))
-    for gone, come in template_swaps(terms):
-        plus.append(text_features(gone))
-        minus.append(text_features(come))
+        for gone, come in changes(t, terms):
+            plus.append(gone)
+            minus.append(come)
+    for gone, come in template_changes(terms):
+        plus.append(gone)
+        minus.append(come)
     mentioned = {t for group in terms for of in group.values() for t in of}
     sets, known = _counts(texts, vocabulary, s.labels, n, LEAST_RATIO, mentioned & vocabulary.number.keys())
     del texts, vocabulary
