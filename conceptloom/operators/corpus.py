@@ -160,26 +160,6 @@ def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return d.crossJoin(F.broadcast(total)).withColumn("chunk", F.when(i < size * n, F.floor(F.try_divide(i, size))).otherwise(i - size * n)).drop("__total", "row_nr")
 
 
-def packed(df: DataFrame, group: list[str], length: str, order: list[str], budget: int) -> DataFrame:
-    """df with pack: within each group, rows in falling length share a pack while their lengths stay within the budget.
-
-    A row longer than the budget is a pack of its own. The running sum starts anew with each pack, so it is an ordered
-    fold; a group is one array of narrow (length, order) pairs.
-    """
-    row = F.struct((-F.col(length)).alias("l"), *order)
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("pack"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        n = (-x["l"]).cast("bigint")
-        fits = (a["pack"] >= 0) & (a["sum"] + n <= budget)
-        pack = F.when(fits, a["pack"]).otherwise(a["pack"] + 1)
-        return F.struct(F.when(fits, a["sum"] + n).otherwise(n).alias("sum"), pack.alias("pack"), F.concat(a["out"], F.array(pack)).alias("out"))
-
-    g = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    g = g.select(*group, F.explode(F.arrays_zip("__rows", F.aggregate("__rows", zero, step, lambda a: a["out"]).alias("pack"))).alias("x"))
-    return g.select(*group, *(F.col(f"x.__rows.{c}").alias(c) for c in order), F.col("x.pack").alias("pack"))
-
-
 def upsampled(human: DataFrame, synthetic: DataFrame, order: str, mode: str = "full") -> DataFrame:
     """Training rows of a kind of mix: "human" or "synthetic" alone, "full" (all of both) or "full_upsampled" (by turns, the smaller side repeated)."""
     if mode == "human":

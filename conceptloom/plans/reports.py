@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, decode, fusion, kb, metrics, spans
+from ..operators import corpus, decode, fusion, kb, metrics, packing, spans
 from . import adapters as A
 from .queries import ALIGN, FUSE, HIT, LEVELS, SLICES, TARGET, TYPES, M, N, P, _entities, _fused, _types, query
 
@@ -311,7 +311,31 @@ def near_equal_chunks(spark: SparkSession, d: str) -> DataFrame:
     SELECT conv_id, turn, pack FROM f""")
 def packed_batches(spark: SparkSession, d: str) -> DataFrame:
     c = A.table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("len"))
-    return corpus.packed(c, ["conv_id"], "len", ["turn"], 600)
+    return packing.packed(c, ["conv_id"], "len", ["turn"], 600)
+
+
+PACKS = """n AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents),
+    f AS (SELECT source, doc_id, n_chars, i, n_chars AS total, 0 AS pack FROM n WHERE i = 1 UNION ALL SELECT n.source, n.doc_id, n.n_chars, n.i, CASE WHEN f.total + n.n_chars <= 20000 THEN f.total + n.n_chars ELSE n.n_chars END, CASE WHEN f.total + n.n_chars <= 20000 THEN f.pack ELSE f.pack + 1 END
+      FROM f JOIN n ON n.source IS NOT DISTINCT FROM f.source AND n.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {PACKS} SELECT source, doc_id, pack FROM f")
+def packed_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source in packs of up to 20,000 characters, longest first; a source is in no task as a whole."""
+    return packing.packed(A.table(spark, d, "documents"), ["source"], "n_chars", ["doc_id"], 20_000)
+
+
+@query(
+    f"""WITH RECURSIVE {PACKS}, s AS (SELECT *, row_number() OVER (PARTITION BY source, pack ORDER BY doc_id) AS j FROM f),
+    g AS (SELECT source, pack, doc_id, j, n_chars AS total, 0 AS sub FROM s WHERE j = 1 UNION ALL SELECT s.source, s.pack, s.doc_id, s.j, CASE WHEN g.total = 0 OR g.total + s.n_chars <= 6000 THEN g.total + s.n_chars ELSE s.n_chars END, CASE WHEN g.total = 0 OR g.total + s.n_chars <= 6000 THEN g.sub ELSE g.sub + 1 END
+      FROM g JOIN s ON s.source IS NOT DISTINCT FROM g.source AND s.pack = g.pack AND s.j = g.j + 1)
+    SELECT source, pack, doc_id, sub FROM g"""
+)
+def sub_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Packs cut into parts of up to 6,000 characters in the order of ids."""
+    docs = A.table(spark, d, "documents").select("doc_id", "n_chars")
+    packs = packing.packed(A.table(spark, d, "documents"), ["source"], "n_chars", ["doc_id"], 20_000).join(docs, "doc_id")
+    return packing.sub_batches(packs, ["source", "pack"], "n_chars", ["doc_id"], 6_000)
 
 
 @query("""SELECT k.fold, doc_id FROM (SELECT doc_id, CAST('0x' || substr(md5(concat('42:', CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) % 5 AS own FROM documents) d JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS fold) k ON k.fold <> d.own""")
