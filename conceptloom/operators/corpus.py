@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -133,12 +132,6 @@ def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
     return parts.join(F.broadcast(before), "__part").withColumn("row_nr", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__id", "__before")
 
 
-def kfold(spark: SparkSession, ids: list, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(id, fold): a seeded shuffle in near-equal parts; for as many documents as the driver lists."""
-    p = np.random.default_rng(seed).permutation(len(ids))
-    return spark.createDataFrame([(ids[int(i)], k) for k, part in enumerate(np.array_split(p, folds)) for i in part], "id string, fold int")
-
-
 def kfold_by_hash(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """df with a fold by the MD5 of seed and key: the same rows in the same folds at any size and in any engine; null keys share one."""
     digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15)
@@ -183,15 +176,6 @@ def interleave(large: DataFrame, small: DataFrame, order: str) -> DataFrame:
     return a.select((2 * F.col("i")).alias("turn"), F.lit("large").alias("side"), order).unionByName(again)
 
 
-def out_of_fold_memory(rows: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Training rows whose memory holds what models of other folds predicted: predictions(doc_id, mention_id, pred_name)."""
-    p = predictions.select("doc_id", "mention_id", "pred_name")
-    return rows.join(p, ["doc_id", "mention_id"], "left").withColumn("pred_name", F.coalesce("pred_name", F.lit("")))
-
-
-def batches(mentions: DataFrame, size: int, sequential: bool) -> DataFrame:
-    """Mentions with their batch: by place in the document (wave) or by place in all."""
-    if sequential:
-        w = Window.partitionBy("doc_id").orderBy("mention_order")
-        return mentions.withColumn("wave", F.row_number().over(w))
+def batches(mentions: DataFrame, size: int) -> DataFrame:
+    """Mentions that do not wait for each other, with their batch of size rows in the order of documents (beams.run() makes those that do)."""
     return global_row_number(mentions, ["doc_id", "mention_order"]).withColumn("batch", F.floor((F.col("row_nr") - 1) / size)).drop("row_nr")

@@ -35,7 +35,7 @@ def best_synonym(mentions: DataFrame, names: DataFrame, method: str = "levenshte
         return best_by_distance(pairs, V.edit_distance(F.col("mention"), F.col("entity")), ["code", "mention"])
     if method == "embedding":
         a, b = (vectors.select(F.col("text").alias(t), F.col("vector").alias(v)) for t, v in (("mention", "__a"), ("entity", "__b")))
-        return best_by_similarity(pairs.join(a, "mention").join(b, "entity"), V.cosine(F.col("__a"), F.col("__b")), ["code", "mention"])
+        return best_by_similarity(pairs.join(a, "mention").join(b, "entity"), F.round(V.cosine(F.col("__a"), F.col("__b")), 9), ["code", "mention"])
     if method == "tfidf":
         texts = pairs.select(F.col("mention").alias("text")).union(pairs.select("entity")).distinct()
         w = tfidf(texts, "text")

@@ -1,3 +1,3 @@
 """Queries and adapters."""
 
-from . import answers, queries, reports, training  # noqa: F401 - the others add to the queries
+from . import answers, nesting, queries, reports, training  # noqa: F401 - the others add to the queries
