@@ -15,16 +15,14 @@ KEY = ["doc_id", "mention_id"]
 def fuse(runs: list[DataFrame], k: int = 60, top_n: int = 5) -> DataFrame:
     """(doc_id, mention_id, pred_concept_code, fused_score, rank): the top_n codes of each mention by summed 1 / (k + rank).
 
-    A run's codes are ranked by score, a code counted once at its best; runs meet in one union and one aggregate in place
-    of outer joins. Ties go to the higher score of the first run, then of the second and so on, then to the lesser code.
+    A run's codes are ranked by score, a code counted once at its best; runs meet in one union, dealt by mention once, and
+    all ranks and sums are made within a mention. Ties go to the higher score of the first run, then of the second and so on, then to the lesser code.
     Null codes never match and are left out.
     """
-    each = []
-    for i, run in enumerate(runs):
-        d = run.where(F.col("pred_concept_code").isNotNull()).groupBy(*KEY, "pred_concept_code").agg(F.max("score").alias("score"))
-        w = Window.partitionBy(*KEY).orderBy(F.desc("score"), "pred_concept_code")
-        each.append(d.select(*KEY, "pred_concept_code", F.lit(i).alias("run"), "score", T.reciprocal_rank(F.row_number().over(w), k).alias("part")))
-    all_ = reduce(DataFrame.unionByName, each)
+    each = [run.where(F.col("pred_concept_code").isNotNull()).select(*KEY, "pred_concept_code", F.lit(i).alias("run"), "score") for i, run in enumerate(runs)]
+    all_ = reduce(DataFrame.unionByName, each).repartition(*KEY).groupBy(*KEY, "run", "pred_concept_code").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(*KEY, "run").orderBy(F.desc("score"), "pred_concept_code")
+    all_ = all_.withColumn("part", T.reciprocal_rank(F.row_number().over(w), k))
     least = F.lit(float("-inf"))
     parts = [F.max(F.when(F.col("run") == i, F.col("part"))).alias(f"part_{i}") for i in range(len(runs))]
     scores = [F.coalesce(F.max(F.when(F.col("run") == i, F.col("score"))), least).alias(f"score_{i}") for i in range(len(runs))]

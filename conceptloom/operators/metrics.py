@@ -133,7 +133,7 @@ def tag_slices(top1: DataFrame, train: DataFrame) -> DataFrame:
     for keys, flag in ((["gold_concept_code"], "seen_code"), (["mention"], "seen_mention"), (["mention", "gold_concept_code"], "seen_pair")):
         d = seen(d, train, keys, flag)
     for key, flag in (("gold_concept_code", "top_code"), ("mention", "top_mention")):
-        d = seen(d, top_values(train, key), [key], flag)
+        d = seen(d, F.broadcast(top_values(train, key)), [key], flag)  # a hundred rows
     return d
 
 

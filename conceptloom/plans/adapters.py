@@ -54,22 +54,25 @@ def predictions_sql(name: str = "preds", a: int = 7, b: int = 3, c: int = 6, swa
 
 
 def enriched(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    """predictions() with abbreviations, rare names and composite codes, so that every slice has rows on both sides."""
+    """predictions() with abbreviations, long and rare names, composite and unique codes, so that every slice has rows on both sides."""
     doc = F.col("doc_id").cast("bigint")
-    kind, two = doc % 11, doc % 7 == 1
+    kind = doc % 11
     short, long = F.upper(F.substring("mention", 1, 3)), F.upper(F.substring("mention", 1, 2))
-    mention = F.when(kind == 1, F.concat(short, F.lit("-"), F.col("mention_order").cast("string"))).when(kind == 2, F.concat("mention", F.lit(" "), long)).when(kind == 3, F.concat("mention", F.lit(" "), "doc_id")).otherwise(F.col("mention"))
+    mention = F.when(kind == 1, F.concat(short, F.lit("-"), F.col("mention_order").cast("string"))).when(kind == 2, F.concat("mention", F.lit(" "), long))
+    mention = mention.when(kind == 3, F.concat("mention", F.lit(" "), "doc_id")).when(kind == 4, F.concat("mention", F.lit(" of a kind"))).when(kind == 5, F.lit("thing")).otherwise(F.col("mention"))
+    more = F.when(doc % 7 == 1, F.lit("+A1")).when(doc % 13 == 5, F.concat(F.lit("#"), "doc_id")).otherwise(F.lit(""))
     hit = F.col("pred_concept_code") == F.col("gold_concept_code")
-    pred = F.when(two & hit, F.concat("pred_concept_code", F.lit("+A1"))).otherwise(F.col("pred_concept_code"))
-    gold = F.when(two, F.concat("gold_concept_code", F.lit("+A1"))).otherwise(F.col("gold_concept_code"))
-    return predictions(spark, sf_dir, **how).withColumns({"mention": mention, "pred_concept_code": pred, "gold_concept_code": gold})
+    pred = F.when(hit, F.concat("pred_concept_code", more)).otherwise(F.col("pred_concept_code"))
+    return predictions(spark, sf_dir, **how).withColumns({"mention": mention, "pred_concept_code": pred, "gold_concept_code": F.concat("gold_concept_code", more)})
 
 
 def enriched_sql(name: str = "preds", **how) -> str:
+    more = "CASE WHEN CAST(doc_id AS BIGINT) % 7 = 1 THEN '+A1' WHEN CAST(doc_id AS BIGINT) % 13 = 5 THEN concat('#', doc_id) ELSE '' END"
     return f"""{predictions_sql(f"{name}_plain", **how)},
-{name} AS (SELECT doc_id, mention_id, mention_order, CASE CAST(doc_id AS BIGINT) % 11 WHEN 1 THEN concat(upper(substr(mention, 1, 3)), '-', CAST(mention_order AS VARCHAR)) WHEN 2 THEN concat(mention, ' ', upper(substr(mention, 1, 2))) WHEN 3 THEN concat(mention, ' ', doc_id) ELSE mention END AS mention,
-  semantic_group, CASE WHEN CAST(doc_id AS BIGINT) % 7 = 1 THEN concat(gold_concept_code, '+A1') ELSE gold_concept_code END AS gold_concept_code, rank,
-  CASE WHEN CAST(doc_id AS BIGINT) % 7 = 1 AND pred_concept_code = gold_concept_code THEN concat(pred_concept_code, '+A1') ELSE pred_concept_code END AS pred_concept_code, score, gold_concept_name FROM {name}_plain)"""
+{name} AS (SELECT doc_id, mention_id, mention_order, CASE CAST(doc_id AS BIGINT) % 11 WHEN 1 THEN concat(upper(substr(mention, 1, 3)), '-', CAST(mention_order AS VARCHAR)) WHEN 2 THEN concat(mention, ' ', upper(substr(mention, 1, 2)))
+    WHEN 3 THEN concat(mention, ' ', doc_id) WHEN 4 THEN concat(mention, ' of a kind') WHEN 5 THEN 'thing' ELSE mention END AS mention,
+  semantic_group, concat(gold_concept_code, {more}) AS gold_concept_code, rank,
+  CASE WHEN pred_concept_code = gold_concept_code THEN concat(pred_concept_code, {more}) ELSE pred_concept_code END AS pred_concept_code, score, gold_concept_name FROM {name}_plain)"""
 
 
 def split_train(preds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus, decode, fusion, kb, metrics, packing, spans
 from . import adapters as A
-from .queries import ALIGN, FUSE, HIT, LEVELS, SLICES, TARGET, TYPES, M, N, P, _entities, _fused, _types, query
+from .queries import ALIGN, FUSE, HIT, LEVELS, SLICES, TARGET, TYPES, M, N, P, _entities, _types, query
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
@@ -38,12 +38,12 @@ def recall_reports(spark: SparkSession, d: str) -> DataFrame:
     return r.select("run", "semantic_group", T.recall_text(F.col("n_correct"), F.col("n")).alias("report"), T.percent(F.col("n_correct") / F.col("n")).alias("percent"))
 
 
-@query(f"""{P}, c AS (SELECT coalesce(semantic_group, 'overall') AS semantic_group, count(*) AS n, count(*) FILTER ({HIT}) AS n_correct FROM preds WHERE rank = 1 AND semantic_group <> 'ECONOMY BRASS' GROUP BY GROUPING SETS ((semantic_group), ())),
+@query(f"""{P}, c AS (SELECT coalesce(semantic_group, 'overall') AS semantic_group, count(*) AS n, count(*) FILTER ({HIT}) AS n_correct FROM preds WHERE rank = 1 AND semantic_group <> 'ECONOMY' GROUP BY GROUPING SETS ((semantic_group), ())),
     l AS (SELECT DISTINCT semantic_group FROM preds UNION SELECT 'overall' UNION SELECT 'absent label') SELECT semantic_group, coalesce(n, 0) AS n, coalesce(n_correct, 0) AS n_correct, coalesce(CAST(n_correct AS DOUBLE) / n, 0) AS recall FROM l LEFT JOIN c USING (semantic_group)""")
 def recall_of_all_labels(spark: SparkSession, d: str) -> DataFrame:
     p = A.predictions(spark, d).where("rank = 1")
     labels = p.select("semantic_group").union(spark.createDataFrame([("absent label",)], "semantic_group string"))
-    return metrics.overall_last(metrics.with_labels(metrics.recall_by_group(p.where("semantic_group <> 'ECONOMY BRASS'")), labels))
+    return metrics.overall_last(metrics.with_labels(metrics.recall_by_group(p.where("semantic_group <> 'ECONOMY'")), labels))
 
 
 RELATION = "CASE mention_order % 5 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'BROAD' WHEN 2 THEN 'NARROW' WHEN 3 THEN 'PARTIAL' ELSE 'NO_RELATION' END"
@@ -95,16 +95,20 @@ def slice_all_at_5(spark: SparkSession, d: str) -> DataFrame:
     return metrics.metrics_all_slices(metrics.tag_slices(test, train), metrics.load_predictions(p, 5)).where("slice = 'all_at_5'")
 
 
+FUSE_RICH = f"""WITH {A.enriched_sql("p1", swap=True)}, {A.enriched_sql("p2", a=11, b=5, c=4, swap=True)}, u AS ({FUSE.partition("u AS (")[2]}"""
+
+
 @query(
-    f"""{FUSE}, preds AS (SELECT f.doc_id, f.mention_id, m.mention_order, m.mention, m.semantic_group, m.gold_concept_code, f.rank, f.pred_concept_code, m.gold_concept_name FROM f JOIN p1 m ON m.rank = 1 AND m.doc_id = f.doc_id AND m.mention_id = f.mention_id WHERE f.rank = 1),
+    f"""{FUSE_RICH}, preds AS (SELECT f.doc_id, f.mention_id, m.mention_order, m.mention, m.semantic_group, m.gold_concept_code, f.rank, f.pred_concept_code, m.gold_concept_name FROM f JOIN p1 m ON m.rank = 1 AND m.doc_id = f.doc_id AND m.mention_id = f.mention_id WHERE f.rank = 1),
     {A.TRAIN_SQL}, {TAGGED.format(rows="test")},
     c AS ({" UNION ALL ".join(f"SELECT coalesce(semantic_group, 'overall') AS semantic_group, '{k}' AS slice, count(*) FILTER ({c}) AS n, count(*) FILTER (({c}) AND {HIT}) AS n_correct FROM tagged GROUP BY GROUPING SETS ((semantic_group), ())" for k, c in SLICES.items())})
     SELECT *, coalesce(CAST(n_correct AS DOUBLE) / nullif(n, 0), 0) AS recall FROM c"""
 )
 def fused_all_slices(spark: SparkSession, d: str) -> DataFrame:
-    p = A.predictions(spark, d)
+    p = A.enriched(spark, d, swap=True)
     names = p.where("rank = 1").select("doc_id", "mention_id", "gold_concept_name")
-    top = fusion.with_mentions(_fused(spark, d).where("rank = 1"), p).join(names, ["doc_id", "mention_id"])
+    fused = fusion.fuse([p, A.enriched(spark, d, a=11, b=5, c=4, swap=True)])
+    top = fusion.with_mentions(fused.where("rank = 1"), p).join(names, ["doc_id", "mention_id"])
     train, test = A.split_train(top)
     return metrics.metrics_all_slices(metrics.tag_slices(test, train))
 
@@ -210,11 +214,12 @@ lost AS (SELECT code, grp FROM priorities EXCEPT SELECT code, grp FROM clean)"""
 
 
 def _build(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    full = A.table(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_brand").alias("full_name"))
+    part = A.table(spark, d, "part").groupBy((F.col("p_partkey") % 60).cast("string").alias("code"))
+    full = part.agg(F.min_by("p_brand", "p_partkey").alias("full_name"))
     return kb.build_with_priorities(_raw(spark, d), _annotated(spark, d), full)
 
 
-@query(f"{BUILD} SELECT DISTINCT c.*, p.p_brand AS full_name FROM clean c LEFT JOIN part p ON p.p_partkey < 60 AND CAST(p.p_partkey AS VARCHAR) = c.code")
+@query(f"{BUILD} SELECT DISTINCT c.*, p.p_brand AS full_name FROM clean c LEFT JOIN (SELECT CAST(p_partkey % 60 AS VARCHAR) AS code, min_by(p_brand, p_partkey) AS p_brand FROM part GROUP BY 1) p ON p.code = c.code")
 def kb_build_with_priorities(spark: SparkSession, d: str) -> DataFrame:
     return _build(spark, d)[0]
 

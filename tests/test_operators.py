@@ -153,3 +153,24 @@ def test_page_round_trip(spark):
     p, e = spans.explode_pages(spark.createDataFrame([page], schemas.PAGE))
     r = e.head()
     assert (r["start_span"], r["end_span"], r["mention"]) == (0, 9, "Some text") and p.head()["text"] == "Some text"
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("BroadcastExchange")
+
+
+def test_plans(spark):
+    """Runs are dealt by mention once; the hundred most frequent are broadcast."""
+    a = spark.createDataFrame([("d", "m", "x", 0.9)], "doc_id string, mention_id string, pred_concept_code string, score double")
+    assert exchanges(fusion.fuse([a, a, a]))[0] == 1
+    t = spark.createDataFrame([("d", "m", "a", "c", 1)], "doc_id string, mention_id string, mention string, gold_concept_code string, mention_order int")
+    assert exchanges(metrics.tag_slices(t, t))[1] >= 2
+
+
+def test_every_slice_has_rows(spark):
+    from conceptloom.plans import queries as Q
+
+    for name in ("metrics_all_slices", "paired_delta_slices", "fused_all_slices"):
+        rows = Q.QUERIES[name](spark, "/root/testdata/sf0.01").where("semantic_group = 'overall'").collect()
+        assert not [r["slice"] for r in rows if r["n"] == 0], name
