@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +141,12 @@ def _address(docs: DataFrame) -> list[Column]:
     return found
 
 
-def attach(docs: DataFrame, table: DataFrame, label: str, columns: list[str] | None = None) -> DataFrame:
+def attach(docs: DataFrame, table: DataFrame, label: str, columns: list[str] | None = None, make: tuple[StructType, Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None) -> DataFrame:
     """Rows of docs (or some of its columns) whose address stands in table, with the table's other columns; docs is the scan that addressed() gave.
 
     A join without a shuffle of docs: the table, of one narrow row an address at most, is written in pieces by file and
-    run of rows, and every task looks up the pieces of the rows it scans in the shared folder.
+    run of rows, and every task looks up the pieces of the rows it scans in the shared folder. make gives a schema and
+    what makes rows of it from those found, in the same worker. The files that docs scans must not be rewritten meanwhile.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -187,9 +188,10 @@ def attach(docs: DataFrame, table: DataFrame, label: str, columns: list[str] | N
                     mine = b.slice(a, z - a).take(pa.array(hit))
                     more = t.take(pa.array(at[hit])).combine_chunks()
                     columns = [mine.column(k) for k in range(n)] + [_whole(more[f.name]) for f in values]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    met = pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    yield make[1](met) if make else met
 
-    return docs.mapInArrow(look_up, schema)
+    return docs.mapInArrow(look_up, make[0] if make else schema)
 
 
 def _whole(c: pa.ChunkedArray) -> pa.Array:

@@ -185,8 +185,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def with_sets(asked: DataFrame) -> DataFrame:
         """The whole shingle sets of asked(digest, ...), from the texts where they are."""
         where = nodes.join(asked, "digest").select(F.col("digest").alias("__digest"), *(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
-        texts = common.attach(docs, where, "asked", [text_col])
-        return common.materialize(texts.select(F.col("__digest").alias("digest"), minhash.members(F.col(text_col)).alias("members")), "sets")
+        return common.materialize(common.attach(docs, where, "asked", [text_col], (minhash.MEMBERS, minhash.members)), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = minhash.alike(pairs, nodes)
@@ -196,23 +195,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return links
 
     # most classes hang together by the least text of a band; what these links have joined needs no more checks
-    linked = checked(minhash.first_candidates(k, size))
-    cc = common.materialize(connected(linked), "joined")
-    rest = minhash.more_candidates(k, size)
-    for c in ("u", "v"):
-        rest = rest.join(cc.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    rest = common.materialize(rest.where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v"), "rest")
-    linked = linked.unionByName(checked(rest))
-    cc = common.materialize(connected(linked), "joined")
-    crowds = common.materialize(minhash.crowds(k, size, cc), "open")
+    of = minhash.classes(nodes, checked(minhash.first_candidates(k, size)))
+    of = minhash.merged(of, checked(minhash.apart(minhash.more_candidates(k, size), of)))
+    crowds = common.materialize(minhash.crowds(k, size, of), "open")
     common.release(k)
     if not crowds.isEmpty():
         sets = with_sets(crowds.select("digest"))
         links = common.materialize(minhash.crowd_links(crowds.join(sets, "digest")), "links")
         common.release(sets)
-        cc = connected(linked.unionByName(links))
-    of = nodes.join(cc, nodes["digest"] == cc["node"], "left").select("o", F.coalesce("component", "digest").alias("root"))
-    best = of.groupBy("root").agg(F.min("o").alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
+        of = minhash.merged(of, links)
+    best = nodes.select("digest", "o").join(of, "digest").groupBy("root").agg(F.min("o").alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in common.ADDRESS))
     return common.attach(docs, best, "kept")
 
 

@@ -141,3 +141,26 @@ def test_a_crowd_in_many_blocks(spark, monkeypatch):
     gone, pairs = removed(texts)
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert pairs and set(range(300)) - kept == gone
+
+
+def test_attach_over_several_files_and_pieces(spark, tmp_path, monkeypatch):
+    """Every row that is asked for is found, wherever it stands in a batch, and what is made of it is its own."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    import pyarrow as pa
+
+    from conceptloom.llm import common
+
+    monkeypatch.setattr(common, "CHUNK_BITS", 3)
+    spark.range(300).select("id", F.concat(F.lit("t"), "id").alias("text")).repartition(5).write.parquet(str(tmp_path / "d"))
+    docs, address = common.addressed(spark.read.parquet(str(tmp_path / "d")))
+    asked = docs.select("id", *address).where("id % 3 = 0").select(F.col("id").alias("want"), *common.ADDRESS)
+    assert sorted((r["text"], r["want"]) for r in common.attach(docs, asked, "a", ["text"]).collect()) == sorted((f"t{i}", i) for i in range(0, 300, 3))
+    schema = StructType([StructField("want", LongType()), StructField("twice", StringType())])
+
+    def make(b):
+        return pa.RecordBatch.from_arrays([b.column(1), pa.array([2 * t.as_py() for t in b.column(0)])], names=["want", "twice"])
+
+    got = common.attach(docs, asked, "b", ["text"], (schema, make)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"t{i}t{i}") for i in range(0, 300, 3)]
