@@ -170,16 +170,19 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *where)
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """docs as the mix takes them: a row for each copy, with its number from 1 in a last column copy.
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = None, **how) -> DataFrame:
+    """docs as the mix takes them: a row for each copy, with its number from 1 in a last column.
+
+    That column is copy_col, which docs must not have (ValueError), or else copy, or the first of copy_2, copy_3 and so on that docs has not.
 
     Each row of docs is told its own copies by its address, so repeated rows need no group of their own, and texts are
-    not shuffled. Columns keep their names and values; an input column named copy raises, as the result has one. An
-    empty table gives no rows.
+    not shuffled. Columns keep their names and values. An empty table gives no rows.
     """
-    if "copy" in docs.columns:
-        raise ValueError("rename the column copy: the result has one of that name")
+    if copy_col in docs.columns:
+        raise ValueError(f"docs has a column {copy_col} already")
+    free = (c for c in ("copy", *(f"copy_{i}" for i in range(2, len(docs.columns) + 3))) if c not in docs.columns)
+    copy_col = copy_col or next(free)
     docs, address = common.addressed(docs, "mixed")
     plan = mix(docs, None, id_col, source_col, text_col, address=address, **how)
     taken = common.attach(docs, plan.where("copies > 0").select(*common.ADDRESS, F.col("copies").cast("int").alias("__copies")), "copies")
-    return taken.select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    return taken.select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(copy_col))

@@ -32,9 +32,16 @@ BROADCAST_GROUPS = 20_000
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed under __-names.
 
-    A null text counts as empty. Repeated windows are found in a row's own array: windows are hashed (64 bits), and only
+    A null text counts as empty; texts are whole, however long; repeated rows get equal values and an empty table stays
+    empty. docs must not have columns of these names (ValueError); others may clash with no helper of this function.
+    Repeated windows are found in a row's own array: windows are hashed (64 bits), and only
     a text with equal hashes has them sorted with their places; the words covered follow from neighbouring places.
     """
+    if clash := {"__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed"} & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)} already")
+    if any(c.startswith("__") for c in docs.columns):
+        d = statistics(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text")), "text")
+        return d.select("row.*", *(c for c in d.columns if c.startswith("__")))
     t = F.coalesce(docs[text_col], F.lit(""))
     d = docs.select("*", common.words(t).alias("__w"))
     n = F.size("__w")
@@ -172,10 +179,14 @@ def _beside(d: DataFrame, est: DataFrame, how: str = "inner") -> DataFrame:
 def judge(stats: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """stats with __distance (null where the base rules failed) and __kept.
 
-    The estimates are broadcast, so that rows stay where they are, unless there are more than BROADCAST_GROUPS. Rows of a
+    Any columns of stats keep their names, but __distance and __kept must be new (ValueError). Repeated rows are judged
+    alike, an empty table stays empty; ties of the distance are kept. The estimates are broadcast, so that rows stay where
+    they are, unless there are more than BROADCAST_GROUPS. Rows of a
     language or source that the model has not met have no distance, and the base rules alone decide.
     """
     cols = stats.columns
+    if {"__distance", "__kept"} & set(cols):
+        raise ValueError("stats has a column __distance or __kept already")
     d = vector(stats.select(F.struct(*(stats[c] for c in cols)).alias("__row"), *_keyed(stats, lang_col, source_col), "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words"))
     d = _beside(d, model, "left")
     far = F.when(~F.col("__row.__base_failed"), _distance() / F.col("scale"))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conceptloom.llm import common, mixing
 from conceptloom.llm import quality_rules as q
@@ -172,7 +173,8 @@ def test_mix(spark):
 def test_mix_awkward(spark, awkward):
     assert mixing.mix(awkward).count() == awkward.count()
     with pytest.raises(ValueError, match="copy"):
-        mixing.take(awkward)
+        mixing.take(awkward, copy_col="copy")
+    assert mixing.take(awkward).columns == [*awkward.columns, "copy_2"] and mixing.take(awkward, copy_col="n").columns[-1] == "n"
     plain = awkward.drop("copy")
     taken = mixing.take(plain)
     assert taken.columns == [*plain.columns, "copy"]
@@ -216,3 +218,16 @@ def test_one_row_met_very_often(spark):
         t = by.setdefault(r["source"], [0, r["target"]])
         t[0] += r["taken"]
     assert len(out) == len(rows) and all(abs(a - b) <= 16 for a, b in by.values())
+
+
+def test_statistics_among_clashing_names(spark, awkward):
+    """Columns named like the helpers keep their values; columns named like the results are refused."""
+    d = awkward.withColumns({"__w": F.lit(1), "__h": F.lit("h"), "__s": F.lit(2.5), "__lines": F.lit(None), "__again": F.lit(True)})
+    stats = q.statistics(d)
+    plain = q.statistics(awkward)
+    names = [c for c in plain.columns if c.startswith("__")]
+    assert stats.columns == [*d.columns, *names]
+    assert sorted(map(repr, stats.select(*awkward.columns, *names).collect())) == sorted(map(repr, plain.collect()))
+    assert {tuple(r) for r in stats.select("__w", "__h", "__s", "__again").collect()} == {(1, "h", 2.5, True)}
+    with pytest.raises(ValueError):
+        q.statistics(d.withColumn("__n_words", F.lit(1)))
