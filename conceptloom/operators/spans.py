@@ -81,12 +81,26 @@ def sentence_spans(text: str, protect: list[tuple[int, int]] = (), newlines: boo
     return out
 
 
-def sentences(text: str, protect: str) -> Column:
-    """Sentences of a text column that do not cut the spans of another, an array of (start, stop)."""
+def line_spans(text: str, protect: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Sentences of lines as trimmed spans: lines end at newlines that no protected span holds, sentences at marks anywhere in a line.
+
+    A newline within a protected span joins its lines to one, so that an entity is in one line; marks within it still end
+    a sentence.
+    """
+    breaks = [m.span() for m in re.finditer(r"\n+", text) if not any(a < m.start() < b for a, b in protect)]
+    out = []
+    for a, z in zip([0, *(e for _, e in breaks)], [*(s for s, _ in breaks), len(text)], strict=True):
+        out += [(a + x, a + y) for x, y in sentence_spans(text[a:z], newlines=False)]
+    return out
+
+
+def sentences(text: str, protect: str, lines: bool = False) -> Column:
+    """Sentences of a text column that do not cut the spans of another, an array of (start, stop); with lines those of line_spans()."""
+    how = line_spans if lines else sentence_spans
 
     @F.pandas_udf(SPANS)
     def find(t: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "stop": b} for a, b in sentence_spans(x or "", [(q["start"], q["stop"]) for q in (y if y is not None else [])])] for x, y in zip(t, p, strict=True)], dtype=object)
+        return pd.Series([[{"start": a, "stop": b} for a, b in how(x or "", [(q["start"], q["stop"]) for q in (y if y is not None else [])])] for x, y in zip(t, p, strict=True)], dtype=object)
 
     return find(F.col(text), F.col(protect))
 

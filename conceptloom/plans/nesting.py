@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import nested
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import corpus, encoding, observed, similarity, spans
+from ..operators import corpus, encoding, nerexport, observed, similarity, spans
 from . import adapters as A
-from .queries import SYN, M, _synonyms, query
+from .queries import ALIGN, SYN, M, _entities, _synonyms, query
 from .training import PAGES, nested_pages
 
 #: The octal digits of 24 bits of a word's MD5, less 3, summed over words.
@@ -120,3 +120,40 @@ def shaded_tokens(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("p_name", " ")
     scores = F.transform(words, lambda w: (F.length(w) % 5) * F.lit(0.25))
     return A.table(spark, d, "part").select("p_partkey", T.saliency_html(words, scores).alias("html"))
+
+
+# --- entities out and in ------------------------------------------------------------------------------------------
+
+_EXPORT = f"""{ALIGN}, x AS (SELECT *, 'span' AS span FROM q), y AS (SELECT *, 'gold' AS span, concat('C', label) AS code FROM g)"""
+
+
+def _ner(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    gold, pred = _entities(spark, d)
+    return pred.withColumn("span", F.lit("span")), gold.withColumnRenamed("mention_id", "gold_mention_id").withColumns({"span": F.lit("gold"), "code": F.concat(F.lit("C"), "label")})
+
+
+@query(
+    f"""{_EXPORT}, j AS (SELECT filename, coalesce(pred_mention_id, gold_mention_id) AS mention_id, coalesce(pred_mention_id, '') AS pred_mention_id, coalesce(gold_mention_id, '') AS gold_mention_id, coalesce(x.label, y.label) AS label, start_span, end_span,
+      coalesce(x.span, y.span) AS span, coalesce(code, '') AS code, '' AS semantic_rel, '' AS annotation, pred_mention_id IS NOT NULL AS is_predicted, gold_mention_id IS NOT NULL AS is_gold,
+      CASE WHEN gold_mention_id IS NULL THEN 'FP' WHEN pred_mention_id IS NULL THEN 'FN' ELSE 'TP' END AS ner_status FROM x FULL JOIN y USING (filename, start_span, end_span))
+    SELECT *, row_number() OVER (ORDER BY filename, start_span, end_span, label, ner_status) AS row_nr FROM j"""
+)
+def ner_export(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted and gold entities of one place in one table, numbered in its order."""
+    return corpus.global_row_number(nerexport.table(*_ner(spark, d), match_label=False), list(nerexport.ORDER))
+
+
+@query(f"{_EXPORT} SELECT filename, pred_mention_id AS mention_id, pred_mention_id, '' AS gold_mention_id, label, start_span, end_span, span, '' AS code, '' AS semantic_rel, '' AS annotation, true AS is_predicted, false AS is_gold, 'PRED' AS ner_status FROM x")
+def ner_export_without_gold(spark: SparkSession, d: str) -> DataFrame:
+    return nerexport.table(_ner(spark, d)[0])
+
+
+@query(
+    f"""{_FLAT}, doc AS (SELECT doc_id, string_agg(text, ' ' ORDER BY ordinal) AS text FROM passages GROUP BY 1)
+    SELECT doc_id AS id, any_value(text) AS text, coalesce(string_agg(concat(CAST(start_span AS VARCHAR), '-', CAST(end_span AS VARCHAR), semantic_group), ';' ORDER BY start_span) FILTER (mention_order % 5 <> 0 AND semantic_group IN ('G4', 'G5', 'G7')), '') AS spans
+    FROM e JOIN doc USING (doc_id) GROUP BY doc_id"""
+)
+def labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of annotated pages with their entities of one part and of listed labels."""
+    t = nerexport.labelled_texts(nested_pages(spark, d)[0], ["G4", "G5", "G7"])
+    return t.select("id", "text", F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"), s["label"])), ";").alias("spans"))
