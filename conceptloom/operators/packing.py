@@ -83,9 +83,9 @@ def packed(df: DataFrame, group: list[str], length: str, order: list[str], budge
     d = d.withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
     d = storage.materialize(d.select(*group, *order, "g", "__n", "at", "part"), "sorted")
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, first, packs, out = summary(pdf.sort_values("at")["__n"].to_numpy(), budget)
-        return pd.DataFrame({"g": [key[0]], "part": [key[1]], "total": [total], "first": [first], "packs": [packs], "out": [out]})
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(g, int(of["part"].iloc[0]), *summary(of["__n"].to_numpy(), budget)) for g, of in pdf.sort_values("at").groupby("g", sort=False)]
+        return pd.DataFrame(rows, columns=["g", "part", "total", "first", "packs", "out"])
 
     def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
         state, pack, rows = -1, -1, []
@@ -96,14 +96,20 @@ def packed(df: DataFrame, group: list[str], length: str, order: list[str], budge
         return pd.DataFrame(rows, columns=["g", "part", "state", "pack"])
 
     narrow = d.select("g", "part", "at", "__n")
-    summaries = storage.materialize(narrow.groupBy("g", "part").applyInPandas(summarise, SUMMARY), "summaries")
-    states = storage.materialize(summaries.groupBy("g").applyInPandas(put_together, "g string, part int, state long, pack long"), "states")
+    summaries = storage.materialize(narrow.groupBy("part").applyInPandas(summarise, SUMMARY), "summaries")
+    # a group within one range starts with no pack; of the others there are no more than ranges
+    ranges = summaries.groupBy("g").agg(F.count("*").alias("ranges"))
+    known = summaries.join(ranges, "g")
+    alone = known.where("ranges = 1").select("g", "part", F.lit(-1).cast("long").alias("state"), F.lit(-1).cast("long").alias("pack"))
+    split = known.where("ranges > 1").drop("ranges").groupBy("g").applyInPandas(put_together, "g string, part int, state long, pack long")
+    states = storage.materialize(alone.unionByName(split), "states")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        return pd.DataFrame({"at": pdf["at"], "pack": pdf["pack"].iloc[0] + replay(pdf["__n"].to_numpy(), int(pdf["state"].iloc[0]), budget)})
+        out = [of["pack"].iloc[0] + replay(of["__n"].to_numpy(), int(of["state"].iloc[0]), budget) for _, of in pdf.groupby("g", sort=False)]
+        return pd.DataFrame({"at": pdf["at"], "pack": np.concatenate(out)})
 
-    packs = narrow.join(states, ["g", "part"]).groupBy("g", "part").applyInPandas(pack, "at long, pack long")
+    packs = narrow.join(states, ["g", "part"]).groupBy("part").applyInPandas(pack, "at long, pack long")
     return d.join(packs, "at").select(*group, *order, F.col("pack").cast("int").alias("pack"))
 
 
