@@ -13,6 +13,7 @@ from conceptloom.plans import queries as plans
 HEADLINE = (
     "recall_by_group", "recall_at_5", "metrics_all_slices", "threshold_prf", "rank_fusion", "paired_delta_point", "echo_error_rate", "ner_prf",
     "kb_best_title", "kb_disambiguate_levels", "kb_resolve_priority", "best_synonym_levenshtein", "top1_dot_by_group", "mention_in_sentence", "format_hybrid_long", "trie_edges", "memory_fold_decode",
+    "trie_token_edges", "decode_multiple", "decode_waves", "oof_training_rows", "page_training_rows", "packed_corpus",
 )
 
 
