@@ -10,12 +10,14 @@ import math
 from collections.abc import Callable, Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tokentrie import END, PLUS, SEP, Shelf, TokenTrie
+from ..sources import storage
+from .tokentrie import END, PLUS, SEP, Choices, Shelf, TokenTrie
 
 
 @dataclass
@@ -25,12 +27,34 @@ class Request:
     prompt: str
     mention: str
     prefix: list[int]
-    allowed: list[int]
+    choices: Choices
+    #: How many of the best tokens the search can use, and the score so far, turned round.
+    beams: int = 1
+    rank: float = 0.0
+
+    @property
+    def allowed(self) -> list[int]:
+        return self.choices.ids.tolist()
 
 
-#: scorer(requests) -> for each request a log-probability of each of its allowed tokens, in one call.
+#: The best tokens of a request with their log-probabilities, by falling score, ties by token.
+Best = list[tuple[int, float]]
+#: scorer(requests) -> for each request a log-probability of each of its allowed tokens, in one call. A scorer that knows
+#: the best tokens without a look at all has best(requests) -> a Best of each, which is asked in its place.
 Scorer = Callable[[list[Request]], list[list[float]]]
-Search = Generator[list[Request], list[list[float]], object]
+Search = Generator[list[Request], list[Best], object]
+
+
+def best_of(request: Request, scores: list[float]) -> Best:
+    """The best tokens by scores of all."""
+    s, ids = np.asarray(scores, float), request.choices.ids
+    if len(s) != len(ids):
+        raise ValueError(f"{len(s)} scores for {len(ids)} tokens")
+    rank, at = request.rank - s, np.arange(len(s))
+    if len(s) > 4 * request.beams:
+        at = np.flatnonzero(rank <= np.partition(rank, request.beams - 1)[request.beams - 1])
+    at = at[np.argsort(rank[at], kind="stable")][: request.beams]
+    return list(zip(ids[at].tolist(), s[at].tolist(), strict=True))
 
 
 @dataclass(order=True)
@@ -67,21 +91,20 @@ def search(trie: TokenTrie, prompt: str, mention: str, beams: int = 1, multiple:
     tokens bounds it. A sequence of max_tokens that has not ended is given up.
     """
     open_ = [Beam(0.0, [], [], trie.root(), [])]
+    ends = (PLUS, SEP) if multiple else (SEP,)
     done: list[Answer] = []
     while open_:
         live, requests = [], []
         for b in open_:
-            tokens = trie.allowed(b.place).tolist()
-            if tokens and tokens[0] == END:
-                tokens = [*([PLUS] if multiple else []), SEP, *tokens[1:]]
-            if tokens:
-                live.append((b, tokens))
-                requests.append(Request(prompt, mention, b.tokens, tokens))
+            choices = trie.choices(b.place, ends)
+            if len(choices.ids):
+                live.append(b)
+                requests.append(Request(prompt, mention, b.tokens, choices, beams, b.rank))
         if not requests:
             break
         grown = []
-        for (b, tokens), scores in zip(live, (yield requests), strict=True):
-            grown += [(b.rank - s, [*b.tokens, t], s, b) for t, s in zip(tokens, scores, strict=True)]
+        for b, best in zip(live, (yield requests), strict=True):
+            grown += [(b.rank - s, [*b.tokens, t], s, b) for t, s in best]
         grown.sort(key=lambda x: x[:2])
         open_ = []
         for rank, tokens, s, b in grown[:beams]:
@@ -116,7 +139,8 @@ def run(searches: Iterable[Search], scorer: Scorer, batch_size: int = 8) -> Iter
 
     yield from enter()
     while live:
-        scores = scorer([r for _, requests in live for r in requests])
+        asked = [r for _, requests in live for r in requests]
+        scores = scorer.best(asked) if hasattr(scorer, "best") else [best_of(r, s) for r, s in zip(asked, scorer(asked), strict=True)]
         at, still = 0, []
         for s, requests in live:
             mine = scores[at : at + len(requests)]
@@ -193,7 +217,7 @@ def decode(mentions: DataFrame, manifest: str, scorer: Scorer, beams: int = 1, m
         yield pd.DataFrame(held, columns=columns)
 
     d = mentions.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "mention_id", "mention_order", "mention", "semantic_group", "source")
-    d = d.repartition("doc_id").sortWithinPartitions("doc_id", "mention_order", "mention_id")
+    d = storage.spread(d, "doc_id").sortWithinPartitions("doc_id", "mention_order", "mention_id")
     return d.mapInPandas(work, ROWS)
 
 
@@ -208,19 +232,49 @@ class SamePlace:
     def __init__(self, ids: Callable[[str], list[int]]):
         self.ids = ids
         self.calls = 0
+        self._own: dict[str, list[int]] = {}
+        self._lines: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_own": {}, "_lines": {}}
+
+    def _wanted(self, r: Request) -> tuple[int, float]:
+        """The mention's own token at this place, and what the prompt's memory takes off."""
+        for kept in (self._own, self._lines):
+            if len(kept) > 4_096:
+                kept.clear()
+        if r.mention not in self._own:
+            self._own[r.mention] = [t for k, p in enumerate(r.mention.split("<+>")) for t in ([PLUS] if k else []) + self.ids(p)] + [SEP]
+        if r.prompt not in self._lines:
+            _, _, after = r.prompt.partition("### Previous Normalizations\n")
+            self._lines[r.prompt] = after.partition("\n\n")[0].count("]{") / 16
+        own = self._own[r.mention]
+        return own[len(r.prefix)] if len(r.prefix) < len(own) else SEP, self._lines[r.prompt]
 
     def __call__(self, requests: list[Request]) -> list[list[float]]:
         self.calls += 1
         out = []
         for r in requests:
-            parts = r.mention.split("<+>")
-            own = [t for k, p in enumerate(parts) for t in ([PLUS] if k else []) + self.ids(p)] + [SEP]
-            want = own[len(r.prefix)] if len(r.prefix) < len(own) else SEP
-            _, _, after = r.prompt.partition("### Previous Normalizations\n")
-            lines = after.partition("\n\n")[0].count("]{") / 16
+            want, lines = self._wanted(r)
             out.append([(0.0 if t == want else -4.0) - (1 + t % 7) / 8 - lines for t in r.allowed])
         return out
 
+    def best(self, requests: list[Request]) -> list[Best]:
+        """The best of __call__(): the wanted token, then the others in an order that is the same for all requests of a place."""
+        self.calls += 1
+        out = []
+        for r in requests:
+            want, lines = self._wanted(r)
+            ids = r.choices.ids
+            at = int(np.searchsorted(ids, want))
+            found = at < len(ids) and ids[at] == want
+            tokens = [want] if found else []
+            if len(tokens) < r.beams:
+                others = r.choices.made("same place", lambda x: x[np.argsort((x % 7).astype(np.int8), kind="stable")])[: r.beams + 1].tolist()
+                tokens += [t for t in others if t != want]
+            out.append([(t, (0.0 if t == want else -4.0) - (1 + t % 7) / 8 - lines) for t in tokens[: r.beams]])
+        return out
+
 
 def word_ids(text: str) -> list[int]:
     """hashed_words() of a text on the Python side, without the end."""

@@ -58,6 +58,18 @@ Range = tuple[int, int, int]
 Place = tuple[tuple[Range, ...], int]
 
 
+class Choices:
+    """The sorted ids that may follow at a place, and what scorers have made of them: orders that hold for every request."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self._made = ids, {}
+
+    def made(self, key: str, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        if key not in self._made:
+            self._made[key] = make(self.ids)
+        return self._made[key]
+
+
 class TokenTrie:
     """Sorted sequences in segments; places are immutable, so many searches share one trie."""
 
@@ -69,6 +81,7 @@ class TokenTrie:
             self.ids.append(column.values.to_numpy(zero_copy_only=True))
             self.starts.append(column.offsets.to_numpy(zero_copy_only=True))
         self._known: dict[Place, np.ndarray] = {}
+        self._choices: dict[tuple[Place, tuple[int, ...]], Choices] = {}
 
     @classmethod
     def of(cls, sequences: Iterable[Sequence[int]], names: Iterable[tuple[str, str]] | None = None) -> TokenTrie:
@@ -100,17 +113,32 @@ class TokenTrie:
         for k, lo, hi in ranges:
             # no row of a range ends before depth: END comes last
             t = self.ids[k][self.starts[k][lo:hi] + depth]
-            parts.append(t[np.flatnonzero(np.diff(t, prepend=t[0] - 1))] if len(t) else t)
+            parts.append(t[:1] if t[0] == t[-1] else t[np.concatenate([[True], t[1:] != t[:-1]])])
         out = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
         if sum(hi - lo for _, lo, hi in ranges) >= WIDE:
             self._known[place] = out
         return out
 
+    def choices(self, place: Place, ends: tuple[int, ...]) -> Choices:
+        """What may follow, with ends in the place of END; kept where allowed() is."""
+        if (place, ends) in self._choices:
+            return self._choices[place, ends]
+        ids = self.allowed(place)
+        if len(ids) and ids[0] == END:
+            ids = np.concatenate([np.array(ends, ids.dtype), ids[1:]])
+        out = Choices(ids)
+        if place in self._known:
+            self._choices[place, ends] = out
+        return out
+
     def step(self, place: Place, token: int) -> Place | None:
         """The place after a token, None where it may not follow. After END the ranges are those of whole names."""
         ranges, depth = place
         out = []
         for k, lo, hi in ranges:
+            ids, starts = self.ids[k], self.starts[k]
+            if ids[starts[lo] + depth] > token or ids[starts[hi - 1] + depth] < token:
+                continue
             a = self._bound(k, lo, hi, depth, token)
             b = self._bound(k, a, hi, depth, token + 1)
             if a < b:
@@ -232,9 +260,10 @@ class Shelf:
     def __init__(self, manifest: str, max_bytes: int = 256 << 20):
         self.manifest, self.max_bytes = manifest, max_bytes
         self._held: OrderedDict[str | None, TokenTrie] = OrderedDict()
+        self._listed: dict[str, list[dict]] | None = None
 
     def __getstate__(self):
-        return {"manifest": self.manifest, "max_bytes": self.max_bytes, "_held": OrderedDict()}
+        return {"manifest": self.manifest, "max_bytes": self.max_bytes, "_held": OrderedDict(), "_listed": None}
 
     def __call__(self, group: str | None) -> TokenTrie:
         """The trie of a group, empty for a group without names. The largest bound that holds is one trie."""
@@ -250,11 +279,15 @@ class Shelf:
     def _segments(self, group: str | None) -> list[pa.Table]:
         if group is None:
             return []
-        fs, root = pafs.FileSystem.from_uri(self.manifest)
-        files = [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet")]
-        rows = [r for f in files for r in pq.read_table(f, filesystem=fs, filters=[("grp", "=", group)]).to_pylist()]
+        if self._listed is None:
+            # a row a segment, read once a worker and not once a group
+            fs, root = pafs.FileSystem.from_uri(self.manifest)
+            files = [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet")]
+            self._listed = {}
+            for r in (r for f in files for r in pq.ParquetFile(fs.open_input_file(f)).read().to_pylist()):
+                self._listed.setdefault(r["grp"], []).append(r)
         out = []
-        for r in sorted(rows, key=lambda r: (r["part"], r["file"])):
+        for r in sorted(self._listed.get(group, ()), key=lambda r: (r["part"], r["file"])):
             fs, root = pafs.FileSystem.from_uri(r["folder"])
             at = f"{root}/{r['file']}"
             local = isinstance(fs, pafs.LocalFileSystem)

@@ -70,3 +70,31 @@ def test_run_names_and_options(spark):
     assert out[0].asDict() == {"model_name": "m", "aug_data": "human_only", "context_format": "short", "constraint": "no_constraint", "checkpoint": "best", "base_run": "m_human_only_short_no_constraint"}
     assert out[1]["constraint"] == "constraint" and out[2:] == [None, None, None]
     assert T.selected(["b", "x", "a"], ["a", "b"]) == ["b", "a"] and T.selected(None, ["a"]) == ["a"]
+
+
+def test_best_tokens_as_scores_of_all():
+    """A scorer that names the best tokens gives the answers of one that scores all, also where many may follow."""
+    from conceptloom.operators import beams
+    from conceptloom.operators.tokentrie import END, FIRST, TokenTrie
+
+    rng = random.Random(6)
+    rows = sorted({tuple(rng.randrange(FIRST, FIRST + 5_000) for _ in range(rng.randint(1, 3))) for _ in range(6_000)})
+    trie = TokenTrie.of([[*r, END] for r in rows], [(" ".join(map(str, r)), "C") for r in rows])
+    same = beams.SamePlace(lambda text: [int(w) for w in text.split(" ")])
+    mentions = ["<+>".join(" ".join(map(str, r)) for r in rng.sample(rows, k)) for k in (1, 2, 3)] + ["7", "16 17"]
+    for n in (1, 3):
+        for multiple in (False, True):
+            few = list(beams.run([beams.search(trie, "", m, n, multiple, 12) for m in mentions], same, 4))
+            assert few == list(beams.run([beams.search(trie, "", m, n, multiple, 12) for m in mentions], lambda rs: same(rs), 4))
+    asked = beams.Request("", mentions[0], [], trie.choices(trie.root(), (beams.SEP,)), 3)
+    assert same.best([asked])[0] == beams.best_of(asked, same([asked])[0]) and len(asked.allowed) > 3_000
+
+
+def test_decoding_is_spread(spark):
+    """Few bytes are many mentions: they are not gathered in one task."""
+    from conceptloom.operators import beams, tokentrie
+
+    n = spark.createDataFrame([("G", "a b", "C")], "grp string, entity string, code string")
+    m = spark.createDataFrame([(f"d{i}", f"d{i}.1", 1, "a b", "G", "") for i in range(64)], MENTION)
+    out = beams.decode(m, tokentrie.write(n), beams.SamePlace(beams.word_ids))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
