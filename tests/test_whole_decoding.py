@@ -98,3 +98,34 @@ def test_decoding_is_spread(spark):
     m = spark.createDataFrame([(f"d{i}", f"d{i}.1", 1, "a b", "G", "") for i in range(64)], MENTION)
     out = beams.decode(m, tokentrie.write(n), beams.SamePlace(beams.word_ids))
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_best_words_as_scores_of_all():
+    rng = random.Random(7)
+    names = sorted({" ".join(rng.choices("abcdefgh", k=rng.randint(1, 4))) for _ in range(300)})
+    trie = decode.Trie(names)
+    for mention in [*names[::20], "zz", "a zz", ""]:
+        for n in (1, 2, 5):
+            assert decode.beam_search(trie, decode.same_place, "", mention, n) == decode.beam_search(trie, lambda *a: decode.same_place(*a), "", mention, n)
+    words = trie.allowed([])
+    assert decode.same_place.best("", "h b", [], words, 2) == [("h", 0.0), ("a", -1.0)] and trie.allowed([]) is words
+    trie.add("zz")
+    assert trie.allowed([])[-1] == "zz"
+
+
+def test_nearest_names_are_scored_seldom(monkeypatch):
+    """Of many names with the same letters few are compared, and the best are those of brute force."""
+    rng = random.Random(8)
+    names = sorted({"".join(rng.sample("abcdefgh", 8)) for _ in range(4_000)})
+    index, calls = decode.NearestNames(names), []
+    real = decode.difflib.SequenceMatcher
+    want = decode.similarity_scorer("", "abcdefgh", names, "")[:5]
+    monkeypatch.setattr(decode.difflib, "SequenceMatcher", lambda *a: calls.append(1) or real(*a))
+    assert index.best("abcdefgh", "", 5) == want and len(calls) < len(names) / 4
+
+
+def test_memory_decoding_is_spread(spark):
+    n = spark.createDataFrame([("G", "a b", "C")], "grp string, entity string, code string")
+    m = spark.createDataFrame([(f"d{i}", f"d{i}.1", 1, "a b", "G", "") for i in range(64)], MENTION)
+    for step in (None, decode.same_place):
+        assert decode.decode_with_memory(m, n, step=step).select(F.spark_partition_id().alias("p")).distinct().count() > 4
