@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import storage
 
 INSTRUCTION = (
     "Compare the PREDICTED concept with the GOLD concept for the mention in its context. Answer with JSON, "
@@ -34,11 +35,15 @@ def prompt(mention: Column, sentence: Column, gold: Column, pred: Column) -> Col
 
 def judge(rows: DataFrame, call: Callable[[str], str], pred_text: str = "pred_concept_name", pred_code: str = "pred_concept_code") -> DataFrame:
     """rows(prompt, ...) with raw answers and labels. Distinct prompts with a prediction are asked once."""
-    asked = rows.where((F.coalesce(pred_text, F.lit("")) != "") & (F.coalesce(pred_code, F.lit("")) != "")).select("prompt").distinct()
+    rows = rows.withColumn("__asked", F.sha2("prompt", 256))
+    with_answer = (F.coalesce(pred_text, F.lit("")) != "") & (F.coalesce(pred_code, F.lit("")) != "")
+    asked = rows.where(with_answer & F.col("prompt").isNotNull()).groupBy("__asked").agg(F.first("prompt").alias("prompt"))
 
     def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf.assign(raw=[call(p) for p in pdf["prompt"]])
+            yield pd.DataFrame({"__asked": pdf["__asked"], "raw": [call(p) for p in pdf["prompt"]]})
 
-    answers = asked.mapInPandas(ask, "prompt string, raw string")
-    return rows.join(answers, "prompt", "left").withColumn("relation", T.judge_label(F.col("raw"), F.col(pred_text), F.col(pred_code)))
+    # as many answers as distinct prompts, so they are never gathered on the driver, however well they compress
+    answers = storage.spread(asked, "__asked").mapInPandas(ask, "__asked string, raw string").hint("merge")
+    out = rows.join(answers, "__asked", "left").drop("__asked")
+    return out.withColumn("relation", T.judge_label(F.col("raw"), F.col(pred_text), F.col(pred_code)))
