@@ -116,14 +116,15 @@ def bands(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return k, common.materialize(size, "sizes")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
+def candidates(met: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of texts m and x, each (digest, size), that are near enough in size."""
     near = met.where("m.d <> x.d AND 5 * least(m.n, x.n) >= 4 * greatest(m.n, x.n)")
     return near.select(F.least("m.d", "x.d").alias("u"), F.greatest("m.d", "x.d").alias("v")).distinct()
 
 
 def first_candidates(k: DataFrame, size: DataFrame) -> DataFrame:
     """Distinct pairs (u, v) of each text and the least text of each of its bands, near enough in size."""
-    return _pairs(k.join(size.select("key", "m"), "key"))
+    return candidates(k.join(size.select("key", "m"), "key"))
 
 
 def more_candidates(k: DataFrame, size: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def more_candidates(k: DataFrame, size: DataFrame) -> DataFrame:
     few = k.join(size.where(F.col("c") <= PAIR_BUCKET).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("f"))
     pairs = few.select(F.posexplode("f").alias("i", "m"), "f").select("m", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("x"))
     stars = k.join(size.where(F.col("c") > PAIR_BUCKET).select("key", F.col("own").alias("m")), "key").select("m", "x")
-    return _pairs(pairs.unionByName(stars))
+    return candidates(pairs.unionByName(stars))
 
 
 #: Pairs of one text that are checked together.

@@ -102,7 +102,11 @@ def _udfs():
     def keys(fp: pd.Series) -> pd.Series:
         return pd.Series(fingerprint_keys(fp.to_numpy(np.int64)), dtype=object)
 
-    return fingerprint, keys
+    @F.pandas_udf("long")
+    def wide_fingerprint(text: pd.Series) -> pd.Series:
+        return pd.Series([simhash(t, minhash.SHINGLE) for t in text], dtype="int64")
+
+    return fingerprint, keys, wide_fingerprint
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
@@ -114,10 +118,11 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """
     if bits != 2:
         raise ValueError("the keys are built for two bits")
-    _, keys = _udfs()
-    k = common.materialize(fps.select("fp", F.explode(keys("fp")).alias("key")), "golay")
-    size = k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    k = common.materialize(k.join(size, "key"), "golay")
+    keys = _udfs()[1]
+    every = common.materialize(fps.select("fp", F.explode(keys("fp")).alias("key")), "golay")
+    size = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    k = common.materialize(every.join(size, "key"), "golay")
+    common.release(every)
     few = k.where(F.col("n") <= PAIR_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("f"))
     pairs = (
         few.select(F.posexplode("f").alias("i", "u"), "f")
@@ -135,7 +140,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and a last column __fp; null and blank texts have fingerprint zero."""
     common.bounded_batches(docs.sparkSession)
-    fingerprint, _ = _udfs()
+    fingerprint = _udfs()[0]
     return docs.select(*(docs[c] for c in docs.columns), fingerprint(docs[text_col]).alias("__fp"))
 
 
@@ -164,21 +169,37 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return given.join(of, "__fp").select(*(given[c] for c in marked.columns), of["__component"])
 
 
+def fingerprint_candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of nodes(digest, n, fp) whose fingerprints are linked, near enough in size.
+
+    Of a fingerprint's texts each meets the least, and the least ones of two linked fingerprints meet.
+    """
+    x = F.struct(F.col("digest").alias("d"), "n")
+    some = nodes.where("n > 0").select("fp", x.alias("x"))
+    least = common.materialize(some.groupBy("fp").agg(F.min("x").alias("m"), F.count("*").alias("c")), "fps")
+    same = some.join(least.where("c > 1").select("fp", "m"), "fp").select("m", "x")
+    e = links(least.select("fp"))
+    e = e.join(least.select(F.col("fp").alias("u"), "m"), "u").join(least.select(F.col("fp").alias("v"), F.col("m").alias("x")), "v").select("m", "x")
+    return minhash.candidates(same.unionByName(e))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate class: a row of the smallest id, null ids last.
 
-    Classes are the components of pairs whose five-word shingles have a Jaccard similarity of 0.8 or more (see minhash),
-    not those of op2's fingerprints. The row is picked by a grouped minimum over narrow rows, so that a class is never
+    Classes are the components of pairs whose five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints of the five-word shingles are linked first, as op2's are; at 0.8 many pairs differ in more than two bits,
+    so texts that this leaves apart meet by bands of MinHash values (see minhash). All candidates are checked on their
+    whole shingle sets. The row is picked by a grouped minimum over narrow rows, so that a class is never
     gathered; texts are scanned where they are and never shuffled. Only one of wholly equal rows stays; texts without a
     word are one class; an empty table stays empty. Columns keep their names and values.
     """
     common.bounded_batches(docs.sparkSession)
     docs, address = common.addressed(docs)
-    slim = docs.select(minhash.sketch(docs[text_col]).alias("__s"), docs[id_col].alias("id"), *address)
+    slim = docs.select(minhash.sketch(docs[text_col]).alias("__s"), _udfs()[2](docs[text_col]).alias("fp"), docs[id_col].alias("id"), *address)
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), *common.ADDRESS).alias("o")
-    slim = common.materialize(slim.select("__s.*", order), "sketches")
+    slim = common.materialize(slim.select("__s.*", "fp", order), "sketches")
     first = [F.first(c).alias(c) for c in ("n", "keys", "signature")]
-    nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), *first), "nodes")
+    nodes = common.materialize(slim.groupBy("digest").agg(F.min("o").alias("o"), F.min("fp").alias("fp"), *first), "nodes")
     common.release(slim)
     k, size = minhash.bands(nodes)
 
@@ -194,8 +215,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         common.release(sets)
         return links
 
-    # most classes hang together by the least text of a band; what these links have joined needs no more checks
-    of = minhash.classes(nodes, checked(minhash.first_candidates(k, size)))
+    # what fingerprints have joined needs no more checks; most other classes hang together by the least text of a band
+    of = minhash.classes(nodes, checked(fingerprint_candidates(nodes)))
+    of = minhash.merged(of, checked(minhash.apart(minhash.first_candidates(k, size), of)))
     of = minhash.merged(of, checked(minhash.apart(minhash.more_candidates(k, size), of)))
     crowds = common.materialize(minhash.crowds(k, size, of), "open")
     common.release(k)

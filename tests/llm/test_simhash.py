@@ -98,3 +98,21 @@ def test_keep_one(spark, awkward):
     assert sum(t in (None, "", " \t\n") for t in texts) == 1
     assert [r["doc_id"] for r in rows].count(100) == 1 and 101 not in [r["doc_id"] for r in rows]
     assert simhash.keep_one(awkward.limit(0)).count() == 0
+
+
+def test_fingerprints_join_texts_of_the_pipeline(spark, monkeypatch):
+    """The stage links SimHash fingerprints, and keeps of their links those of similarity 0.8 or more: also without bands."""
+    import random
+
+    from conceptloom.llm import minhash
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    base = rng.choices(words, k=600)
+    other = next(" ".join(o) for o in ([*base[:k], "other", *base[k + 1 :]] for k in range(300)) if (simhash.simhash(" ".join(o), 5) ^ simhash.simhash(" ".join(base), 5)).bit_count() <= 2)
+    far = " ".join(rng.choices(words, k=600))
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, other), (3, far), (4, " ".join(base)), (5, ""), (6, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(minhash, "first_candidates", lambda k, size: none)
+    monkeypatch.setattr(minhash, "more_candidates", lambda k, size: none)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 5]
