@@ -47,20 +47,20 @@ def rows(pages: DataFrame, names: DataFrame | None = None, formats: tuple[str, .
         # each document's first name of a code, for the formats that show a document's earlier targets
         first = located.groupBy("doc_id", "code").agg(F.min_by("name", F.struct("passage", "entity_idx")).alias("memo_name"))
         located = located.join(first, ["doc_id", "code"], "left").withColumn("memo_name", F.coalesce("memo_name", "name"))
-    located = storage.materialize(located, "mentions")
+    # splits meet the mentions, once, and never the rows with their documents and memories
+    located = storage.materialize(located.join(split.withColumnRenamed("split", "__split"), "doc_id"), "mentions")
     nested = spans.assemble_pages(passages)
     parts = []
     for f in formats:
         remembers = f in T.MEMORY_FORMATS or f == "long"
-        d = corpus.format_rows(located.drop("name").withColumnRenamed("memo_name", "name") if remembers else located, f, nested)
+        d = corpus.format_rows(located.drop("name").withColumnRenamed("memo_name", "name") if remembers else located, f, nested, keep=("__split",))
         if f == "long":
             d = d.withColumn("mention_id", F.lit(None).cast("string"))
         fault = T.target_fault(F.col("target"), f)
         d = d.withColumn("fault", fault)
         made = F.when(F.col("fault").isNull(), T.training_prompt(F.col("source"), F.col("target"), f))
-        parts.append(d.withColumn("p", made).select(F.lit(f).alias("format"), "doc_id", "mention_id", "source", "target", "p.prompt", "p.completion", "fault"))
-    out = reduce(DataFrame.unionByName, parts).join(split, "doc_id")
-    return out.select(*ROWS), located
+        parts.append(d.withColumn("p", made).select(F.lit(f).alias("format"), "doc_id", "mention_id", "source", "target", "p.prompt", "p.completion", "fault", F.col("__split").alias("split")))
+    return reduce(DataFrame.unionByName, parts).select(*ROWS), located.drop("__split")
 
 
 def write(pages: DataFrame, folder: str, names: DataFrame | None = None, formats: tuple[str, ...] = corpus.FORMATS, method: str = "levenshtein", group: Column | None = None) -> DataFrame:

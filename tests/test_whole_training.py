@@ -131,3 +131,15 @@ def test_training_rows_and_nesting(spark):
     assert "### Previous Normalizations\n[arm]{B} gold3\n[leg]{B}\n\n### Prediction\n[toe]{B}" in out["a.3"]["prompt"] and "None" in out["a.1"]["prompt"]
     e = crossfit.nested(d).head()["entities"]
     assert [(x["mention_id"], x["db_pred_match"], x["db_pred_id"]) for x in e] == [("a.1", "gold3", "c3"), ("a.2", "", ""), ("a.3", "", "")]
+
+
+def test_page_rows_are_not_shuffled_for_their_split(spark):
+    """Splits meet the mentions: no join stands above the rows of all formats, which hold whole documents and memories."""
+    from conceptloom.operators import pagerows
+    from conceptloom.plans import training
+
+    out, located = pagerows.rows(*training.nested_pages(spark, "/root/testdata/sf0.001"))
+    above, union, _ = out._jdf.queryExecution().optimizedPlan().toString().partition("Union")
+    assert union and "Join" not in above
+    assert "split" not in located.columns and not [c for c in located.columns if c.startswith("__")]
+    assert out.where("split IS NOT NULL").count() == out.count() > 0
