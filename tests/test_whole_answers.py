@@ -221,3 +221,16 @@ def test_awkward_mentions(spark, names):
         assert by["4"]["pred_concept_name"] == by["5"]["pred_concept_name"] == "NO_PREDICTION" and by["5"]["pred_concept_code"] == "NO_CODE"
         assert ("[river a blue]{hot} river a blue" in by["3"]["prompt"]) == (form == "hybrid_short")
     assert beams.decode(m.limit(0), path, beams.SamePlace(beams.word_ids)).count() == 0
+
+
+def test_ranks_of_a_mention_are_dealt_once(spark):
+    """Loading and recall at five share one exchange by mention."""
+    from conceptloom.operators import metrics
+
+    rows = [(f"d{i}", f"d{i}.1", r, 1.0 / r, "A" if r == 3 else "B", "A", "G") for i in range(20) for r in range(1, 6)]
+    raw = spark.createDataFrame(rows, "doc_id string, mention_id string, rank int, score double, pred_concept_code string, gold_concept_code string, semantic_group string")
+    out = metrics.recall_at_k(metrics.load_predictions(raw, 5))
+    assert {(r["semantic_group"], r["n"], r["n_correct"]) for r in out.collect()} == {("G", 20, 20), ("overall", 20, 20)}
+    out = metrics.recall_at_k(metrics.load_predictions(raw, 5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
