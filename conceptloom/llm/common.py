@@ -39,9 +39,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def trim() -> None:
-    """Gives memory that the driver's Python no longer uses back to the system, where the C library can."""
+def trim(spark: SparkSession | None = None) -> None:
+    """Gives memory that the driver's Python no longer uses back to the system, where the C library can.
+
+    With a session its JVM collects too: plans are held until Python has let go of their frames.
+    """
     gc.collect()
+    if spark:
+        spark._jvm.java.lang.System.gc()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -215,10 +215,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         common.release(sets)
         return links
 
-    # what fingerprints have joined needs no more checks; most other classes hang together by the least text of a band
-    of = minhash.classes(nodes, checked(fingerprint_candidates(nodes)))
-    of = minhash.merged(of, checked(minhash.apart(minhash.first_candidates(k, size), of)))
+    # most classes hang together by fingerprints and by the least text of a band, which are checked at once: each round of checks
+    # and classes costs the driver dozens of plans, whatever the rows
+    of = minhash.classes(nodes, checked(fingerprint_candidates(nodes).unionByName(minhash.first_candidates(k, size)).distinct()))
+    common.trim(docs.sparkSession)
     of = minhash.merged(of, checked(minhash.apart(minhash.more_candidates(k, size), of)))
+    common.trim(docs.sparkSession)
     crowds = common.materialize(minhash.crowds(k, size, of), "open")
     common.release(k)
     if not crowds.isEmpty():

@@ -24,6 +24,7 @@ def stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.sweep(spark, _SCRATCH, docs)
+        common.trim(spark)
         own = {c: f"own_{i}_{c.strip('_')}" for i, c in enumerate(docs.columns) if c.startswith("__")}
         with common.recorded(_SCRATCH):
             out = f(spark, docs.withColumnsRenamed(own) if own else docs, sf_dir)

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from conceptloom.llm import simhash
+from conceptloom.llm import minhash, simhash
 
 
 def brute_fingerprint(t):
@@ -116,3 +116,13 @@ def test_fingerprints_join_texts_of_the_pipeline(spark, monkeypatch):
     monkeypatch.setattr(minhash, "first_candidates", lambda k, size: none)
     monkeypatch.setattr(minhash, "more_candidates", lambda k, size: none)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 5]
+
+
+def test_fingerprints_and_bands_are_checked_at_once(spark, monkeypatch):
+    """Three rounds of checks and classes filled the driver's memory: two do."""
+    rounds = []
+    verified = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda *a: rounds.append(1) or verified(*a))
+    same = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, same), (2, same + " more"), (3, "another text of a few words"), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 4] and len(rounds) == 2
