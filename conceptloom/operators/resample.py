@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import storage
 from .metrics import OVERALL, interval
 
 #: Documents of a bucket, about.
 BUCKET = 256
+#: Documents of a task, about.
+TASK_DOCS = 1 << 16
 
 
 def draws_at(path: list[tuple[int, int]], bucket: int, total: int, replicates: int, seed: int) -> np.ndarray:
@@ -39,15 +42,19 @@ def bucket_weights(n: int, k: np.ndarray, bucket: int, levels: int, seed: int) -
 
 
 def _bucketed(docs: DataFrame, bucket_docs: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """docs(doc_id, ...) with bucket, (bucket, path) of each bucket, the levels of the tree, and the number of documents."""
-    named = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")))
+    """docs(doc_id, ...) with bucket, (bucket, path) of each bucket, the levels of the tree, and the number of documents.
+
+    docs is written once: documents are counted, dealt to buckets and drawn from the table, not from its plan.
+    """
+    named = storage.materialize(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))), "documents")
     total = named.select("doc_id").distinct().count()
     levels = max(0, int(np.ceil(np.log2(max(1, total) / bucket_docs))))
     named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1 << levels)))
-    sizes = named.groupBy("bucket").agg(F.count_distinct("doc_id").alias("n"))
+    sizes = named.select("bucket", "doc_id").distinct().groupBy("bucket").agg(F.count("*").alias("n"))
     if not levels:
         return named, sizes.select("bucket", F.array().cast("array<struct<left:bigint,both:bigint>>").alias("path")), 0, total
     # documents of every node, and with each bucket those of the nodes above it: narrow rows, a few a bucket
+    sizes = storage.materialize(sizes, "buckets")
     depth = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth")
     nodes = sizes.select("n", depth, "bucket").withColumn("node", F.expr(f"shiftright(bucket, {levels} - depth)")).groupBy("depth", "node").agg(F.sum("n").alias("n"))
     above = sizes.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("depth")).withColumn("node", F.expr(f"shiftright(bucket, {levels} - depth)"))
@@ -57,31 +64,38 @@ def _bucketed(docs: DataFrame, bucket_docs: int) -> tuple[DataFrame, DataFrame,
     return named, path, levels, total
 
 
-def _buckets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one bucket after another, from batches in which they are neighbours."""
+def _buckets(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
+    """The rows of one bucket after another with its path, from batches in which they are neighbours, the path's row first."""
     held: list[pd.DataFrame] = []
+
+    def whole() -> tuple[pd.DataFrame, list]:
+        part = pd.concat(held)
+        return part.iloc[1:], part["path"].iloc[0]
+
     for pdf in it:
         for bucket, part in pdf.groupby("bucket", sort=False):
             if held and held[0]["bucket"].iloc[0] != bucket:
-                yield pd.concat(held)
+                yield whole()
                 held = []
             held.append(part)
     if held:
-        yield pd.concat(held)
+        yield whole()
 
 
 def _prepared(docs: DataFrame, bucket_docs: int) -> tuple[DataFrame, int, int]:
+    """Rows of docs by bucket and document, before those of a bucket a row of its path; a path on each row would outweigh the rows."""
     named, path, levels, total = _bucketed(docs, bucket_docs)
-    d = named.join(path, "bucket").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    return d, levels, total
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_DOCS))
+    d = named.unionByName(path, allowMissingColumns=True)
+    return d.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first()), levels, total
 
 
-def _drawn(part: pd.DataFrame, levels: int, total: int, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(part: pd.DataFrame, path: list, levels: int, total: int, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(the document of each row, counts a row a replicate and a column a document) of a bucket's sorted rows."""
     bucket = int(part["bucket"].iloc[0])
     doc, names = pd.factorize(part["doc_id"])
-    path = [(x["left"], x["both"]) for x in part["path"].iloc[0]]
-    return doc, bucket_weights(len(names), draws_at(path, bucket, total, replicates, seed), bucket, levels, seed)
+    above = [(x["left"], x["both"]) for x in path]
+    return doc, bucket_weights(len(names), draws_at(above, bucket, total, replicates, seed), bucket, levels, seed)
 
 
 def multinomial_weights(docs: DataFrame, replicates: int = 1000, seed: int = 42, bucket_docs: int = BUCKET) -> DataFrame:
@@ -89,8 +103,8 @@ def multinomial_weights(docs: DataFrame, replicates: int = 1000, seed: int = 42,
     d, levels, total = _prepared(docs.select("doc_id").distinct(), bucket_docs)
 
     def draw(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _buckets(it):
-            _, w = _drawn(part, levels, total, replicates, seed)
+        for part, path in _buckets(it):
+            _, w = _drawn(part, path, levels, total, replicates, seed)
             yield pd.DataFrame({"doc_id": [None if x == "\0null" else x for x in part["doc_id"]], "w": list(w.T)})
 
     return d.select("bucket", "doc_id", "path").mapInPandas(draw, "doc_id string, w array<bigint>")
@@ -113,19 +127,21 @@ def bootstrap_ci(per_doc: DataFrame, replicates: int = 1000, seed: int = 42, ci:
             acc.clear()
             return out
 
-        for part in _buckets(it):
-            doc, w = _drawn(part, levels, total, replicates, seed)
+        for part, path in _buckets(it):
+            doc, w = _drawn(part, path, levels, total, replicates, seed)
             of, labels = pd.factorize(part["label"], use_na_sentinel=False)
             values = np.zeros((len(labels), 2, replicates))
+            drawn = w.T.astype(float)
             for k, c in enumerate(("num", "den")):
                 by = np.zeros((len(labels), w.shape[1]))
                 np.add.at(by, (of, doc), part[c].to_numpy())
-                values[:, k] = by @ w.T
+                values[:, k] = by @ drawn
             for name, v in [*zip((None if pd.isna(x) else x for x in labels), values, strict=True), (OVERALL, values.sum(axis=0))]:
                 acc[name] = acc[name] + v if name in acc else v
             if len(acc) > 1000:
                 yield flush()
-        yield flush()
+        if acc:  # a task may get no bucket
+            yield flush()
 
     s = d.select("bucket", "doc_id", "label", "num", "den", "path").mapInPandas(sums, "label string, num array<double>, den array<double>")
     b = s.select(F.col("label").alias(label), F.posexplode(F.arrays_zip("num", "den")).alias("b", "x"))
