@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-
-
-def best_by_distance(pairs: DataFrame, distance: Column, keys: list[str], name: str = "entity") -> DataFrame:
-    """The name of the least distance of each key, ties to the lesser name."""
-    return pairs.withColumn("distance", distance).groupBy(*keys).agg(F.min(F.struct("distance", name)).alias("x")).select(*keys, F.col(f"x.{name}").alias("best_synonym"), "x.distance")
+from ..sources import storage
 
 
 def best_by_similarity(pairs: DataFrame, similarity: Column, keys: list[str], name: str = "entity") -> DataFrame:
@@ -30,9 +26,9 @@ def best_synonym(mentions: DataFrame, names: DataFrame, method: str = "levenshte
     if method == "title":
         return m.join(names.groupBy("code").agg(F.min("title").alias("best_synonym")), "code").withColumn("score", F.lit(1.0))
     n = names.select("code", "entity").distinct()
-    pairs = m.join(n, "code")
     if method == "levenshtein":
-        return best_by_distance(pairs, V.edit_distance(F.col("mention"), F.col("entity")), ["code", "mention"])
+        return nearest_by_edits(m, n)
+    pairs = m.join(n, "code")
     if method == "embedding":
         a, b = (vectors.select(F.col("text").alias(t), F.col("vector").alias(v)) for t, v in (("mention", "__a"), ("entity", "__b")))
         return best_by_similarity(pairs.join(a, "mention").join(b, "entity"), F.round(V.cosine(F.col("__a"), F.col("__b")), 9), ["code", "mention"])
@@ -63,6 +59,95 @@ def tfidf_similarity(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(hit, ["code", "mention", "entity"], "left").fillna(0.0, ["similarity"])
 
 
+#: Names and mentions of a code that meet at once, and pairs that are compared at once.
+NAME_BLOCK, MENTION_BLOCK, PAIRS = 16_384, 512, 65_536
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, a row each with zeros after its end, and lengths."""
+    n = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(int(n.max()), 1)), np.uint32)
+    out[np.arange(out.shape[1])[None, :] < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out, n
+
+
+def _bags(letters: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often a text has letters of each of 64 classes."""
+    on = np.arange(letters.shape[1])[None, :] < n[:, None]
+    at = np.arange(len(n))[:, None] * 64 + (letters & 63)
+    return np.bincount(at[on].astype(np.int64), minlength=64 * len(n)).reshape(-1, 64).astype(np.int32)
+
+
+def _edits(a: np.ndarray, n: np.ndarray, b: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of a, of lengths n, and of b, of lengths k: the usual table, a cell of all pairs at a time."""
+    a, b = np.ascontiguousarray(a.T[: n.max()]), np.ascontiguousarray(b.T[: k.max()])
+    table = np.repeat(np.arange(len(b) + 1, dtype=np.int32)[:, None], len(n), axis=1)
+    out = k.astype(np.int32)
+    for i, x in enumerate(a):
+        corner = table[0].copy()
+        table[0] = i + 1
+        for j, y in enumerate(b):
+            cell = np.minimum(corner + (x != y), np.minimum(table[j + 1], table[j]) + 1)
+            corner, table[j + 1] = table[j + 1].copy(), cell
+        at = np.flatnonzero(n == i + 1)
+        out[at] = table[k[at], at]
+    return out
+
+
+def least_edits(mentions: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the name nearest to each mention, of equals the first.
+
+    Letters that one text has more of than another are a bound of their distance from below. Names are compared in
+    the order of this bound, until it passes the least distance found.
+    """
+    a, n = _letters(mentions)
+    b, k = _letters(names)
+    mine, theirs = _bags(a, n), _bags(b, k)
+    over = np.zeros((len(mentions), len(names)), np.int32)
+    for c in np.flatnonzero(theirs.any(axis=0)):
+        over += np.maximum(theirs[None, :, c] - mine[:, None, c], 0)
+    least = np.maximum(over, over - (k[None, :] - n[:, None])).astype(np.int32)
+    best = np.full(len(mentions), np.iinfo(np.int64).max)
+    for t in range(int(least.min()), int(least.max()) + 1):
+        todo = best // len(names) >= t
+        if not todo.any():
+            break
+        i, j = np.nonzero((least == t) & todo[:, None])
+        for s in range(0, len(i), PAIRS):
+            x, y = i[s : s + PAIRS], j[s : s + PAIRS]
+            np.minimum.at(best, x, _edits(a[x], n[x], b[y], k[y]).astype(np.int64) * len(names) + y)
+    return best % len(names), best // len(names)
+
+
+def nearest_by_edits(mentions: DataFrame, names: DataFrame, name_block: int = NAME_BLOCK, mention_block: int = MENTION_BLOCK) -> DataFrame:
+    """(code, mention, best_synonym, distance): of a code's names that of the least edit distance, ties to the lesser name.
+
+    mentions(code, mention) and names(code, entity) are distinct. Both sides of a code are dealt into blocks by its counts,
+    so that no code is one task's, and few pairs of two blocks are compared (least_edits); no row a pair is ever made.
+    """
+    m, n = mentions.select("code", "mention").dropna(), names.select("code", "entity").dropna()
+    sizes = n.groupBy("code").agg(F.ceil(F.count("*") / F.lit(name_block)).cast("int").alias("parts"))
+    sizes = sizes.join(m.groupBy("code").agg(F.ceil(F.count("*") / F.lit(mention_block)).cast("int").alias("blocks")), "code")
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(name)
+    one = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    left = m.join(sizes, "code").select("code", every("parts", "part"), one("mention", "blocks").alias("block"), "mention")
+    right = n.join(sizes, "code").select("code", one("entity", "parts").alias("part"), every("blocks", "block"), "entity").toDF("n_code", "n_part", "n_block", "entity")
+
+    def best(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        asked, known = x["mention"].to_pylist(), sorted(y["entity"].to_pylist())
+        if not asked or not known:
+            asked, at, d = [], [], []
+        else:
+            at, d = least_edits(asked, known)
+        columns = [pa.array([key[0].as_py()] * len(asked), key[0].type), pa.array(asked, pa.string()), pa.array([known[i] for i in at], pa.string()), pa.array(d, pa.int32())]
+        return pa.Table.from_arrays(columns, ["code", "mention", "best_synonym", "distance"])
+
+    keys = [storage.spread(left, "code", "part", "block").groupBy("code", "part", "block"), storage.spread(right, "n_code", "n_part", "n_block").groupBy("n_code", "n_part", "n_block")]
+    met = keys[0].cogroup(keys[1]).applyInArrow(best, f"code {m.schema['code'].dataType.simpleString()}, mention string, best_synonym string, distance int")
+    x = met.groupBy("code", "mention").agg(F.min(F.struct("distance", "best_synonym")).alias("x"))
+    return x.select("code", "mention", "x.best_synonym", "x.distance")
+
+
 #: Candidates and queries of a label that meet in one task at once.
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 2_048
 

@@ -143,3 +143,37 @@ def test_page_rows_are_not_shuffled_for_their_split(spark):
     assert union and "Join" not in above
     assert "split" not in located.columns and not [c for c in located.columns if c.startswith("__")]
     assert out.where("split IS NOT NULL").count() == out.count() > 0
+
+
+def test_nearest_names_without_all_pairs(spark):
+    """Blocks of a code meet in tasks of their own, and the least distance and lesser name are those of all pairs."""
+    from conceptloom.operators import similarity
+
+    m = [(c, f"{a}{b}é{a}") for c in ("C1", "C2", "") for a in ("x", "Yy", "zé", " ") for b in ("", "pq", "\U0001f600")] + [("C3", "alone"), (None, "x"), ("C1", None)]
+    n = [(c, f"{b}{a}{b}") for c in ("C1", "C2", "") for a in ("x", "yy", "é", "z z") for b in ("", "p", "q")] + [("C1", None), (None, "x")]
+    m, n = spark.createDataFrame(m, "code string, mention string"), spark.createDataFrame(n, "code string, entity string")
+    pairs = m.dropna().distinct().join(n.dropna().distinct(), "code").withColumn("d", F.levenshtein("mention", "entity"))
+    want = pairs.groupBy("code", "mention").agg(F.min(F.struct("d", "entity")).alias("x")).select("code", "mention", "x.entity", "x.d")
+    got = similarity.nearest_by_edits(m.distinct(), n.distinct(), 5, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = similarity.best_synonym(m, n)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_long_documents(spark):
+    """A text is built once and not once a mark, and white space is taken off its end without a look at all of it."""
+    from conceptloom.functions import text as T
+
+    p = spark.createDataFrame([page(1, "arm " * 3000, [entity(i, "B", ["arm"], [[4 * i, 4 * i + 3]]) for i in range(3000)])], schemas.PAGE + ", split string")
+    out, _ = pagerows.rows(p, None, ("long",))
+    marks = out._jdf.queryExecution().optimizedPlan().toString()
+    assert marks.count("rpad(") == 1 and out.head()["source"] == "[arm] " * 3000
+    ends = [(f"a b{x}{x}",) for x in "\t\n\x0b\x0c\r \x85\xa0       　"] + [("a b",), ("a​",), ("",), (" \n",), (None,)]
+    d = spark.createDataFrame(ends, "t string")
+    assert d.where(~T.rstrip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)\s+$", ""))).count() == 0
+    assert "regexp" not in d.select(T.rstrip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_written_once(spark, pages, names, tmp_path):
+    pagerows.write(pages, str(tmp_path / "once"), names)
+    assert sorted(x.name for x in (tmp_path / "once").iterdir()) == ["annotations", "manifest", "quarantine", "rows"]
