@@ -23,19 +23,22 @@ def fuse(runs: list[DataFrame], k: int = 60, top_n: int = 5) -> DataFrame:
     return fuse_rows(reduce(DataFrame.unionByName, each).repartition(*KEY), len(runs), k, top_n)
 
 
-def fuse_rows(rows: DataFrame, runs: int, k: int = 60, top_n: int = 5) -> DataFrame:
-    """fuse() of the rows (doc_id, mention_id, run, pred_concept_code, score) of runs numbered from 0. Rows that are dealt by mention stay where they are."""
-    all_ = rows.where(F.col("pred_concept_code").isNotNull()).groupBy(*KEY, "run", "pred_concept_code").agg(F.max("score").alias("score"))
+def fuse_rows(rows: DataFrame, runs: int, k: int = 60, top_n: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """fuse() of the rows (doc_id, mention_id, run, pred_concept_code, score) of runs numbered from 0. Rows that are dealt by mention stay where they are.
+
+    keep are columns that all rows of a mention have alike.
+    """
+    all_ = rows.where(F.col("pred_concept_code").isNotNull()).groupBy(*KEY, *keep, "run", "pred_concept_code").agg(F.max("score").alias("score"))
     w = Window.partitionBy(*KEY, "run").orderBy(F.desc("score"), "pred_concept_code")
     all_ = all_.withColumn("part", T.reciprocal_rank(F.row_number().over(w), k))
     least = F.lit(float("-inf"))
     parts = [F.max(F.when(F.col("run") == i, F.col("part"))).alias(f"part_{i}") for i in range(runs)]
     scores = [F.coalesce(F.max(F.when(F.col("run") == i, F.col("score"))), least).alias(f"score_{i}") for i in range(runs)]
-    fused = all_.groupBy(*KEY, "pred_concept_code").agg(*parts, *scores)
+    fused = all_.groupBy(*KEY, *keep, "pred_concept_code").agg(*parts, *scores)
     total = reduce(lambda a, b: a + b, (F.coalesce(f"part_{i}", F.lit(0.0)) for i in range(runs)))
     fused = fused.withColumn("fused_score", total)
     w = Window.partitionBy(*KEY).orderBy(F.desc("fused_score"), *(F.desc(f"score_{i}") for i in range(runs)), "pred_concept_code")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select(*KEY, "pred_concept_code", "fused_score", "rank")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select(*KEY, "pred_concept_code", "fused_score", "rank", *keep)
 
 
 def with_mentions(fused: DataFrame, run: DataFrame, columns: tuple[str, ...] = ("mention", "semantic_group", "gold_concept_code")) -> DataFrame:
